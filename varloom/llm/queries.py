@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from varloom.llm.common import table
 from varloom.llm.linededup import dedup_lines
 from varloom.llm.mixing import mix
+from varloom.llm.suffixtree import score_texts
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(5) != 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +33,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix": op7_mix,
 }
