@@ -119,11 +119,11 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.nd
         first = last
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row offsets into words) of the words of some rows."""
+def word_bounds(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row offsets into words) of the words of some rows; ``breaks``: the bytes between words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    space = IS_SPACE[data]
+    space = breaks[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[at] = True
     before = edge[:-1].copy()

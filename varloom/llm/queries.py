@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm.common import table
+from varloom.llm.decontam import contaminated_pairs
 from varloom.llm.linededup import dedup_lines
 from varloom.llm.mixing import mix
 from varloom.llm.suffixtree import score_texts
@@ -32,10 +33,16 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix": op7_mix,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
