@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import table
 from varloom.llm.decontam import contaminated_pairs
+from varloom.llm.langid import identify
 from varloom.llm.linededup import dedup_lines
 from varloom.llm.mixing import mix
 from varloom.llm.suffixtree import score_texts
@@ -33,6 +34,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, remainder(3) != 1)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
@@ -42,6 +49,7 @@ QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix": op7_mix,
+    "op8_language_id": op8_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
