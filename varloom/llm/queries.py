@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.llm.bagminhash import near_duplicates
 from varloom.llm.common import table
 from varloom.llm.decontam import contaminated_pairs
 from varloom.llm.langid import identify
@@ -23,6 +24,10 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
@@ -47,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op4_bagminhash": op4_bagminhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix": op7_mix,
     "op8_language_id": op8_language_id,
