@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.llm.attribution import attribute_tokens
 from varloom.llm.bagminhash import near_duplicates
 from varloom.llm.common import table
 from varloom.llm.decontam import contaminated_pairs
 from varloom.llm.langid import identify
 from varloom.llm.linededup import dedup_lines
+from varloom.llm.linedist import extract
 from varloom.llm.mixing import mix
 from varloom.llm.suffixtree import score_texts
 
@@ -24,6 +26,10 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,6 +51,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
@@ -52,10 +63,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op3_token_counts": op3_token_counts,
     "op4_bagminhash": op4_bagminhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix": op7_mix,
     "op8_language_id": op8_language_id,
+    "op9_line_blocks": op9_line_blocks,
     "op10_decontamination": op10_decontamination,
 }
 
