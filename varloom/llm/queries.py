@@ -14,6 +14,7 @@ from varloom.llm.linededup import dedup_lines
 from varloom.llm.linedist import extract
 from varloom.llm.mixing import mix
 from varloom.llm.suffixtree import score_texts
+from varloom.llm.weaklabel import classify_quality
 
 
 def remainder(n: int):
@@ -26,6 +27,10 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,6 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op2_weak_labels": op2_weak_labels,
     "op3_token_counts": op3_token_counts,
     "op4_bagminhash": op4_bagminhash,
     "op6_line_dedup": op6_line_dedup,
