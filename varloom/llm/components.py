@@ -1,7 +1,9 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, and links among the members of buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +32,45 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), components) of all that ``verify`` finds among members of the same bucket.
+
+    ``buckets``: (key, least, rep, n), with the bucket's smallest member and a
+    size of the member. ``verify`` takes pairs (a, b) and returns (a, b,
+    linked). ``may_link`` on two sizes rules pairs out beforehand.
+
+    Every member is compared with the smallest of its bucket first. Buckets
+    that still hold several classes compare all with another member, and then all
+    pairs of different classes that have not been compared. So a bucket of
+    copies costs as many pairs as it has members, and no link between classes
+    is missed.
+    """
+    fits = may_link or (lambda x, y: F.lit(True))
+    sizes = buckets.select("rep", "n").distinct()
+    own = sizes.select(F.col("rep").alias("least"), F.col("n").alias("n_least"))
+    stars = buckets.filter("least <> rep").select("least", "rep", "n").distinct().join(own, "least").filter(fits(F.col("n"), F.col("n_least")))
+    tested = materialize(verify(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()))
+    links = tested.filter("linked").select("a", "b")
+    found = materialize(components(links))
+    for step in (2, 3):
+        labelled = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("key", "rep")).alias("other")).filter("low <> high")
+        if step == 2:
+            pairs = labelled.join(mixed.select("key", "other"), "key").filter("c <> other.c").select(F.col("rep").alias("x"), F.col("other.rep").alias("y"), "n", F.col("other.n").alias("n_y"))
+        else:
+            one = materialize(labelled.join(mixed.select("key"), "key", "left_semi"))
+            two = one.select("key", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))
+            pairs = one.withColumnRenamed("rep", "x").join(two, "key").filter((F.col("x") < F.col("y")) & (F.col("c") != F.col("c_y")) & fits(F.col("n"), F.col("n_y")))
+        pairs = pairs.filter(fits(F.col("n"), F.col("n_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        more = materialize(verify(pairs))
+        tested = tested.union(more)
+        new = more.filter("linked").select("a", "b")
+        if not new.isEmpty():
+            links = links.union(new)
+            found = materialize(components(links))
+    return links, found

@@ -9,6 +9,7 @@ from varloom.llm.attribution import attribute_tokens
 from varloom.llm.bagminhash import near_duplicates
 from varloom.llm.common import table
 from varloom.llm.decontam import contaminated_pairs
+from varloom.llm.descriptors import draw, image_copies
 from varloom.llm.langid import identify
 from varloom.llm.linededup import dedup_lines
 from varloom.llm.linedist import extract
@@ -39,6 +40,11 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over pictures of all embeddings: there is no table of images."""
+    return image_copies(draw(table(spark, sf_dir, "embeddings")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_weak_labels": op2_weak_labels,
     "op3_token_counts": op3_token_counts,
     "op4_bagminhash": op4_bagminhash,
+    "op5_image_copies": op5_image_copies,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix": op7_mix,
     "op8_language_id": op8_language_id,
