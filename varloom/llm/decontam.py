@@ -115,7 +115,9 @@ def hits_udf(seeds, threshold: float):
             doc = np.searchsorted(h_at, j, "right") - 1
             by = np.lexsort((item, doc))
             j, item, i, doc = j[by], item[by], i[by], doc[by]
-            cut = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0)))) if len(j) else []
+            if not len(j):
+                continue
+            cut = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0))))
             for a, b in zip(cut, [*cut[1:], len(j)], strict=True):
                 size = int(s.sizes[item[a]])
                 covered, tiles = tile(j[a:b] - h_at[doc[a]], i[a:b], s.k, size, threshold * size)
