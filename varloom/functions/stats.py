@@ -5,6 +5,8 @@ Missing is null. Where a formula has no finite value the result is null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,11 @@ def pnorm_tail_sql(x: str) -> str:
     return f"CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < 7.07106781186547e0 THEN {density} * ({top}) / ({bottom}) ELSE {density} / ({far} * 2.506628274631e0) END"
 
 
+def _bound(value: str, body: Callable[[str], str]) -> Column:
+    """``body`` of a value that stands in the plan once, however often the text uses it."""
+    return F.expr(f"get(transform(array({value}), v -> {body('v')}), 0)")
+
+
 def _name(c: Column | str) -> str:
     if not isinstance(c, str):
         raise TypeError("give the name of a column")
@@ -74,7 +81,7 @@ def pnorm(name: str) -> Column:
 def _over(a: Column, b: Column) -> Column:
     """a / b as IEEE has it, but null for 0 / 0."""
     inf = F.lit(float("inf"))
-    return F.when(b != 0, a / b).when(a > 0, inf).when(a < 0, -inf)
+    return F.when(b != 0, a / b).when((b == 0) & (a > 0), inf).when((b == 0) & (a < 0), -inf)
 
 
 def _c(name: str) -> Column:
@@ -83,7 +90,7 @@ def _c(name: str) -> Column:
 
 def z_from_p_beta(p: str, beta: str) -> Column:
     sign = F.signum(_c(beta))
-    half = F.expr(f"abs({qnorm_sql(f'({p} / 2e0)')})")
+    half = F.abs(_bound(f"{p} / 2e0", qnorm_sql))
     return F.when(_c(p) == 0, F.when(sign != 0, sign * F.lit(float("inf")))).otherwise(sign * half)
 
 
@@ -92,7 +99,7 @@ def z_from_beta_se(beta: str, se: str) -> Column:
 
 
 def p_from_z(z: str) -> Column:
-    return F.expr(f"2e0 * ({pnorm_tail_sql(z)})")
+    return 2.0 * _bound(z, pnorm_tail_sql)
 
 
 def beta_from_z_se(z: str, se: str) -> Column:

@@ -31,11 +31,11 @@ FROM {{lineitem}} l1 JOIN ({TARGET}) t1 ON l_orderkey = t1.ord"""
 
 #: A table of strings, with cells that are missing or out of range.
 SUMSTATS = f"""SELECT s.ord AS source_index, CAST(s.chrom AS STRING) AS chr, CAST(s.pos AS STRING) AS bp, s.id AS snp, lower(s.a1) AS ea, s.a2 AS oa,
-CASE WHEN l_partkey % 13 = 0 THEN '' ELSE CAST(CAST(l_extendedprice * 100 AS BIGINT) % 2001 - 1000 AS STRING) END AS beta_milli,
+CASE WHEN l_partkey % 13 = 0 THEN '' ELSE CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) % 2001 - 1000 AS STRING) END AS beta_milli,
 CASE WHEN l_suppkey % 17 = 0 THEN '-1' WHEN l_suppkey % 19 = 0 THEN 'NA' ELSE CAST(1 + l_partkey % 97 AS STRING) END AS se_milli,
 CASE WHEN l_suppkey % 23 = 0 THEN 'inf' ELSE CAST((l_suppkey % 100 + 1) / 101.0e0 AS STRING) END AS p,
-CASE WHEN l_partkey % 29 = 0 THEN '1.5' ELSE CAST(CAST(l_tax * 100 AS BIGINT) / 10.0e0 AS STRING) END AS eaf,
-CAST(CAST(l_quantity AS BIGINT) * 1000 AS STRING) AS n, CASE WHEN l_partkey % 2 = 0 THEN '+-' ELSE '?+' END AS dir
+CASE WHEN l_partkey % 29 = 0 THEN '1.5' ELSE CAST(CAST(floor(l_tax * 100 + 0.5) AS BIGINT) / 10.0e0 AS STRING) END AS eaf,
+CAST(CAST(floor(l_quantity) AS BIGINT) * 1000 AS STRING) AS n, CASE WHEN l_partkey % 2 = 0 THEN '+-' ELSE '?+' END AS dir
 FROM {{lineitem}} l2 JOIN ({SOURCE}) s ON s.ord = {PLACE}"""
 
 #: Identifiers: some missing, some on several rows.
