@@ -18,7 +18,6 @@ def components(edges: DataFrame) -> DataFrame:
     at a root. Rounds are few (logarithmic); edges and labels stay in tables.
     """
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct())
-    before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -27,50 +26,63 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
         edges = materialize(small.distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
+        # Stars have one parent for each node, and no parent has a parent.
+        up = edges.groupBy("a").agg(F.count("*").alias("n"))
+        if edges.select("b").distinct().join(up.withColumnRenamed("a", "b"), "b").isEmpty() and up.filter("n > 1").isEmpty():
             break
-        before = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+#: Buckets in which all pairs of different classes are compared in the end.
+SMALL_BUCKET = 64
 
 
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components) of all that ``verify`` finds among members of the same bucket.
+    """(links (a, b), components) of what ``verify`` finds among members of the same bucket.
 
-    ``buckets``: (key, least, rep, n), with the bucket's smallest member and a
-    size of the member. ``verify`` takes pairs (a, b) and returns (a, b,
-    linked). ``may_link`` on two sizes rules pairs out beforehand.
+    ``buckets``: (key, rep, n), with a size of the member. ``verify`` takes
+    pairs (a, b) and returns (a, b, linked). ``may_link`` on two sizes rules
+    pairs out beforehand.
 
-    Every member is compared with the smallest of its bucket first. Buckets
-    that still hold several classes compare all with another member, and then all
-    pairs of different classes that have not been compared. So a bucket of
-    copies costs as many pairs as it has members, and no link between classes
-    is missed.
+    First every member is compared with its bucket's centre, the member that
+    shares most buckets with others. In a group of edited copies that is the
+    text that they were made from, or the one closest to it. If x does not
+    reach the threshold with the centre, then neither does it with any y that
+    differs from the centre in other places than x: from such a y it is further
+    away. Then buckets that still hold several classes compare all with two more
+    members, and those of up to ``SMALL_BUCKET`` members all pairs of different
+    classes. Each step makes a bounded number of pairs for each member; pairs
+    are compared once.
     """
     fits = may_link or (lambda x, y: F.lit(True))
-    sizes = buckets.select("rep", "n").distinct()
-    own = sizes.select(F.col("rep").alias("least"), F.col("n").alias("n_least"))
-    stars = buckets.filter("least <> rep").select("least", "rep", "n").distinct().join(own, "least").filter(fits(F.col("n"), F.col("n_least")))
-    tested = materialize(verify(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()))
+    size = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    placed = materialize(buckets.join(size, "key"))
+    known = placed.groupBy("rep").agg(F.sum("size").alias("known"))
+    first = F.min_by(F.struct("rep", "n"), F.struct(-F.col("known"), F.col("rep"))).alias("other")
+    centre = materialize(placed.join(known, "rep").groupBy("key").agg(first))
+
+    def stars(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        pairs = rows.join(leaders, "key").filter((F.col("rep") != F.col("other.rep")) & fits(F.col("n"), F.col("other.n")))
+        return pairs.select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b")).distinct()
+
+    tested = materialize(verify(stars(placed, centre)))
     links = tested.filter("linked").select("a", "b")
     found = materialize(components(links))
-    for step in (2, 3):
-        labelled = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("key", "rep")).alias("other")).filter("low <> high")
-        if step == 2:
-            pairs = labelled.join(mixed.select("key", "other"), "key").filter("c <> other.c").select(F.col("rep").alias("x"), F.col("other.rep").alias("y"), "n", F.col("other.n").alias("n_y"))
-        else:
-            one = materialize(labelled.join(mixed.select("key"), "key", "left_semi"))
-            two = one.select("key", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))
-            pairs = one.withColumnRenamed("rep", "x").join(two, "key").filter((F.col("x") < F.col("y")) & (F.col("c") != F.col("c_y")) & fits(F.col("n"), F.col("n_y")))
-        pairs = pairs.filter(fits(F.col("n"), F.col("n_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        more = materialize(verify(pairs))
-        tested = tested.union(more)
-        new = more.filter("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.union(new)
-            found = materialize(components(links))
-    return links, found
+    labelled = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
+    others = [F.min_by(F.struct("rep", "n"), F.xxhash64(F.lit(k), "key", "rep")) for k in (1, 2)]
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array(*others).alias("others")).filter("low <> high")
+    rest = materialize(labelled.join(mixed.select("key", "others"), "key"))
+    large = rest.filter(F.col("size") > SMALL_BUCKET)
+    more = stars(large.select("key", "rep", "n"), large.select("key", "others").distinct().select("key", F.explode("others").alias("other")))
+    one = rest.filter(F.col("size") <= SMALL_BUCKET).select("key", "rep", "n", "c")
+    two = one.select("key", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))
+    on = (F.col("rep") < F.col("y")) & (F.col("c") != F.col("c_y")) & fits(F.col("n"), F.col("n_y"))
+    more = more.union(one.join(two, "key").filter(on).select(F.col("rep").alias("a"), F.col("y").alias("b"))).distinct()
+    more = materialize(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return links, found
+    new = materialize(verify(more).filter("linked").select("a", "b"))
+    if new.isEmpty():
+        return links, found
+    links = links.union(new)
+    return links, materialize(components(links))
