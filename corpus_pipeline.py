@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm.bagminhash import drop_near_duplicates
-from varloom.llm.common import materialize, table
+from varloom.llm.common import bound_batches, materialize, table
 from varloom.llm.decontam import decontaminate
 from varloom.llm.langid import identify
 from varloom.llm.linededup import dedup_lines
@@ -16,11 +16,13 @@ from varloom.llm.queries import remainder
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language the model rejects; the rest are unchanged."""
+    bound_batches(spark)
     return identify(docs, remainder(3) != 1).filter("not rejected").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that an earlier document has, and documents of which nothing is left; ``n_chars`` follows the text."""
+    bound_batches(spark)
     out = dedup_lines(docs)
     left = out.filter((F.length("text") > 0) | (F.col("n_dropped") == 0))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -28,11 +30,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class of near duplicates."""
+    bound_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that give a benchmark item away."""
+    bound_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -6,8 +6,6 @@ text of a batch is cut into words and hashed without making Python strings.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,43 +13,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.scratch import materialize, scratch_dir
+
+__all__ = ["materialize", "scratch_dir"]
+
 #: The white space that separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Text is worked through in pieces of about this many bytes (or one document).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names for checkpoints.
+#: Bytes of a batch that goes to Python. Rows of text differ too much for a bound on rows.
+BATCH_BYTES = 8 << 20
 
-    Only a session without that setting (tests, a laptop) gets a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    It cuts the lineage at a copy that outlives any executor, and later steps
-    read only the columns they use.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lower_ascii(col):

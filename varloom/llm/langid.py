@@ -23,7 +23,7 @@ from varloom.llm.common import U64
 from varloom.llm.ngram import BackoffTable, context_hash, gram_hash, lags_of, sum_rows
 
 SPACE = 32
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 _LETTER: list[np.ndarray] = []
 
 
