@@ -240,6 +240,33 @@ def test_image_copies(spark):
     assert descriptors.image_copies(pictures.limit(0)).collect() == []
 
 
+def turned(pixels, degrees):
+    (h, w), a = pixels.shape, np.deg2rad(degrees)
+    y, x = np.mgrid[:h, :w] - (h - 1) / 2
+    u, v = np.cos(a) * x + np.sin(a) * y + (w - 1) / 2, np.cos(a) * y - np.sin(a) * x + (h - 1) / 2
+    i, j = (np.clip(np.floor(z).astype(int), 0, h - 2) for z in (v, u))
+    s, t = np.clip(v - i, 0, 1), np.clip(u - j, 0, 1)
+    return (1 - s) * ((1 - t) * pixels[i, j] + t * pixels[i, j + 1]) + s * ((1 - t) * pixels[i + 1, j] + t * pixels[i + 1, j + 1])
+
+
+def test_image_copies_noisy_and_turned(spark):
+    """Against all pairs that the geometric check links."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(45):
+        full = np.kron(rng.normal(128, 45, (16, 16)).clip(0, 255), np.ones((4, 4)))
+        copy = full + rng.normal(0, 8, full.shape) if i % 3 == 0 else turned(full, 3 if i % 3 == 1 else 5)
+        rows += [(2 * i, descriptors.write_pgm(full)), (2 * i + 1, descriptors.write_pgm(np.rint(copy).clip(0, 255)))]
+    feats = {i: descriptors.describe(descriptors.read_pgm(x)[None].astype(float))[0] for i, x in rows}
+    true = {i for i in range(45) if descriptors.inliers(feats[2 * i], feats[2 * i + 1]) >= 6}
+    df = spark.createDataFrame(rows, "image_id long, image binary")
+    got = {r.image_id: r.class_id for r in descriptors.image_copies(df).collect()}
+    hit = sum(got[2 * i + 1] == 2 * i for i in true)
+    print("verified", len(true), "found", hit)
+    assert len(true) > 25 and hit >= 0.9 * len(true)
+    assert all(got[2 * i] == 2 * i for i in range(45))
+
+
 # op6
 
 
