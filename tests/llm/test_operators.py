@@ -225,6 +225,55 @@ def test_components(spark):
     assert {got[100 + i] for i in range(31)} == {100}
 
 
+def classes_of(nodes, linked):
+    own = {i: i for i in nodes}
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(nodes), 2):
+        if linked(a, b):
+            x, y = sorted((root(a), root(b)))
+            own[y] = x
+    return {i: root(i) for i in nodes}
+
+
+def test_large_bucket_links_away_from_its_centre(spark):
+    n = 150
+    buckets = spark.createDataFrame([(7, i, 10) for i in range(n)] + [(8, 0, 10), (8, 1, 10)], "key long, rep long, n long")
+    # Pairs beside each other from 20 on; the centre, 0, links with the first 20.
+    linked = lambda a, b: b < 20 and a == 0 or a >= 20 and b == a + 1
+    near = F.col("a").eqNullSafe(0) & (F.col("b") < 20) | (F.col("a") >= 20) & (F.col("b") == F.col("a") + 1)
+    _, found = components.link_buckets(buckets, lambda pairs: pairs.select("a", "b", near.alias("linked")))
+    got = {r.node: r.component for r in found.collect()}
+    assert got == classes_of(range(n), linked)
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """A template with versions of it: many miss the threshold with the template and reach it with each other."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"t{i}" for i in range(90)], []
+    for version in range(12):
+        own = list(base)
+        for k in rng.choice(90, 4 if version % 2 else 2, replace=False):
+            own[k] = f"v{version}"
+        for _ in range(6):
+            w = list(own)
+            for k in rng.choice(90, int(rng.integers(0, 3)), replace=False):
+                w[k] = f"e{int(rng.integers(0, 10**6))}"
+            rows.append((len(rows), " ".join(w)))
+    bags = {i: bag(t) for i, t in rows}
+    monkeypatch.setattr(components, "SMALL_BUCKET", 4)
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_of(bags, lambda a, b: jaccard(bags[a], bags[b]) >= 0.8)
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    seen = collections.Counter(x for b in bags.values() for x in b)
+    mass = {r.rep: r.m for r in bagminhash.shared_mass(texts, 5).collect()}
+    assert mass == {i: sum(c for x, c in b.items() if seen[x] > 1) for i, b in bags.items()}
+
+
 # op5
 
 

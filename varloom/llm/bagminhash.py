@@ -129,6 +129,20 @@ def similarity_udf(k: int):
     return similarity
 
 
+def shared_mass(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, m): the weight of each bag of (rep, text) in shingles that another of them has too. Bags without any have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, at in chunks(batch.column(1)):
+                row, shingle, count, _ = bags(data, at, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(shingle.view(np.int64)), pa.array(count)], names=["rep", "shingle", "c"])
+
+    held = materialize(texts.mapInArrow(run, f"rep {dict(texts.dtypes)['rep']}, shingle long, c long"))
+    common = held.groupBy("shingle").count().filter("count > 1").select("shingle")
+    return held.join(common, "shingle").groupBy("rep").agg(F.sum("c").alias("m"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id): the class of every document, named by its smallest id.
 
@@ -136,7 +150,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``shingle``-word shingles have a weighted Jaccard similarity of
     ``threshold`` or more. Documents with equal bags are joined first and go on
     as one. Documents that share a band are compared as ``link_buckets`` says:
-    no bucket is cut and nobody is left out.
+    no bucket is cut and no link between classes is left out.
 
     Texts of fewer than ``shingle`` words have one shingle of all their words.
     A null, empty or wordless text is in a class of its own, and so is a row
@@ -159,7 +173,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         full = pairs.join(right, "b").join(left, "a")
         return full.select("a", "b", (similarity("text_a", "text_b") >= threshold).alias("linked"))
 
-    links, found = link_buckets(buckets, verify, lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y))
+    def shared(members: DataFrame) -> DataFrame:
+        return shared_mass(texts.withColumnRenamed("id", "rep").join(members, "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"]), shingle)
+
+    links, found = link_buckets(buckets, verify, lambda x, y, common: common / (x + y - common) >= threshold, shared)
     by_bag = made.join(same.drop("bands"), ["fp1", "fp2", "n"]).select("id", "rep").filter("id <> rep")
     # Rows that share an id but not a bag tie their bags together.
     split = made.groupBy("id").agg(F.min("fp1").alias("p"), F.max("fp1").alias("q")).filter("p <> q").select("id")
