@@ -341,13 +341,34 @@ def test_line_dedup(spark, docs):
     assert linededup.dedup_lines(empty(docs)).collect() == []
 
 
-def test_line_dedup_with_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "PIECE_BITS", 64)
-    monkeypatch.setattr(linededup, "MAX_BITS", 128)
+def test_line_dedup_with_small_filters(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    rows = [(i, "\n".join(f"Line number {int(x)} " for x in rng.integers(0, 60, 12))) for i in range(40)]
-    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in out.collect()) == brute_lines(rows)
+    rows = [(i if i % 9 else None, "\n".join(f" Line number {int(x)} of \u00e9\t" for x in rng.integers(0, 60, 12)) + "\n\n") for i in range(40)]
+    rows += [(100 + i, "A line that all of these have" + "\nand \n" * (i % 3)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = lambda: sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in linededup.dedup_lines(df).collect())
+    want = brute_lines(rows)
+    monkeypatch.setattr(linededup, "PART_ROWS", 5)
+    assert got() == want
+    # Filters by ranges of hashes, and full ones.
+    monkeypatch.setattr(linededup, "MAX_BITS", 0)
+    assert got() == want
+    monkeypatch.setattr(linededup, "RANGE_BITS", 64)
+    assert got() == want
+
+
+def test_line_keys():
+    texts = ["", "\n", " a\n\t\nB  b \r\n", "no end", "\n\n", "\u00e9\u00e9\u00e9\u00e9\u00e9\nx" + " " * 100_000 + "y"]
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(FOLD)
+    for limit in (1, 1 << 20):
+        seen = []
+        for _, data, at in chunks(pa.array(texts), limit):
+            s, e, low, high, line_at = linededup.line_spans(data, at)
+            for r in range(len(at) - 1):
+                seen.append([(bytes(data[s[k] : e[k]]).decode(), bytes(data[low[k] : high[k]]).decode().translate(FOLD)) for k in range(line_at[r], line_at[r + 1])])
+        assert seen == [[(x, strip(x)) for x in t.split("\n")] for t in texts]
+    (_, data, at), = chunks(pa.array(["12345\n\u00e9\u00e9\u00e9\u00e9\u00e9 \n1234"]))
+    assert len(linededup.hashed_keys(data, at, 5)[0]) == 2
 
 
 # op7
