@@ -9,6 +9,7 @@ section by a stated rule.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import text_buffer
+from varloom.llm.common import bound_batches, text_buffer
 
 RULES = ("majority", "start", "end")
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _ENCODERS: dict[Any, tuple[Any, np.ndarray]] = {}
+#: Runs of white space of this length or more are taken out before the tokenizer's pattern sees them.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{256,}")
 
 
 def encoder(key: tuple[str, bytes, str]) -> tuple[Any, np.ndarray]:
@@ -37,6 +40,24 @@ def encoder(key: tuple[str, bytes, str]) -> tuple[Any, np.ndarray]:
     return _ENCODERS[key[0]]
 
 
+def encode_whole(enc: Any, text: str, cut_runs: bool) -> list[int]:
+    """The tokens of a text.
+
+    The backtracking of the tokenizer's pattern overflows on very long runs of
+    white space. The default pattern makes one piece of such a run, up to the
+    last of its characters if text follows, so a run is cut out there and its
+    piece encoded by itself, with the same tokens.
+    """
+    out: list[int] = []
+    at = 0
+    for run in LONG_RUN.finditer(text) if cut_runs else ():
+        stop = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return out + enc.encode_ordinary(text[at:])
+
+
 def allocate(ends: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> tuple[np.ndarray, int, int]:
     """(tokens of each span, tokens outside all spans, tokens across a boundary).
 
@@ -80,16 +101,20 @@ def attribute_tokens(
     most of its bytes, the earlier one in a tie ("majority"), or to that of its
     first byte ("start") or its last ("end").
 
+    White space of any length is encoded as the tokenizer would; with a
+    ``pattern`` of your own, its runs are passed on as they are.
+
     A null or empty text has no token and, as lines, no section. Null spans
     are no spans; spans beyond the text are cut to it. Repeated rows are
     counted each for itself. Other columns of ``docs`` are left out.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    if pattern is None:
-        import public_tokenizers
+    import public_tokenizers
 
-        pattern = public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
+    cut_runs = pattern == public_tokenizers.PATTERN
+    bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         key = docs.sparkSession.sparkContext.broadcast((vocabulary, f.read(), pattern))
 
@@ -101,7 +126,7 @@ def attribute_tokens(
             rows: dict[str, list] = {k: [] for k in ("n_tokens", "n_sections", "n_crossing", "n_outside", "section_tokens")}
             for i in range(len(at) - 1):
                 raw = data[at[i] : at[i + 1]]
-                tokens = np.array(encode.encode_ordinary(raw.tobytes().decode("utf-8", "replace")), dtype=np.int64)
+                tokens = np.array(encode_whole(encode, raw.tobytes().decode("utf-8", "replace"), cut_runs), dtype=np.int64)
                 ends = np.cumsum(lengths[tokens])
                 if spans is None:
                     high = np.flatnonzero(raw == 10) + 1
