@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import IS_SPACE, U64, chunks, mix64, word_bounds, word_hashes
+from varloom.llm.common import IS_SPACE, U64, bound_batches, chunks, mix64, word_bounds, word_hashes
 
 # Bytes by kind. Bytes of more than ASCII count as letters.
 LETTER = np.zeros(256, bool)
@@ -164,6 +164,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int, rate: f
     return out, float(b)
 
 
+def distinct_sample(texts: DataFrame, most: int) -> DataFrame:
+    """(text): the ``most`` different texts with the smallest hashes. Copies of a text are one before anything is sent."""
+    h = F.xxhash64(F.lit(29), "text")
+    last = texts.select(h.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return texts.limit(0)
+    return texts.filter(h <= last).groupBy(h.alias("h")).agg(F.first("text").alias("text")).select("text")
+
+
 def classify_quality(
     docs: DataFrame,
     *,
@@ -181,14 +190,15 @@ def classify_quality(
     quality by the label model; ``quality``: that of the trained scorer;
     ``keep``: ``quality`` of ``keep_from`` or more. The label model's pattern counts cover
     all documents (3 to the number of labellers at most); the scorer learns
-    from ``max_train_docs`` documents or so, those with the smallest hashes,
-    whole.
+    from ``max_train_docs`` whole texts at most, those with the smallest hashes.
+    Texts that many documents share are one of them.
 
     A null, empty or wordless text has no votes, quality 0 and is not kept.
     Repeated rows get the same result and each counts. Where all or no
     documents are bad the scorer still learns the posteriors. An empty table
     gives no rows. Other columns of ``docs`` are left out.
     """
+    bound_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(named.dtypes)["id"]
 
@@ -226,8 +236,7 @@ def classify_quality(
                     bucket, n = np.unique(f[row_at[i] : row_at[i + 1]], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"bucket": [bucket.astype(np.int32)], "value": [(n / (row_at[i + 1] - row_at[i])).astype(np.float32)], "label": [label[i]]})
 
-    unit, total = 1 << 30, counts.sum()
-    sample = named.filter(F.pmod(F.xxhash64(F.lit(29), "text"), F.lit(unit)) < int(unit * min(1.0, max_train_docs / total))).select("text")
+    sample = distinct_sample(named.select("text").filter("text is not null"), max_train_docs)
     got = sample.mapInArrow(mean_features, "bucket array<int>, value array<float>, label double").toArrow()
     rows = [(np.asarray(b.values), np.asarray(v.values), y.as_py()) for b, v, y in zip(got.column(0), got.column(1), got.column(2), strict=True)]
     model = train(rows, rounds, rate, decay) if rows else (np.zeros(WIDTH, np.float32), float(np.log((1 - share) / share)))
