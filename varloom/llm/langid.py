@@ -16,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import U64
+from varloom.llm.common import U64, bound_batches, materialize
 from varloom.llm.ngram import BackoffTable, context_hash, gram_hash, lags_of, sum_rows
 
 SPACE = 32
@@ -157,22 +157,37 @@ def kneser_ney(counts: pd.DataFrame, langs: list[str], order: int) -> BackoffTab
     return BackoffTable(order, {n: (merged[n], log(p[n])) for n in merged}, {n: (contexts[n], log(passed[n])) for n in merged}, floor)
 
 
-def fit(labelled: DataFrame, *, order: int, max_docs: int, held_back: float, quantile: float) -> Model:
-    """A model of the (text, lang) rows, from ``max_docs`` whole texts of each language or so.
+def sampled(labelled: DataFrame, max_docs: int, held_back: float) -> DataFrame:
+    """(text, lang, back): ``max_docs`` different texts of each language at most, those with the smallest hashes.
+
+    Copies of a text in a language are one before they are counted or sent.
+    Every (1 / ``held_back``)-th is held back, so a language with fewer texts has none of them.
+    """
+    h = F.xxhash64(F.lit(17), "text")
+    per = labelled.select("lang", h.alias("h")).distinct().groupBy("lang").count()
+    unit = 1 << 30
+    # Somewhat more than the share that gives max_docs; the rank below is exact.
+    share = F.least(F.lit(unit), F.ceil(F.lit(unit) * (max_docs + 6 * max_docs**0.5 + 6) / F.col("count"))).cast("long")
+    few = labelled.withColumn("h", h).join(F.broadcast(per.select("lang", share.alias("share"))), "lang")
+    few = few.filter(F.pmod("h", F.lit(unit)) < F.col("share")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(unit)), "h"))
+    ranked = few.withColumn("rank", rank).filter(F.col("rank") <= max_docs)
+    return ranked.select("text", "lang", (F.col("rank") % max(2, round(1 / held_back)) == 0).alias("back"))
+
+
+def fit(labelled: DataFrame, *, order: int, max_docs: int, held_back: float, tail: float, false_rejects: float) -> Model:
+    """A model of the (text, lang) rows, from ``max_docs`` different whole texts of each language at most.
 
     The texts are those with the smallest hashes, so the bound holds for any
     corpus, and so does the size of the model, which comes to the driver. The
-    part ``held_back`` is left out of the counts; on it the rejection is fitted.
+    part ``held_back`` is left out of the counts; on it the rejection is
+    fitted: the largest ``tail`` of its distances give an exponential tail, and the
+    limit is where that tail falls to ``false_rejects``.
     """
-    per = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    langs = sorted(per)
-    if not langs:
+    sample = materialize(sampled(labelled, max_docs, held_back))
+    back = F.col("back")
+    if sample.isEmpty():
         raise ValueError("no text with a language to learn from")
-    unit = 1 << 30
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(unit * min(1.0, max_docs / per[k]))))])
-    h = F.xxhash64(F.lit(17), "text")
-    sample = labelled.filter(F.pmod(h, F.lit(unit)) < share[F.col("lang")])
-    back = F.pmod(F.shiftright(h, 32), F.lit(1000)) < int(1000 * held_back)
     counts = gram_counts(sample.filter(~back), order).toArrow().to_pandas()
     langs = sorted(set(counts["lang"]))
     if not langs:
@@ -204,7 +219,9 @@ def fit(labelled: DataFrame, *, order: int, max_docs: int, held_back: float, qua
             centre[i], spread[i] = np.log(30), 1.0
     model = Model(langs, model.table, centre, spread, noise, np.inf)
     away = model.distance(got["e"].to_numpy(), got["lang"].to_numpy(), got["n"].to_numpy()) if len(got) else np.zeros(1)
-    model.limit = max(10.0, 1.5 * float(np.quantile(away, quantile)))
+    from_here = float(np.quantile(away, 1 - tail))
+    excess = away[away > from_here] - from_here
+    model.limit = from_here + (float(excess.mean()) if len(excess) else 1.0) * float(np.log(tail / false_rejects))
     return model
 
 
@@ -217,7 +234,8 @@ def identify(
     order: int = 5,
     max_docs: int = 1500,
     held_back: float = 0.2,
-    quantile: float = 0.999,
+    tail: float = 0.05,
+    false_rejects: float = 1e-6,
     unknown: str = "und",
 ) -> DataFrame:
     """Predict each row's language, learning from the rows where ``train`` holds.
@@ -229,15 +247,17 @@ def identify(
     A null text or one without a letter is ``unknown``, with score 0 and
     rejected. Rows without a text or language are not learned from, and
     ``lang_col`` is no input of a prediction. Ties go to the language that
-    sorts first. Repeated rows get the same result. With no row to learn from
+    sorts first. ``false_rejects`` is the share of texts in learned languages
+    that the rejection may cost. Repeated rows get the same result. With no row to learn from
     a ValueError is raised, unless ``docs`` is empty: then there is no row to return.
     """
     text = F.col(text_col)
-    old = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected", "__id")]
+    bound_batches(docs.sparkSession)
+    old = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     labelled = docs.filter(train & text.isNotNull() & F.col(lang_col).isNotNull()).select(text.alias("text"), F.col(lang_col).alias("lang"))
     if docs.isEmpty():
         return docs.select(*old, F.lit(unknown).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(labelled, order=order, max_docs=max_docs, held_back=held_back, quantile=quantile))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(labelled, order=order, max_docs=max_docs, held_back=held_back, tail=tail, false_rejects=false_rejects))
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
@@ -255,4 +275,6 @@ def identify(
         cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((lang, object), (score, float), (rejected, bool))]
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1]), pa.array(cols[2])], ["lang", "score", "rejected"])
 
-    return docs.select(*old, predict(text).alias("__id")).select(*old, F.col("__id.lang").alias("lang_pred"), F.col("__id.score").alias("score"), F.col("__id.rejected").alias("rejected"))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    made = docs.select(F.struct(*old).alias("row"), predict(text).alias("p"))
+    return made.select(*[F.col("row")[c].alias(c) for c in names], F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
