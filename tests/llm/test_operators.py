@@ -121,6 +121,29 @@ def test_expectation_maximisation():
     assert emit[1, :, 0] == pytest.approx(acc, abs=0.07)
 
 
+def test_sample_of_different_texts_is_bounded(spark):
+    hot = spark.range(20_000).selectExpr("id as doc_id", "'one hot text' as text")
+    other = spark.range(3000).selectExpr("20000 + id as doc_id", "concat('text ', id) as text")
+    sample = weaklabel.distinct_sample(hot.union(other).select("text"), 400)
+    got = [r.text for r in sample.collect()]
+    assert len(got) == len(set(got)) == 400
+    langs = hot.union(other).selectExpr("text", "if(doc_id % 100 = 7, 'rare', 'common') as lang").union(spark.sql("select 'just one text' as text, 'single' as lang"))
+    few = langid.sampled(langs, 200, 0.2).collect()
+    n = collections.Counter(r.lang for r in few)
+    assert n["common"] == 200 and n["single"] == 1 and 0 < n["rare"] <= 200
+    assert len({(r.lang, r.text) for r in few}) == len(few) and not any(r.back for r in few if r.lang == "single")
+    assert sum(r.back for r in few if r.lang == "common") == 40
+
+
+def test_quality_against_labels(spark):
+    """Of all labelled documents, ranked by quality: the area under the curve."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    made = weaklabel.classify_quality(docs).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").select("quality", "label").toPandas()
+    good, bad = made[made.label == 1].quality.to_numpy(), made[made.label == 0].quality.to_numpy()
+    assert len(bad) > 10 and (good[:, None] > bad[None]).mean() > 0.99
+
+
 # op3
 
 
@@ -159,6 +182,19 @@ def test_token_spans_against_brute_force(spark):
     assert got[2].n_outside == got[2].n_tokens
 
 
+def test_long_runs_of_white_space(spark):
+    import public_tokenizers
+
+    with open(attribution.DEFAULT_VOCABULARY, "rb") as f:
+        enc, _ = attribution.encoder((attribution.DEFAULT_VOCABULARY, f.read(), public_tokenizers.PATTERN))
+    for run in (" " * 300, "\n" * 300, " \t" * 200, "\u00a0\u3000 " * 150, "\x1c" * 300, " " * 256, " " * 255):
+        for text in (run, "ab" + run, run + "ab", "a" + run + "b 1" + run + "!" + run, "x'" + run + "s  y", run + "\x1f" + run):
+            assert attribution.encode_whole(enc, text, True) == enc.encode_ordinary(text)
+    rows = [(i, "a" + c * 1_000_000 + "b") for i, c in enumerate(" \n\t!q")]
+    for r in attribution.attribute_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert sum(r.section_tokens) == r.n_tokens > 0 and r.n_outside == 0
+
+
 # op4
 
 
@@ -444,6 +480,54 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.exp(table.score(lags)).sum(axis=0) == pytest.approx(np.ones(2), abs=1e-4)
 
 
+def test_language_of_held_out_texts_and_rejection(spark):
+    """Held-out accuracy; made-up languages of the same letters and of others are rejected, learned ones are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    odd = []
+    for i in range(60):
+        letters = list("abcdefghijklmnopqrstuvwxyz") if i % 2 else [chr(0x430 + j) for j in range(32)]
+        odd.append((10**9 + i, " ".join("".join(rng.choice(letters, int(rng.integers(2, 9)))) for _ in range(6 + i)), None))
+    both = docs.withColumn("doc_id", F.col("doc_id").cast("long")).union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    out = langid.identify(both, train).withColumn("train", train).collect()
+    held = [r for r in out if not r.train and r.lang and re.search("[a-z]", r.text or "")]
+    assert len(held) > 200 and sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held)
+    assert not any(r.rejected for r in held if r.lang_pred == r.lang)
+    assert sum(r.rejected for r in out if r.doc_id >= 10**9) == 60
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Order 3, one language, against probabilities from plain counts."""
+    text = "abra cadabra abba cab"
+    counts = langid.gram_counts(spark.createDataFrame([(text, "x")], "text string, lang string"), 3).toPandas()
+    table = langid.kneser_ney(counts, ["x"], 3)
+    padded = "  " + text
+    grams = {n: collections.Counter(padded[i - n + 1 : i + 1] for i in range(2, len(padded))) for n in (1, 2, 3)}
+    value = {3: dict(grams[3])}
+    for n in (1, 2):
+        value[n] = {g: len({h for h in grams[n + 1] if h[1:] == g}) for g in grams[n]}
+
+    def d(n):
+        n1, n2 = (sum(v == k for v in value[n].values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(grams[1]) + 1)
+        own = {g: v for g, v in value[n].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not own or not total:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - d(n), 0) / total + d(n) * sum(v > 0 for v in own.values()) / total * p(gram[1:])
+
+    for past in ("ab", "br", " c", "ca", "zz"):
+        for c in "abcdr ":
+            lags = [np.array([ord(x)], np.uint64) for x in (c, past[1], past[0])]
+            assert float(table.score(lags)[0, 0]) == pytest.approx(math.log(p(past + c)), abs=1e-4)
+
+
 # op9
 
 
@@ -465,6 +549,57 @@ def test_line_blocks(spark):
     assert linedist.extract(df.limit(0)).collect() == []
 
 
+def brute_region(lines, window, threshold):
+    """The text of (text, weight, box, prose) lines in plain Python."""
+    n = len(lines)
+    sums = [sum(x[1] for x in lines[i : i + window]) for i in range(n)]
+    passed = [any(sums[j] >= threshold for j in range(max(0, i - window + 1), i + 1)) for i in range(n)]
+    if not any(passed):
+        return "\n\n".join(x[0] for x in lines if x[1] > 0)
+    mass = collections.Counter()
+    for x, p in zip(lines, passed, strict=True):
+        mass[x[2]] += x[1] if p else 0
+    box = min(mass, key=lambda b: (-mass[b], b))
+    inside = [i for i in range(n) if (lines[i][2] == box if box else passed[i] and lines[i][1] > 0)]
+    a, b = inside[0], inside[-1]
+    if not box:
+        free = lambda i: lines[i][3] and lines[i][1] > 0 and lines[i][2] == 0
+        while a > 0 and free(a - 1):
+            a -= 1
+        while b < n - 1 and free(b + 1):
+            b += 1
+    return "\n\n".join(x[0] for x in lines[a : b + 1])
+
+
+def test_surge_and_dive_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        n = int(rng.integers(0, 14))
+        boxes = np.sort(rng.integers(0, 3, n)) if i % 2 else np.zeros(n, int)
+        weights = rng.choice([0, 2, 9, 15, 45], n)
+        rows.append((i, [(f"{i}.{j}", int(w), int(b), bool(rng.random() < 0.6)) for j, (w, b) in enumerate(zip(weights, boxes, strict=True))]))
+    df = spark.createDataFrame(rows, f"id long, lines {linedist.LINE}")
+    got = df.select("id", F.array_join(F.transform(linedist.between_surge_and_dive(F.col("lines"), 3, 40), lambda b: b["text"]), "\n\n").alias("t")).collect()
+    assert {r.id: r.t for r in got} == {i: brute_region(x, 3, 40) for i, x in rows}
+
+
+def test_pages_without_article_elements(spark):
+    """The same text with and without the elements that mark an article; short paragraphs in it stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.text for r in linedist.extract(pages).collect()}
+    bare = {r.page_id: r.text for r in linedist.extract(pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))).collect()}
+    assert got == bare
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert all(got[i] == "\n\n".join(x[0] for x in linedist.blocks(html[i]) if x[2]) for i in got)
+    body = "<h1>Rech.</h1><p>By To.</p>" + "<p>A paragraph of more than forty letters, to be sure of it.</p>" * 3 + "<p>Of.</p><p><a href=x>Link alone</a></p><p>Or.</p>" * 4
+    tail = "<p>And a long one, which is at the end of the whole article here.</p>"
+    odd = [(1, f"<article>{body}{tail}</article><div>Side</div>"), (2, f"<ul><li><a>Menu</a></li></ul>{body}{tail}<div><a>Next</a></div>"), (3, "<p><a>AT&amp;T &amp; R&amp;D &amp; Q&amp;A</a> plan.</p>")]
+    out = {r.page_id: r for r in linedist.extract(spark.createDataFrame(odd, "page_id long, html string").selectExpr("*", "1 as __cut", "2 as lines", "3 as `a.b`")).collect()}
+    assert out[1].text == out[2].text == "\n\n".join(x[0] for x in linedist.blocks(body + tail)) and "By To." in out[1].text
+    assert out[3].text == "AT&T & R&D & Q&A plan." and out[3]["a.b"] == 3
+
+
 # op10
 
 
@@ -489,41 +624,71 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated_pairs(df, bench.limit(0)).collect() == [] and decontam.contaminated_pairs(df.limit(0), bench).collect() == []
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
-    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(20)]
-    df = spark.createDataFrame([(i, f"before it {t} after it") for i, t in items], "doc_id long, text string")
-    got = decontam.contaminated_pairs(df, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(20)]
+def brute_tiles(text, item, k):
+    a, b, covered, tiles = np.zeros(len(text), bool), np.zeros(len(item), bool), 0, 0
+    while True:
+        best = (0, 0, 0)
+        for x in range(len(item)):
+            for y in range(len(text)):
+                n = 0
+                while x + n < len(item) and y + n < len(text) and item[x + n] == text[y + n] and not b[x + n] and not a[y + n]:
+                    n += 1
+                if (n, -x, -y) > (best[0], -best[1], -best[2]) and n >= k:
+                    best = (n, x, y)
+        if best[0] < k:
+            return covered, tiles
+        n, x, y = best
+        b[x : x + n] = a[y : y + n] = True
+        covered += n
+        tiles += 1
 
 
 def test_tiles_by_brute_force():
     rng = np.random.default_rng(8)
-    for _ in range(60):
-        item = rng.integers(0, 6, int(rng.integers(4, 14)))
-        text = rng.integers(0, 6, 40)
-        k = 3
-        seeds = [(j, i) for j in range(len(text) - k + 1) for i in range(len(item) - k + 1) if (text[j : j + k] == item[i : i + k]).all()]
-        if not seeds:
-            continue
-        j, i = (np.array(x) for x in zip(*seeds))
-        covered, _ = decontam.tile(j, i, k, len(item), 1)
-        a, b, want = np.zeros(len(text), bool), np.zeros(len(item), bool), 0
-        while True:
-            best = (0, 0, 0)
-            for x in range(len(item)):
-                for y in range(len(text)):
-                    n = 0
-                    while x + n < len(item) and y + n < len(text) and item[x + n] == text[y + n] and not b[x + n] and not a[y + n]:
-                        n += 1
-                    if (n, -x, -y) > (best[0], -best[1], -best[2]) and n >= k:
-                        best = (n, x, y)
-            if best[0] < k:
-                break
-            n, x, y = best
-            b[x : x + n] = a[y : y + n] = True
-            want += n
-        assert covered == want
+    for words in (1, 2, 4, 6):
+        for _ in range(40):
+            item, text = rng.integers(0, words, int(rng.integers(2, 14))), rng.integers(0, words, int(rng.integers(1, 40)))
+            assert decontam.tile(text, item, 3, 1) == brute_tiles(text, item, 3)
+
+
+def test_tiles_of_repeated_words():
+    item, text = np.zeros(2000, np.int64), np.zeros(8000, np.int64)
+    assert decontam.tile(text, item, 4, 1000) == (2000, 1)
+    item[::7], text[::5] = 1, 1
+    assert decontam.tile(text, item, 4, 1)[0] > 0
+
+
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    """Random texts of few words, shuffled passages among them; a filter that is full lets all windows into the join."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(60)])
+    items = [(f"item {i}", " ".join(rng.choice(vocabulary, int(rng.integers(3, 30))))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(0, 60))))
+        if i % 3 == 0:
+            passage = items[i % 12][1].split()
+            cut = len(passage) // 2
+            words[3:3] = passage[cut:] + ["x"] + passage[:cut]
+        rows.append((i, "\n".join([" ".join(words[:9]), ", ".join(words[9:])])))
+    want = set()
+    for i, t in rows:
+        for j, x in items:
+            a, b = re.findall("[a-z0-9]+", t), re.findall("[a-z0-9]+", x)
+            covered, tiles = brute_tiles(a, b, 4)
+            if covered and covered >= 0.5 * len(b):
+                want.add((i, j, covered, tiles))
+    assert len({x[0] for x in want}) > 10
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (1 << 20, 8):
+        monkeypatch.setattr(decontam, "LEAST_BITS", bits)
+        monkeypatch.setattr(decontam, "MAX_BITS", bits)
+        assert {(r.doc_id, r.item_id, r.covered, r.tiles) for r in decontam.contaminated_pairs(df, bench).collect()} == want
+    clash = df.selectExpr("doc_id", "text", "1 as seeds", "2 as rid", "3 as `a.b`", "4 as `row`")
+    kept = decontam.decontaminate(clash, bench)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {x[0] for x in want}
+    assert all(r.seeds == 1 and r["a.b"] == 3 for r in kept.collect())
 
 
 def test_ascii_lower(spark):

@@ -71,7 +71,7 @@ _BASE = 0xD6E8FEB86659FD93
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, CHUNK_BYTES + (1 << 16))
         up, down = np.full(size, _BASE, dtype=U64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=U64)
@@ -124,7 +124,7 @@ def word_bounds(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = IS_SPACE)
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, A-Z lower-cased."""
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE64[data] * up[: len(data)], dtype=U64, out=total[1:])
