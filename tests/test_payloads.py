@@ -101,10 +101,10 @@ def test_swap_effects(spark):
     cols = ("BETA", "Z", "OR", "ORL95", "ORU95", "EAF", "INFO")
     df = spark.createDataFrame([(0.5, 1.0, 2.0, 1.0, 4.0, 0.25, 0.9), (0.5, 1.0, 0.0, 0.0, 4.0, 0.25, 0.9)], ", ".join(f"{c} double" for c in cols))
     turned = S.swap_effects({c: F.col(c) for c in cols}, F.lit(True))
-    assert [tuple(r) for r in df.select(*[turned[c].alias(c) for c in cols]).collect()] == [(-0.5, -1.0, 0.5, 0.25, 1.0, 0.75, 0.9), (-0.5, -1.0, None, 0.25, None, 0.75, 0.9)]
+    assert [tuple(r) for r in df.select(*[turned[c].alias(c) for c in cols]).collect()] == [(-0.5, -1.0, 0.5, 0.25, 1.0, 0.75, 0.9), (-0.5, -1.0, None, None, None, 0.75, 0.9)]
     twice = S.swap_effects(turned, F.lit(True))
     assert tuple(df.limit(1).select(*[twice[c].alias(c) for c in cols]).first()) == tuple(df.first())
-    assert S.swap_warnings(df, {c: F.col(c) for c in cols}, F.lit(True)).first().asDict() == {"OR": 1, "ORL95": 0, "ORU95": 1}
+    assert S.swap_warnings(df, {c: F.col(c) for c in cols}, F.lit(True)).first().asDict() == {"BETA": 0, "Z": 0, "OR": 1, "ORL95": 1, "ORU95": 1, "EAF": 0}
 
 
 def test_joined_fields(spark):
@@ -145,7 +145,7 @@ def test_ploidy_counts_against_plain_python(spark):
             p = r.m if s == 1 else r.f if s == 2 else r.m
             het += p == 1 and g == 2
             there += p == 0 and g != 1
-        assert (r.x.haploid_het, r.x.absent_nonmissing, r.x.unknown_sex) == (het, there, unknown)
+        assert (r.x.haploid_het_incompatible, r.x.absent_nonmissing, r.x.unknown_sex) == (het, there, unknown)
 
 
 def test_bed_file_and_projection(spark, tmp_path):
@@ -165,8 +165,12 @@ def test_bed_file_and_projection(spark, tmp_path):
     assert got == [[{0: 3, 3: 0}.get(g, g) for g in codes[2].tolist()], [1] * 5, codes[0].tolist()]
     assert [(r.male, r.female) for r in out.ploidy.orderBy("ord").collect()] == [(2, 2), (1, 2), (1, 2)]
     WR.write_bfile(out.variants, out.genotypes, out.samples, out.ploidy, str(tmp_path / "out"))
-    raw = WR.bed_bytes(str(tmp_path / "out"), spark)
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "out.bed").glob("part-*")))
     assert raw[:3] == RD.MAGIC and len(raw) == 3 + 3 * 2
+    (tmp_path / "again.bed").write_bytes(raw)
+    again = RD.read_bed(spark, str(tmp_path / "again.bed"), 5, 3, rows_per_piece=2)
+    assert [list(r.geno) for r in again.orderBy("source_index").collect()] == got
+    assert not [p for p in (tmp_path / "out.bed").iterdir() if not p.name.startswith("part-") and p.suffix != ".crc"]
     with pytest.raises(ValueError):
         RD.read_bed(spark, str(tmp_path / "x.bed"), 5, 7)
 
@@ -204,3 +208,88 @@ def test_id_lookup(spark):
     vo, qc = S.import_sumstats(df, meta, id_lookup=lookup)
     assert [(r.chrom, r.pos, r.id, r.a1) for r in vo.df.collect()] == [("1", 5, "rs1", "A")] and vo.genome_build == "GRCh37"
     assert {r.source_index: r.reason for r in qc.collect()} == {1: "ambiguous_id_match", 2: "id_not_found", 3: "invalid_id", 4: "malformed_row", 5: "non_actg_allele", 6: "duplicate_target"}
+
+
+def test_native_axis(spark):
+    rows = [("1", 5, "a", "A", "C", "s1", 0, "identity"), ("1", 6, "b", "A", "C", ".", -1, "missing"), ("2", 7, "c", "A", "C", "s2", 0, "swap"), ("2", 8, "d", "A", "C", "s3", 0, "identity")]
+    vo = vmap(spark, rows)
+    people = [("s1", 0, "F", "a", 1), ("s1", 1, "F", "b", 2), ("s2", 0, "F", "c", 0), ("s3", 0, "F", "c", 0)]
+    shape = "source_shard string, local_idx int, fid string, iid string, sex int"
+    samples = spark.createDataFrame(people, shape)
+    geno = spark.createDataFrame([("s1", 0, [0, 2]), ("s2", 0, [3]), ("s3", 0, [2])], "source_shard string, source_index long, geno array<tinyint>")
+    out = OG.apply_to_bfile(vo, geno, samples, axis="native", by_contig=True)
+    assert [list(r.geno) for r in out.genotypes.orderBy("ord").collect()] == [[0, 2], [1, 1], [0], [2]]
+    assert [tuple(r) for r in out.samples.orderBy("group", "out_idx").select("group", "out_idx", "iid").collect()] == [("1", 0, "a"), ("1", 1, "b"), ("2", 0, "c")]
+    with pytest.raises(ValueError, match="different samples"):
+        OG.apply_to_bfile(vo, geno, samples, axis="native")
+    with pytest.raises(ValueError, match="no row with a source"):
+        OG.apply_to_bfile(vmap(spark, [*rows, ("3", 1, "e", "A", "C", ".", -1, "missing")]), geno, samples, axis="native", by_contig=True)
+    other = spark.createDataFrame([*people[:3], ("s3", 0, "F", "d", 0)], shape)
+    with pytest.raises(ValueError, match="different samples"):
+        OG.apply_to_bfile(vo, geno, other, axis="native", by_contig=True)
+
+
+def test_payloads_without_a_source_are_errors(spark):
+    samples = spark.createDataFrame([(".", 0, "F", "a", 1)], "source_shard string, local_idx int, fid string, iid string, sex int")
+    geno = spark.createDataFrame([(".", 0, [0])], "source_shard string, source_index long, geno array<tinyint>")
+    none = vmap(spark, [("1", 5, "a", "A", "C", ".", -1, "missing")])
+    for only in (False, True):
+        with pytest.raises(ValueError):
+            OG.apply_to_bfile(none, geno, samples, only_mapped=only)
+    with pytest.raises(ValueError):
+        OG.apply_to_bfile(none.with_df(none.df.limit(0)), geno, samples)
+    with pytest.raises(ValueError, match="MT:20000"):
+        OG.apply_to_bfile(vmap(spark, [("MT", 20000, "a", "A", "C", ".", 0, "identity")]), geno, samples)
+
+
+def test_reconciliation_totals(spark):
+    people = [("s1", 0, "F", "a", 1), ("s2", 0, "F", "a", 1), ("s2", 1, "F", "b", 0), ("s2", 2, "F", "c", 0)]
+    samples = spark.createDataFrame(people, "source_shard string, local_idx int, fid string, iid string, sex int")
+    vo = vmap(spark, [("1", i, "a", "A", "C", s, i, "identity") for i, s in enumerate(["s1", "s1", "s1", "s2"], 1)] + [("1", 9, "b", "A", "C", ".", -1, "missing")])
+    got = OG.reconciliation_totals(vo, OG.axis_maps(samples, OG.union_axis(samples))).first().asDict()
+    assert got == {"mapped_variants": 4, "output_samples": 3, "added_missing": 6, "variants_over_half": 3, "subjects_over_half": 2}
+
+
+def test_text_columns_that_are_absent(spark):
+    vo = vmap(spark, [("1", 5, "rs1", "A", "C", ".", 0, "swap")])
+    df = spark.createDataFrame([("9", "x", 0)], "CHROM string, BETA string, source_index long")
+    out = S.apply_to_sumstats(vo, df, {"col_CHR": "chrom", "col_POS": "BP", "col_EffectAllele": "A1", "col_BETA": "BETA"})
+    assert out.columns == ["ord", "CHROM", "BETA", "BP", "A1"] and tuple(out.first()) == (0, "1", "n/a", "5", "A")
+    with pytest.raises(ValueError):
+        S.apply_to_sumstats(vo, df, {"col_CHR": "chrom", "col_POS": "MARK", "col_SNP": "MARK"})
+    with pytest.raises(ValueError):
+        S.apply_to_sumstats(vo, df, {"col_CHR": "nothing"})
+    with pytest.raises(ValueError):
+        S.apply_to_sumstats(vo, df, {"col_CHR": "chrom", "col_BETA": "BETA"}, clean=True)
+    with pytest.warns(UserWarning, match="1 values of BETA"):
+        S.apply_to_sumstats(vo, df, {"col_CHR": "chrom", "col_BETA": "BETA"}, warn=True)
+
+
+def test_delimiters(spark, tmp_path):
+    for name, text in {"c": "SNP, CHR, BP\nrs1, 1, 5\n", "t": "SNP\tCHR,x\tBP\nrs1\t1\t5\n", "s": "SNP CHR  BP\nrs1  1 5\n"}.items():
+        (tmp_path / name).write_text(text)
+        df = RD.read_sumstats(spark, str(tmp_path / name))
+        assert df.columns[0] == "SNP" and df.columns[2] == "BP" and tuple(df.first())[:3] == ("rs1", "1", "5")
+
+
+def test_wide_vcf_and_headers_of_shards(spark, tmp_path):
+    (tmp_path / "w.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\n" + "".join(f"1\t{i}\tr{i}\tA\tG\t.\t.\t.\tGT" + "\t0/1" * 50 + "\n" for i in range(1, 20)))
+    vo, _ = RD.read_vcf(spark, str(tmp_path / "w.vcf"))
+    assert [r.id for r in vo.df.orderBy("ord").collect()] == [f"r{i}" for i in range(1, 20)]
+    (tmp_path / "p1.pvar").write_text("#CHROM\tPOS\tID\tREF\tALT\n1\t5\ta\tA\tG\n1\t6\n")
+    (tmp_path / "p2.pvar").write_text("##x\n#CHROM\tID\tALT\tREF\tPOS\n2\tb\tG\tA\t7\n")
+    vo, qc = RD.read_pvar(spark, str(tmp_path / "p@.pvar"))
+    assert [(r.chrom, r.pos, r.id, r.a1, r.a2) for r in vo.df.orderBy("ord").collect()] == [("1", 5, "a", "G", "A"), ("2", 7, "b", "G", "A")]
+    assert [(r.source_index, r.reason) for r in qc.collect()] == [(1, "malformed_row")]
+
+
+def test_headers_over_blocks(spark):
+    rng = random.Random(3)
+    lines = [">x0"] + [f">x{i}" if rng.random() < 0.1 else f"l{i}" for i in range(1, 200)]
+    df = spark.createDataFrame(list(enumerate(lines)), "index long, line string").repartition(5)
+    got = {r["index"]: r.name for r in RD.under_headers(df, F.col("line").startswith(">"), {"name": F.substring("line", 2, 9)}, block=7).collect()}
+    now, want = None, {}
+    for i, x in enumerate(lines):
+        now = x[1:] if x[0] == ">" else now
+        want[i] = now
+    assert got == want

@@ -39,6 +39,12 @@ def test_match(spark):
     assert V.match_to_target(source.with_df(source.df.limit(0)), target).df.filter("source_index = -1").count() == 4
 
 
+def test_a_target_that_is_there_twice_is_an_error(spark):
+    source = vmap(spark, [("1", 100, "s0", "A", "G", ".", 0, "identity")])
+    with pytest.raises(ValueError, match="1:100:A:G occurs 2 times"):
+        V.match_to_target(source, vtable(spark, [("1", 100, "t0", "A", "G"), ("1", 100, "t1", "A", "G")]))
+
+
 def test_operations_form_a_group(spark):
     ops = [*A.OPS, A.MISSING]
     df = spark.createDataFrame([(x, y, z) for x in ops for y in ops for z in ops], "x string, y string, z string")
@@ -192,5 +198,13 @@ def test_guess_and_prepare(spark, blocks):
     assert set(qc) == {"normalize_contigs", "restrict"}
     again, _ = prepare_variants_sharded(vo, [["1"], ["2"]], {"GRCh37": blocks, "GRCh38": other}, {}, dst_build="GRCh37", drop_ambiguous=True)
     assert got(again, "id") == got(out, "id")
+    # Labels of X in any spelling are in its group; what is in no group is named.
+    spelled = vmap(spark, [(c, p, f"v{c}{p}", "ACGT"[("ACGT".index(SEQ[p - 1]) + 1) % 4], SEQ[p - 1], ".", 100 + i, "identity") for i, (c, p) in enumerate([("XY", 3), ("par1", 4), ("chrX_PAR1", 5), ("23", 6), ("X", 7), ("GL000", 8), ("5", 9)])], build="GRCh37", naming=None)
+    both = {"GRCh37": blocks.union(blocks.withColumn("contig", F.lit("X")))}
+    parts, qcs = prepare_variants_sharded(spelled, [["1"], ["X"]], both, {}, dst_build="GRCh37", flips=False, norm_indels=False)
+    assert [(r.chrom, r.pos) for r in parts.df.orderBy("ord").collect()] == [("X", p) for p in range(3, 8)]
+    assert sorted(r.source_index for r in qcs[-1]["outside"].collect()) == [105, 106]
+    with pytest.raises(ValueError):
+        prepare_variants_sharded(spelled, [["1"], ["1"]], both, {})
     with pytest.raises(ValueError):
         project_payload(None, "sumstats", vtable(spark, [("1", 1, "a", "A", "C")]))

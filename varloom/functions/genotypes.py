@@ -99,7 +99,7 @@ def count_where(values: Column) -> Column:
 
 
 def code_ploidy_issues(codes: Column, sexes: Column, male: Column, female: Column) -> Column:
-    """struct(haploid_het, absent_nonmissing, unknown_sex) of a row; sexes: 1 men, 2 women, others unknown.
+    """struct(haploid_het_incompatible, absent_nonmissing, unknown_sex) of a row; sexes: 1 men, 2 women, others unknown.
 
     Where men and women differ a sample of unknown sex is skipped and counted.
     """
@@ -108,7 +108,7 @@ def code_ploidy_issues(codes: Column, sexes: Column, male: Column, female: Colum
     het = F.zip_with(codes, sexes, lambda g, s: (ploidy(s) == 1) & (g == HET))
     there = F.zip_with(codes, sexes, lambda g, s: (ploidy(s) == 0) & (g != MISSING))
     unknown = F.when(differs, F.size(F.filter(sexes, lambda s: ~s.isin(1, 2)))).otherwise(0)
-    return F.struct(count_where(het).alias("haploid_het"), count_where(there).alias("absent_nonmissing"), unknown.alias("unknown_sex"))
+    return F.struct(count_where(het).alias("haploid_het_incompatible"), count_where(there).alias("absent_nonmissing"), unknown.alias("unknown_sex"))
 
 
 def pair_ploidy_issues(pairs: Column, dosage: Column, sexes: Column, male: Column, female: Column) -> Column:
@@ -121,5 +121,5 @@ def pair_ploidy_issues(pairs: Column, dosage: Column, sexes: Column, male: Colum
     hard = F.zip_with(classes, sexes, lambda c, s: (ploidy(s) == 0) & (c != "fully_missing"))
     dose = F.zip_with(dosage, sexes, lambda d, s: (ploidy(s) == 0) & (d != NONE))
     unknown = F.when(differs, F.size(F.filter(sexes, lambda s: ~s.isin(1, 2)))).otherwise(0)
-    names = ("haploid_het", "malformed_partial", "absent_hardcall", "absent_dosage")
+    names = ("haploid_het_incompatible", "malformed_partial", "absent_hardcall", "absent_dosage")
     return F.struct(*[count_where(v).alias(k) for k, v in zip(names, (het, malformed, hard, dose), strict=True)], unknown.alias("unknown_sex"))

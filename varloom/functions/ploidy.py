@@ -48,6 +48,14 @@ def ploidy_pair(chrom: Column, pos: Column, build: str) -> Column:
     return F.when(~haploid | in_par(contig, pos, build), pair(2, 2)).when(known, single)
 
 
+def check_ploidy_regions(variants: DataFrame, build: str) -> None:
+    """Raise a ValueError at a variant on X, Y or MT that lies in no region of the model."""
+    contig = normalize_label(F.col("chrom"))
+    bad = variants.filter(contig.isin(*SINGLE) & ploidy_pair(F.col("chrom"), F.col("pos"), build).isNull()).select("chrom", "pos").first()
+    if bad is not None:
+        raise ValueError(f"no ploidy region has {bad.chrom}:{bad.pos}")
+
+
 def ploidy_regions(spark: SparkSession, build: str) -> DataFrame:
     """(contig, start, end, male, female): a row for each interval; a null end is the contig's end."""
     rows = []

@@ -35,11 +35,16 @@ def _poly(x: str, low_first) -> str:
     return out
 
 
-def qnorm_sql(p: str) -> str:
-    """SQL text of the standard normal quantile, the same for Spark and DuckDB; null outside (0, 1)."""
+def tail_sql(p: str) -> str:
+    """SQL text of the argument that the tails of the quantile are polynomials of."""
+    return f"sqrt(-ln(CASE WHEN ({p}) < 0.5e0 THEN ({p}) ELSE 1e0 - ({p}) END))"
+
+
+def qnorm_sql(p: str, tail: str | None = None) -> str:
+    """SQL text of the standard normal quantile, the same for Spark and DuckDB; null outside (0, 1). ``tail``: where its argument is at hand."""
     q = f"(({p}) - 0.5e0)"
     r0 = f"(0.180625e0 - {q} * {q})"
-    tail = f"sqrt(-ln(CASE WHEN {q} < 0 THEN ({p}) ELSE 1e0 - ({p}) END))"
+    tail = tail or tail_sql(p)
     mid, far = f"({tail} - 1.6e0)", f"({tail} - 5e0)"
     ratio = lambda k, x: f"({_poly(x, AS241[k][0])}) / ({_poly(x, AS241[k][1])})"
     side = f"(CASE WHEN {q} < 0 THEN -1e0 ELSE 1e0 END)"
@@ -60,6 +65,12 @@ def _bound(value: str, body: Callable[[str], str]) -> Column:
     return F.expr(f"get(transform(array({value}), v -> {body('v')}), 0)")
 
 
+def _quantile(value: str) -> Column:
+    """The normal quantile of a value; the value and the root of its logarithm are computed once."""
+    both = f"transform(array({value}), v -> named_struct('p', v, 't', CASE WHEN v > 0 AND v < 1 THEN {tail_sql('v')} END))"
+    return F.expr(f"get(transform({both}, s -> {qnorm_sql('s.p', 's.t')}), 0)")
+
+
 def _name(c: Column | str) -> str:
     if not isinstance(c, str):
         raise TypeError("give the name of a column")
@@ -69,7 +80,7 @@ def _name(c: Column | str) -> str:
 def qnorm(name: str) -> Column:
     """The standard normal quantile of a column of probabilities; -Inf and Inf at 0 and 1."""
     n = _name(name)
-    return F.expr(f"CASE WHEN {n} = 0 THEN double('-Infinity') WHEN {n} = 1 THEN double('Infinity') ELSE {qnorm_sql(n)} END")
+    return F.when(F.col(n) == 0, float("-inf")).when(F.col(n) == 1, float("inf")).otherwise(_quantile(n))
 
 
 def pnorm(name: str) -> Column:
@@ -90,7 +101,7 @@ def _c(name: str) -> Column:
 
 def z_from_p_beta(p: str, beta: str) -> Column:
     sign = F.signum(_c(beta))
-    half = F.abs(_bound(f"{p} / 2e0", qnorm_sql))
+    half = F.abs(_quantile(f"{p} / 2e0"))
     return F.when(_c(p) == 0, F.when(sign != 0, sign * F.lit(float("inf")))).otherwise(sign * half)
 
 

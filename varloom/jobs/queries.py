@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import stats
 from varloom.functions.alleles import classify_op, compose_op, is_swap, variant_id
-from varloom.functions.contigs import NAMINGS, canonical, canonical_any, normalize_label, render
+from varloom.functions.contigs import NAMINGS, canonical, canonical_any, normalize_label, rank, render
 from varloom.functions.ploidy import PAR, join_ploidy, ploidy_pair, splitx_label
 from varloom.jobs import derived as D
 from varloom.jobs.workflows import prepare_variants, project_payload
@@ -82,11 +82,11 @@ def match_to_target(spark, sf_dir):
     return rows(V.match_to_target(source(spark, sf_dir), target(spark, sf_dir)))
 
 
-@query(f"""SELECT chrom, pos, id, a1, a2, ord FROM ({D.TARGET}) t WHERE ord % 2 = 0
+@query(f"""SELECT chrom, pos, id, a1, a2, ord FROM ({D.TARGET}) t WHERE {RC.format('a1')} <> a2
 AND EXISTS (SELECT 1 FROM ({D.SOURCE}) s WHERE s.chrom = t.chrom AND s.pos = t.pos AND s.a1 = t.a1 AND s.a2 = t.a2)""")
 def intersect_variants(spark, sf_dir):
     t = target(spark, sf_dir)
-    return rows(V.intersect_variants(t, source(spark, sf_dir), t.with_df(t.df.filter("ord % 2 = 0"))))
+    return rows(V.intersect_variants(t, source(spark, sf_dir), V.drop_strand_ambiguous(t)))
 
 
 @query(f"""WITH u AS (SELECT chrom, pos, id, a1, a2, 0 AS i, ord FROM ({D.SOURCE}) s UNION ALL SELECT chrom, pos, concat('t', id), a1, a2, 1, ord FROM ({D.TARGET}) t),
@@ -275,9 +275,15 @@ def normalize_indels(spark, sf_dir):
     return rows(R.restrict_build_compatible(vo, D.genome(vo.df, around=3), allow_strand_flips=True, norm_indels=True, sort=True)[0])
 
 
-@query()
+#: The digest that a sample is ordered by.
+DIGEST = "md5(concat_ws(':', '1', CAST(ord AS STRING), chrom, CAST(pos AS STRING), a1, a2))"
+
+
+@query(f"""WITH s AS (SELECT *, {base('chrom', 'pos')} AS r37, {base('chrom', 'pos', 31)} AS r38 FROM ({D.TARGET}) t ORDER BY {DIGEST}, ord LIMIT 10000),
+e AS (SELECT 'GRCh37' AS build, count(*) AS considered, count(*) FILTER (r37 IN (a1, a2)) AS compatible FROM s UNION ALL SELECT 'GRCh38', count(*), count(*) FILTER (r38 IN (a1, a2)) FROM s),
+r AS (SELECT *, compatible / CAST(considered AS DOUBLE) AS rate FROM e), b AS (SELECT max(rate) AS best, max(rate) - min(rate) AS lead, arg_max(build, rate) AS top FROM r)
+SELECT build, considered, compatible, rate, CASE WHEN best >= 0.6 AND lead >= 0.1 THEN top ELSE 'unknown' END AS guess, CASE WHEN best >= 0.6 AND lead >= 0.1 THEN CASE WHEN best >= 0.85 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence FROM r, b""")
 def guess_build(spark, sf_dir):
-    """No SQL: the sample is by a hash that DuckDB lacks."""
     t = target(spark, sf_dir)
     vo = VariantObject(t.df, "unknown", NAMING)
     return R.guess_build(vo, {"GRCh37": D.genome(t.df), "GRCh38": D.genome(t.df, shift=31)})[1]
@@ -429,6 +435,78 @@ def apply_text_sumstats(spark, sf_dir):
     return S.apply_to_sumstats(vmap, sumstats(spark, sf_dir), META, retain_id=True)
 
 
+@query(f"""SELECT count(*) FILTER (x.beta_milli <> '' AND TRY_CAST(x.beta_milli AS DOUBLE) IS NULL) AS "BETA", count(*) FILTER (x.eaf = '1.5') AS "EAF"
+FROM ({MATCH}) m JOIN ({D.SUMSTATS}) x ON x.source_index = m.source_index WHERE {SWAPPED}""")
+def swap_warnings(spark, sf_dir):
+    """How many values a swap could not turn; a missing cell is none of them."""
+    vmap = V.match_to_target(source(spark, sf_dir), target(spark, sf_dir))
+    raw = sumstats(spark, sf_dir).withColumn("eaf", F.when(F.col("eaf") == "1.5", "what").otherwise(F.col("eaf")))
+    joined = S.attach_payload(vmap, raw)
+    cells = {"BETA": F.col("p__beta_milli"), "EAF": F.col("p__eaf")}
+    return S.swap_warnings(joined, {k: stats.numeric(c) for k, c in cells.items()}, is_swap(F.col("allele_op")) & (F.col("source_index") != -1), cells)
+
+
+ABSENT_META = {"col_CHR": "chr", "col_POS": "position", "col_SNP": "marker", "col_EffectAllele": "ea", "col_BETA": "beta_milli"}
+
+
+@query(f"""SELECT m.ord, m.chrom AS chr, m.a1 AS ea, {_text(f"CASE WHEN {SWAPPED} THEN CAST(-TRY_CAST(x.beta_milli AS DOUBLE) AS STRING) ELSE x.beta_milli END")} AS beta_milli, {_text('x.n')} AS n,
+CAST(m.pos AS STRING) AS position, concat_ws(':', m.chrom, CAST(m.pos AS STRING), m.a1, m.a2) AS marker
+FROM ({MATCH}) m LEFT JOIN ({D.SUMSTATS}) x ON x.source_index = m.source_index""")
+def apply_text_absent_columns(spark, sf_dir):
+    """Columns that metadata names and the table lacks are added; what it doesn't name is not."""
+    vmap = V.match_to_target(source(spark, sf_dir), target(spark, sf_dir))
+    return S.apply_to_sumstats(vmap, sumstats(spark, sf_dir).select("chr", "ea", "beta_milli", "n", "source_index"), ABSENT_META)
+
+
+LOGISTIC = f"""SELECT source_index, TRY_CAST(n AS DOUBLE) / 1000e0 + 10 AS case_n, 400e0 AS control_n, CASE WHEN TRY_CAST(se_milli AS DOUBLE) > 0 THEN TRY_CAST(se_milli AS DOUBLE) / 10e0 END AS odds,
+CASE WHEN p = 'inf' THEN NULL ELSE round(-log10(TRY_CAST(p AS DOUBLE)), 6) END AS lp, CASE WHEN eaf <> '1.5' THEN TRY_CAST(eaf AS DOUBLE) END AS oaf FROM ({D.SUMSTATS}) x"""
+LOGISTIC_META = {"stats_Model": "logistic", "stats_ControlN": 400, "stats_neglog10P": True, "col_OR": "odds", "col_ORL95": "low", "col_ORU95": "high", "col_P": "lp", "col_CaseN": "case_n", "col_CaseOAF": "oaf", "col_ControlEAF": "control_af"}
+
+
+def _logistic(spark, sf_dir) -> DataFrame:
+    df = sumstats(spark, sf_dir)
+    se, p, eaf = stats.numeric(F.col("se_milli")), F.when(F.col("p") != "inf", stats.numeric(F.col("p"))), F.when(F.col("eaf") != "1.5", F.col("eaf"))
+    odds = F.when(se > 0, se / 10)
+    return df.select(
+        "source_index", odds.cast("string").alias("odds"), (odds / 2).cast("string").alias("low"), (odds * 3).cast("string").alias("high"), F.round(-F.log10(p), 6).cast("string").alias("lp"),
+        (stats.numeric(F.col("n")) / 1000 + 10).cast("string").alias("case_n"), eaf.alias("oaf"), F.lit("0.25").alias("control_af"),
+    )
+
+
+HARMONIZED_LOGISTIC = f"""SELECT source_index, pow(10e0, -lp) AS p, odds, odds / 2 AS low, odds * 3 AS high, case_n, 4e0 / (1e0 / case_n + 1e0 / control_n) AS neff, 1 - oaf AS case_af,
+((1 - oaf) * case_n + 0.25e0 * control_n) / (case_n + control_n) AS af, ln(odds) AS beta, CASE WHEN odds IS NOT NULL THEN (ln(odds * 3) - ln(odds / 2)) / (2 * {stats.Z975!r}) END AS se FROM ({LOGISTIC}) l"""
+LOGISTIC_Z = f"SELECT *, sign(beta) * abs({stats.qnorm_sql('(p / 2e0)')}) AS z FROM ({HARMONIZED_LOGISTIC}) h"
+LOGISTIC_COLUMNS = {"P": "p", "Z": "z", "N": "neff", "BETA": "beta", "OR": "odds", "SE": "se", "ORL95": "low", "ORU95": "high", "CaseN": "case_n", "EAF": "af", "CaseEAF": "case_af"}
+
+
+@query("SELECT source_index, " + ", ".join(f'round({c}, 7) + 0.0 AS "{k}"' for k, c in LOGISTIC_COLUMNS.items()) + f', CASE WHEN source_index >= 0 THEN 400e0 END AS "ControlN", CASE WHEN source_index >= 0 THEN 0.25e0 END AS "ControlEAF" FROM ({LOGISTIC_Z}) z')
+def harmonize_logistic(spark, sf_dir):
+    """Odds ratios with bounds, -log10 P, effective size, and the frequency of the other allele."""
+    made = S.harmonize_sumstats(_logistic(spark, sf_dir), LOGISTIC_META)
+    return made.select("source_index", *[(F.round(c, 7) + 0.0).alias(c) for c in LOGISTIC_COLUMNS], "ControlN", "ControlEAF")
+
+
+@query(f"""SELECT m.ord, round(CASE WHEN {SWAPPED} THEN 1 / odds ELSE odds END, 7) + 0.0 AS "OR", round(CASE WHEN {SWAPPED} THEN 1 / high ELSE low END, 7) + 0.0 AS "ORL95", round(CASE WHEN {SWAPPED} THEN 1 / low ELSE high END, 7) + 0.0 AS "ORU95",
+round(CASE WHEN {SWAPPED} THEN -beta ELSE beta END, 7) + 0.0 AS "BETA", round(CASE WHEN {SWAPPED} THEN 1 - case_af ELSE case_af END, 7) + 0.0 AS "CaseEAF" FROM ({MATCH}) m JOIN ({LOGISTIC_Z}) h ON h.source_index = m.source_index WHERE p IS NOT NULL""")
+def apply_clean_logistic(spark, sf_dir):
+    vmap = V.match_to_target(source(spark, sf_dir), target(spark, sf_dir))
+    df = _logistic(spark, sf_dir).join(sumstats(spark, sf_dir).select("source_index", "chr", "bp", "ea", "oa"), "source_index")
+    meta = LOGISTIC_META | {k: META[k] for k in ("col_CHR", "col_POS", "col_EffectAllele", "col_OtherAllele")}
+    out = S.apply_to_sumstats(vmap, df, meta, clean=True, only_mapped=True)
+    return out.select("ord", *[(F.round(c, 7) + 0.0).alias(c) for c in ("OR", "ORL95", "ORU95", "BETA", "CaseEAF")])
+
+
+INFERRED = f"""SELECT source_index, z, n1, af, CASE WHEN spread > 0 THEN z / sqrt(spread) END AS beta, CASE WHEN spread > 0 THEN 1 / sqrt(spread) END AS se
+FROM (SELECT *, 2e0 * af * (1 - af) * (n1 + z * z) AS spread FROM (SELECT source_index, b1 / 100e0 AS z, n1, 1 - eaf1 AS af FROM ({CLEAN}) c0) c1) c2"""
+
+
+@query(f"""SELECT source_index, round(2e0 * ({stats.pnorm_tail_sql('z')}), 9) + 0.0 AS "P", round(z, 9) + 0.0 AS "Z", n1 AS "N", round(beta, 9) + 0.0 AS "BETA", round(se, 9) + 0.0 AS "SE", round(af, 9) + 0.0 AS "EAF" FROM ({INFERRED}) i""")
+def infer_by_frequency(spark, sf_dir):
+    """BETA and SE from Z, N and the allele's frequency, which is given for the other allele."""
+    df = sumstats(spark, sf_dir).select("source_index", (stats.numeric(F.col("beta_milli")) / 100).cast("string").alias("z"), "n", "eaf")
+    return _rounded(S.harmonize_sumstats(df, {"stats_Model": "linear", "col_Z": "z", "col_N": "n", "col_OAF": "eaf"}, use_af_inference=True), "source_index")
+
+
 # Genotypes
 
 GENO = f"SELECT source_shard, source_index, n_nationkey, CAST((source_index * 31 + n_nationkey * 17) % 4 AS INT) AS code FROM ({D.SOURCE}) s, nation n WHERE source_index <> -1"
@@ -468,10 +546,10 @@ PLOIDY_OF = "CASE sex WHEN 1 THEN male WHEN 2 THEN female ELSE CASE WHEN male =
 
 
 @query(f"""WITH p AS (SELECT *, {_pair('male')} AS male, {_pair('female')} AS female FROM ({CELLS}) c),
-n AS (SELECT ord, source_shard, source_index, id, count(*) FILTER (({PLOIDY_OF}) = 1 AND code = 2) AS haploid_het, count(*) FILTER (({PLOIDY_OF}) = 0 AND code <> 1) AS absent_nonmissing, count(*) FILTER (male <> female AND sex NOT IN (1, 2)) AS unknown_sex
+n AS (SELECT ord, source_shard, source_index, id, count(*) FILTER (({PLOIDY_OF}) = 1 AND code = 2) AS haploid_het, count(*) FILTER (({PLOIDY_OF}) = 0 AND code <> 1) AS absent_nonmissing
 FROM p WHERE male <> 2 OR female <> 2 GROUP BY ord, source_shard, source_index, id)
 SELECT source_shard, source_index, id, status, n_affected FROM (
-SELECT source_shard, source_index, id, 'haploid_het' AS status, haploid_het AS n_affected FROM n UNION ALL SELECT source_shard, source_index, id, 'absent_nonmissing', absent_nonmissing FROM n UNION ALL SELECT source_shard, source_index, id, 'unknown_sex', unknown_sex FROM n) u WHERE n_affected > 0""")
+SELECT source_shard, source_index, id, 'haploid_het_incompatible' AS status, haploid_het AS n_affected FROM n UNION ALL SELECT source_shard, source_index, id, 'absent_nonmissing', absent_nonmissing FROM n) u WHERE n_affected > 0""")
 def ploidy_issues(spark, sf_dir):
     return _bfile(spark, sf_dir).qc
 
@@ -481,6 +559,53 @@ def reconciliation(spark, sf_dir):
     return _bfile(spark, sf_dir).summary
 
 
+@query(f"""SELECT CAST(count(*) AS BIGINT) AS unknown_sex FROM (SELECT *, {_pair('male')} AS male, {_pair('female')} AS female FROM ({CELLS}) c) p WHERE male <> female AND sex NOT IN (1, 2)""")
+def unvalidated_ploidy(spark, sf_dir):
+    return _bfile(spark, sf_dir).unvalidated
+
+
+#: Payload shards by the part of a source row, each with samples of its own: shard s has the customers of nation s modulo 5.
+SHARDED = f"SELECT m.chrom, m.pos, m.id, m.a1, m.a2, CASE WHEN m.source_index = -1 THEN '.' ELSE concat('s', CAST(m.source_index % 5 AS STRING)) END AS source_shard, m.source_index, m.allele_op, m.ord FROM ({MATCH}) m"
+SHARD_SAMPLES = """SELECT concat('s', CAST(c_nationkey % 5 AS STRING)) AS source_shard, CAST(row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) - 1 AS INT) AS local_idx,
+'F' AS fid, concat('I', CAST(c_custkey % 40 + 10 * (c_nationkey % 5) AS STRING)) AS iid, 0 AS sex FROM (SELECT min(c_custkey) AS c_custkey, min(c_nationkey) AS c_nationkey FROM {customer} c1 GROUP BY c_custkey % 40, c_nationkey % 5) c2"""
+
+
+@query(f"""WITH v AS ({SHARDED}), s AS ({SHARD_SAMPLES}), a AS (SELECT DISTINCT iid FROM s), sh AS (SELECT DISTINCT source_shard FROM s),
+n AS (SELECT source_shard, count(*) AS n FROM v WHERE source_index <> -1 GROUP BY source_shard),
+g AS (SELECT sh.source_shard, a.iid, s.iid IS NULL AS lost FROM a, sh LEFT JOIN s ON s.iid = a.iid AND s.source_shard = sh.source_shard),
+c AS (SELECT g.*, n.n FROM g JOIN n ON n.source_shard = g.source_shard),
+per_shard AS (SELECT source_shard, min(n) AS n, count(*) FILTER (lost) AS absent, count(*) AS size FROM c GROUP BY source_shard),
+per_subject AS (SELECT iid, sum(CASE WHEN lost THEN n ELSE 0 END) AS lost, sum(n) AS n FROM c GROUP BY iid)
+SELECT CAST(sum(n) AS BIGINT) AS mapped_variants, CAST(max(size) AS BIGINT) AS output_samples, CAST(sum(n * absent) AS BIGINT) AS added_missing, CAST(coalesce(sum(n) FILTER (absent * 2 > size), 0) AS BIGINT) AS variants_over_half,
+(SELECT count(*) FILTER (lost * 2 > n) FROM per_subject) AS subjects_over_half FROM per_shard""")
+def reconciliation_totals(spark, sf_dir):
+    vmap = target(spark, sf_dir).with_df(V.match_to_target(source(spark, sf_dir), target(spark, sf_dir)).df.withColumn("source_shard", F.when(F.col("source_index") == -1, ".").otherwise(F.concat(F.lit("s"), (F.col("source_index") % 5).cast("string")))))
+    samples = D.view(spark, sf_dir, SHARD_SAMPLES)
+    return G.reconciliation_totals(vmap, G.axis_maps(samples, G.union_axis(samples)))
+
+
+#: The shard of a native axis is that of the contig's parity: each has 25 samples, in opposite orders.
+NATIVE = f"SELECT m0.*, {CI.format(c='m0.chrom')} % 2 AS odd FROM ({MATCH}) m0"
+
+
+@query(f"""SELECT ord, string_agg(CAST(code AS STRING), '' ORDER BY i) AS codes, min(axis) AS axis FROM (
+SELECT m.ord, k.i, CASE WHEN m.source_index = -1 THEN 1 WHEN {SWAPPED} AND c IN (0, 3) THEN 3 - c ELSE c END AS code, CASE WHEN odd = 1 THEN 'I0' ELSE 'I24' END AS axis
+FROM (SELECT n.*, k0.i AS i, CAST((n.source_index * 31 + k0.i * 17) % 4 AS INT) AS c FROM ({NATIVE}) n, (SELECT unnest(range(25)) AS i) k0) m JOIN (SELECT unnest(range(25)) AS i) k ON k.i = m.i) x GROUP BY ord""")
+def apply_native_axis(spark, sf_dir):
+    """Each contig has the samples of its own shard; the first sample tells which."""
+    geno, samples, _ = genotypes(spark, sf_dir)
+    vmap = V.match_to_target(source(spark, sf_dir), target(spark, sf_dir))
+    shard = F.when(F.col("source_index") == -1, ".").otherwise(F.concat(F.lit("s"), (rank(F.col("chrom")) % 2).cast("string")))
+    keyed = vmap.with_df(vmap.df.withColumn("source_shard", shard))
+    both = samples.drop("source_shard").withColumn("source_shard", F.explode(F.array(F.lit("s0"), F.lit("s1"))))
+    both = both.withColumn("local_idx", F.when(F.col("source_shard") == "s1", 24 - F.col("local_idx")).otherwise(F.col("local_idx"))).select(*samples.columns)
+    placed = keyed.df.filter("source_index <> -1").select("source_shard", "source_index").distinct().join(geno.drop("source_shard"), "source_index")
+    out = G.apply_to_bfile(keyed, placed, both, axis="native", by_contig=True)
+    first = out.samples.filter("out_idx = 0").select(F.col("group").alias("chrom"), F.col("iid").alias("axis"))
+    named = out.genotypes.join(out.variants.select("ord", "chrom"), "ord").join(F.broadcast(first), "chrom")
+    return named.select("ord", F.array_join(F.transform("geno", lambda g: g.cast("string")), "").alias("codes"), "axis")
+
+
 @query(f"""SELECT ord, string_agg(CAST(CASE code WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE -9 END AS STRING), ',' ORDER BY i) AS dosage,
 string_agg(CASE code WHEN 0 THEN '1/1' WHEN 2 THEN CASE WHEN {SWAPPED.replace('m.', '')} THEN '1/0' ELSE '0/1' END WHEN 3 THEN '0/0' ELSE '-9/-9' END, ',' ORDER BY i) AS alleles
 FROM (SELECT x.*, m.allele_op FROM ({CELLS}) x JOIN ({MATCH}) m ON m.ord = x.ord) c GROUP BY ord""")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from varloom.functions.contigs import canonical_any
-from varloom.model import VariantObject
+from varloom.functions.contigs import CANONICAL, normalize_label
+from varloom.model import VariantObject, status_qc
 from varloom.operators import genotypes as G
 from varloom.operators.reference import guess_build, liftover_build, restrict_build_compatible
 from varloom.operators.sumstats import apply_to_sumstats
@@ -57,11 +58,20 @@ def prepare_variants(
     return vo, qc
 
 
-def prepare_variants_sharded(imported: VariantObject, groups: list[list[str]], blocks, chains, **options) -> tuple[VariantObject, list[dict[str, DataFrame]]]:
-    """``prepare_variants`` of each group of contigs, so that every group tells its own build, one behind the other."""
+def prepare_variants_sharded(imported: VariantObject, groups: list[list[str]] | None, blocks, chains, **options) -> tuple[VariantObject, list[dict[str, DataFrame]]]:
+    """``prepare_variants`` of each group of contigs, so that every group tells its own build, one behind the other.
+
+    Labels of any spelling count for their contig, X with its pseudoautosomal
+    labels. Without ``groups`` every contig is one. Rows whose contig is in no group
+    have the status ``outside_groups`` in the last QC.
+    """
+    groups = groups if groups is not None else [[c] for c in CANONICAL]
+    if len({c for g in groups for c in g}) < sum(map(len, groups)):
+        raise ValueError("a contig is in two groups")
+    contig = normalize_label(F.col("chrom"))
     done, qcs = [], []
     for group in groups:
-        part = imported.with_df(imported.df.filter(canonical_any(imported.df["chrom"]).isin(group)))
+        part = imported.with_df(imported.df.filter(contig.isin(group)))
         if part.df.isEmpty():
             continue
         vo, qc = prepare_variants(part, blocks, chains, **options)
@@ -69,6 +79,8 @@ def prepare_variants_sharded(imported: VariantObject, groups: list[list[str]], b
         qcs.append(qc)
     if not done:
         raise ValueError("no group has a variant")
+    outside = imported.df.filter(~F.coalesce(contig.isin([c for g in groups for c in g]), F.lit(False)))
+    qcs.append({"outside": status_qc(imported, outside, "outside_groups")})
     return (concat_groups(*done) if len(done) > 1 else done[0]), qcs
 
 

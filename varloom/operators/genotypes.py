@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from varloom.functions import genotypes as G
 from varloom.functions.alleles import is_swap, variant_id
-from varloom.functions.ploidy import join_ploidy
+from varloom.functions.ploidy import check_ploidy_regions, join_ploidy
 from varloom.model import VariantObject
+from varloom.scratch import materialize
 
 MODES = ("fid_iid", "iid")
+#: One axis for all output, of target samples or of shards that agree; that of all subjects; or that of each output's own shards.
+AXES = ("shared", "union", "native")
 
 
 def subject(mode: str) -> Column:
@@ -41,11 +44,32 @@ def check_samples(samples: DataFrame, mode: str = "fid_iid") -> DataFrame:
     return samples
 
 
+def signatures(samples: DataFrame) -> DataFrame:
+    """(source_shard, signature): a digest of a shard's samples in order, with all the columns that ``samples`` has."""
+    line = F.struct("local_idx", *[c for c in samples.columns if c not in ("source_shard", "local_idx")])
+    return samples.groupBy("source_shard").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(line)), {"ignoreNullFields": "false"}), 256).alias("signature"))
+
+
 def same_signature(samples: DataFrame) -> bool:
-    """Whether all shards list the same samples in the same order."""
-    line = F.struct("local_idx", "fid", "iid", "sex")
-    per = samples.groupBy("source_shard").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(line))), 256).alias("s"))
-    return per.agg(F.countDistinct("s")).first()[0] <= 1
+    """Whether all shards list the same samples, with the same fields, in the same order."""
+    return signatures(samples).agg(F.countDistinct("signature")).first()[0] <= 1
+
+
+def native_axes(vmap: VariantObject, samples: DataFrame, group: Column) -> DataFrame:
+    """(group, out_idx, fid, iid, sex): for each output group the samples of the shards that its rows come from.
+
+    These shards must list the same samples; a group none of whose rows has a source is an error.
+    """
+    used = vmap.df.select(group.alias("group"), F.when(F.col("source_index") != -1, F.col("source_shard")).alias("source_shard"), "ord")
+    per = used.groupBy("group", "source_shard").agg(F.min("ord").alias("first"))
+    per = materialize(per.join(F.broadcast(signatures(samples)), "source_shard", "left"))
+    first = F.min_by("source_shard", F.when(F.col("source_shard").isNotNull(), F.col("first")))
+    by_group = per.groupBy("group").agg(F.count("source_shard").alias("shards"), F.count("signature").alias("known"), F.countDistinct("signature").alias("kinds"), first.alias("source_shard"))
+    bad = by_group.filter("shards = 0 or kinds > 1 or known < shards").first()
+    if bad is not None:
+        why = "has no row with a source" if not bad.shards else "has shards without samples" if bad.known < bad.shards else "has shards with different samples"
+        raise ValueError(f"a native axis is not possible: output {bad['group']} {why}")
+    return samples.join(F.broadcast(by_group.select("group", "source_shard")), "source_shard").select("group", F.col("local_idx").alias("out_idx"), "fid", "iid", "sex")
 
 
 def union_axis(samples: DataFrame, mode: str = "fid_iid") -> DataFrame:
@@ -58,14 +82,14 @@ def union_axis(samples: DataFrame, mode: str = "fid_iid") -> DataFrame:
     bad = per.filter(F.size("sexes") > 1).first()
     if bad is not None:
         raise ValueError(f"sample {tuple(bad.s)} has two sexes")
+    ordered = per.select("at", "fid", "iid", F.coalesce(F.get("sexes", F.lit(0)), F.lit(0)).alias("sex"))
     # One row for each sample of a cohort.
-    ordered = per.select(F.posexplode(F.array(F.struct("at", "fid", "iid", F.coalesce(F.get("sexes", F.lit(0)), F.lit(0)).alias("sex")))).alias("_", "x")).select("x.*")
     listed = ordered.agg(F.array_sort(F.collect_list(F.struct("at", "fid", "iid", "sex"))).alias("all"))
     return listed.select(F.posexplode("all").alias("out_idx", "x")).select("out_idx", "x.fid", "x.iid", "x.sex")
 
 
 def sample_axis(samples: DataFrame, target: DataFrame | None = None, mode: str = "fid_iid", union: bool = False) -> DataFrame:
-    """(out_idx, fid, iid, sex): the given target axis, the union of all shards, or the one axis that they share."""
+    """(out_idx, fid, iid, sex), one axis for all output: the given target axis, the union of all shards, or the one axis that they share."""
     if target is not None:
         return target.select(F.col("local_idx").alias("out_idx"), "fid", "iid", "sex")
     if union:
@@ -92,6 +116,21 @@ def reconciliation(vmap: VariantObject, maps: DataFrame) -> DataFrame:
     return per.join(F.broadcast(maps), "source_shard").select("source_shard", "mapped_rows", F.col("n_absent").alias("absent_samples"), (F.col("mapped_rows") * F.col("n_absent")).alias("added_missing"))
 
 
+def reconciliation_totals(vmap: VariantObject, maps: DataFrame) -> DataFrame:
+    """One row: mapped_variants, output_samples, added_missing, subjects_over_half and variants_over_half.
+
+    The last two count the subjects that are absent from the shards of more
+    than half of the mapped variants, and the variants whose shard lacks more than half of the subjects.
+    """
+    per = vmap.df.filter("source_index <> -1").groupBy("source_shard").agg(F.count("*").alias("n"))
+    both = materialize(per.join(F.broadcast(maps), "source_shard").withColumn("size", F.size("local_of")))
+    over = F.coalesce(F.sum(F.when(F.col("n_absent") * 2 > F.col("size"), F.col("n"))), F.lit(0))
+    sums = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mapped_variants"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("output_samples"), F.coalesce(F.sum(F.col("n") * F.col("n_absent")), F.lit(0)).alias("added_missing"), over.alias("variants_over_half"))
+    absent = both.select("n", F.posexplode("local_of").alias("out_idx", "local")).groupBy("out_idx").agg(F.sum(F.when(F.col("local").isNull(), F.col("n")).otherwise(0)).alias("lost"), F.sum("n").alias("n"))
+    many = absent.agg(F.count_if(F.col("lost") * 2 > F.col("n")).alias("subjects_over_half"))
+    return sums.crossJoin(many)  # one row each
+
+
 def attach_genotypes(vmap: VariantObject, payload: DataFrame, only_mapped: bool = False) -> DataFrame:
     """Rows of a vmap with their payload columns; rows without a source stay out of the join. A missing source is an error."""
     keys = ["source_shard", "source_index"]
@@ -111,6 +150,33 @@ class GenotypeResult:
     ploidy: DataFrame
     qc: DataFrame
     summary: DataFrame
+    #: One row: genotypes that the ploidy check skipped, as their sample has no known sex.
+    unvalidated: DataFrame
+
+
+def require_mapped(vmap: VariantObject, only_mapped: bool) -> None:
+    """Some row has a source; else there is no payload to write."""
+    got = vmap.df.agg(F.count("*").alias("n"), F.count_if(F.col("source_index") != -1).alias("mapped")).first()
+    if not got.n:
+        raise ValueError("the vmap has no row")
+    if not got.mapped:
+        raise ValueError("no row is left" if only_mapped else "no target has a source: all genotypes would be missing")
+
+
+def _axis_rows(vmap: VariantObject, rows: DataFrame, samples: DataFrame, target: DataFrame | None, mode: str, axis: str, group: Column) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with local_of, __sexes and __n, the samples of the output, the maps of shards or None for a native axis)."""
+    if axis not in AXES:
+        raise ValueError(f"the sample axis must be one of {AXES}")
+    if axis != "native":
+        out = sample_axis(samples, target, mode, axis == "union")
+        maps = axis_maps(samples, out, mode)
+        return rows.join(F.broadcast(maps), "source_shard", "left").crossJoin(F.broadcast(_sexes(out))), out, maps  # a row for the cohort
+    if target is not None:
+        raise ValueError("a native axis takes no target samples")
+    out = native_axes(vmap, samples, group)
+    listed = F.array_sort(F.collect_list(F.struct("out_idx", "sex")))
+    per = out.groupBy("group").agg(F.transform(listed, lambda x: x["out_idx"].cast("int")).alias("local_of"), F.transform(listed, lambda x: x["sex"]).alias("__sexes"), F.count("*").cast("int").alias("__n"))
+    return rows.withColumn("group", group).join(F.broadcast(per), "group").drop("group"), out, None
 
 
 def _sexes(axis: DataFrame) -> DataFrame:
@@ -131,7 +197,8 @@ def apply_to_bfile(
     geno: DataFrame,
     samples: DataFrame,
     target_samples: DataFrame | None = None,
-    union: bool = False,
+    axis: str = "shared",
+    by_contig: bool = False,
     sample_id_mode: str = "fid_iid",
     only_mapped: bool = False,
     retain_id: bool = False,
@@ -141,16 +208,19 @@ def apply_to_bfile(
 
     Swapped rows exchange the homozygotes, absent samples and rows without a
     source are missing. Rows that are not diploid in both sexes are checked.
+    A native axis is one for each contig with ``by_contig``, else one for all.
     """
-    axis = sample_axis(samples, target_samples, sample_id_mode, union)
-    maps = axis_maps(samples, axis, sample_id_mode)
-    rows = attach_genotypes(vmap, geno, only_mapped)
-    rows = rows.join(F.broadcast(maps), "source_shard", "left").crossJoin(F.broadcast(_sexes(axis)))  # a row for the cohort
+    require_mapped(vmap, only_mapped)
+    if only_mapped:
+        vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
+    check_ploidy_regions(vmap.df, vmap.genome_build)
+    group = F.col("chrom") if by_contig else F.lit(".")
+    rows, samples_out, maps = _axis_rows(vmap, attach_genotypes(vmap, geno, only_mapped), samples, target_samples, sample_id_mode, axis, group)
     codes = F.when(is_swap(F.col("allele_op")), G.swap_codes(F.col("geno"))).otherwise(F.col("geno"))
     out = F.when(F.col("source_index") == -1, G.missing_codes(F.col("__n"))).otherwise(G.remap(codes, F.col("local_of"), F.lit(G.MISSING).cast("tinyint")))
     rows = join_ploidy(rows.withColumn("geno", out), vmap.genome_build)
-    qc = _issues(rows, G.code_ploidy_issues(F.col("geno"), F.col("__sexes"), F.col("male"), F.col("female")), check_ploidy)
-    return _result(vmap, rows, axis, maps, qc, retain_id, ["geno"])
+    issues = G.code_ploidy_issues(F.col("geno"), F.col("__sexes"), F.col("male"), F.col("female"))
+    return _result(vmap, rows, samples_out, maps, issues, check_ploidy, retain_id, ["geno"])
 
 
 def apply_to_genotype_arrays(
@@ -158,7 +228,8 @@ def apply_to_genotype_arrays(
     arrays: DataFrame,
     samples: DataFrame,
     target_samples: DataFrame | None = None,
-    union: bool = False,
+    axis: str = "shared",
+    by_contig: bool = False,
     sample_id_mode: str = "fid_iid",
     only_mapped: bool = False,
     retain_id: bool = False,
@@ -167,10 +238,12 @@ def apply_to_genotype_arrays(
     """As ``apply_to_bfile`` for (alleles: two for each sample, phase, dosage); -9 is missing."""
     if "allele_ct" in arrays.columns and (bad := arrays.join(vmap.df.select("source_shard", "source_index").distinct(), ["source_shard", "source_index"], "left_semi").filter("allele_ct <> 2").first()) is not None:
         raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} has more than two alleles")
-    axis = sample_axis(samples, target_samples, sample_id_mode, union)
-    maps = axis_maps(samples, axis, sample_id_mode)
-    rows = attach_genotypes(vmap, arrays.drop("allele_ct"), only_mapped)
-    rows = rows.join(F.broadcast(maps), "source_shard", "left").crossJoin(F.broadcast(_sexes(axis)))  # a row for the cohort
+    require_mapped(vmap, only_mapped)
+    if only_mapped:
+        vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
+    check_ploidy_regions(vmap.df, vmap.genome_build)
+    group = F.col("chrom") if by_contig else F.lit(".")
+    rows, samples_out, maps = _axis_rows(vmap, attach_genotypes(vmap, arrays.drop("allele_ct"), only_mapped), samples, target_samples, sample_id_mode, axis, group)
     swap, none = is_swap(F.col("allele_op")), F.col("source_index") == -1
     pairs = F.when(swap, G.swap_pair(F.col("alleles"))).otherwise(F.col("alleles"))
     dose = F.when(swap, G.swap_dosage(F.col("dosage"))).otherwise(F.col("dosage"))
@@ -189,11 +262,16 @@ def apply_to_genotype_arrays(
     if (bad := rows.filter("channel = 'unsupported'").first()) is not None:
         raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} mixes phases and dosages")
     rows = join_ploidy(rows, vmap.genome_build)
-    qc = _issues(rows, G.pair_ploidy_issues(F.col("alleles"), F.col("dosage"), F.col("__sexes"), F.col("male"), F.col("female")), check_ploidy)
-    return _result(vmap, rows, axis, maps, qc, retain_id, ["alleles", "phase", "dosage", "channel"])
+    issues = G.pair_ploidy_issues(F.col("alleles"), F.col("dosage"), F.col("__sexes"), F.col("male"), F.col("female"))
+    return _result(vmap, rows, samples_out, maps, issues, check_ploidy, retain_id, ["alleles", "phase", "dosage", "channel"])
 
 
-def _result(vmap: VariantObject, rows: DataFrame, axis: DataFrame, maps: DataFrame, qc: DataFrame, retain_id: bool, payload: list[str]) -> GenotypeResult:
+def _result(vmap: VariantObject, rows: DataFrame, axis: DataFrame, maps: DataFrame | None, issues: Column, check: bool, retain_id: bool, payload: list[str]) -> GenotypeResult:
+    found = _issues(rows, issues, check)
+    unknown = found.filter("status = 'unknown_sex'").agg(F.coalesce(F.sum("n_affected"), F.lit(0)).alias("unknown_sex"))
+    qc = found.filter("status <> 'unknown_sex'")
+    if maps is None:  # a native axis lacks nobody
+        maps = rows.filter("source_index <> -1").select("source_shard", F.lit(0).cast("long").alias("n_absent")).distinct()
     ident = F.col("id") if retain_id else variant_id(F.col("chrom"), F.col("pos"), F.col("a1"), F.col("a2"))
     variants = rows.select("ord", "chrom", ident.alias("id"), "pos", "a1", "a2")
-    return GenotypeResult(variants, rows.select("ord", *payload), axis, rows.select("ord", "male", "female"), qc, reconciliation(vmap, maps))
+    return GenotypeResult(variants, rows.select("ord", *payload), axis, rows.select("ord", "male", "female"), qc, reconciliation(vmap, maps), unknown)

@@ -76,9 +76,11 @@ def guess_build(vo: VariantObject, blocks: dict[str, DataFrame], sample: int = 1
     spark = vo.df.sparkSession
     contig = canonical(F.col("chrom"), require_naming(vo))
     rows = materialize(sample_rows(vo.df.select("chrom", "pos", "id", "a1", "a2", "ord"), sample))
+    # The blocks that the sample needs are picked by its keys, which are few; no genome is shuffled.
+    keys = rows.select(contig.alias("contig"), F.floor((F.col("pos") - 1) / BLOCK).alias("block")).distinct()
     per = None
     for build, ref in blocks.items():
-        based = with_base(rows, contig, ref)
+        based = with_base(rows, contig, ref.join(F.broadcast(keys), ["contig", "block"], "left_semi"))
         part = based.agg(
             F.lit(build).alias("build"),
             F.count_if(F.col("ref").isin("A", "C", "G", "T")).alias("considered"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -266,27 +267,68 @@ def swap_effects(value: dict[str, Column], swap: Column) -> dict[str, Column]:
         out["OR"] = turned("OR", _inverse(value["OR"]))
     for k, o in (("ORL95", "ORU95"), ("ORU95", "ORL95")):
         if k in value:
-            out[k] = turned(k, _inverse(value.get(o, value[k])))
+            # The bounds of an interval turn together or not at all.
+            whole = _inverse(value[k]).isNotNull()
+            out[k] = turned(k, F.when(whole, _inverse(value.get(o, value[k]))))
     for k in (*OTHER_FREQUENCIES, *OTHER_FREQUENCIES.values()):
         if k in value:
             out[k] = turned(k, 1.0 - value[k])
     return out
 
 
-def swap_warnings(df: DataFrame, value: dict[str, Column], swap: Column) -> DataFrame:
-    """One row: for each column, the swapped values that are there but have no swapped value."""
+TURNED = ("BETA", "Z", "OR", "ORL95", "ORU95", *OTHER_FREQUENCIES, *OTHER_FREQUENCIES.values())
+
+
+def swap_warnings(df: DataFrame, value: dict[str, Column], swap: Column, raw: dict[str, Column] | None = None) -> DataFrame:
+    """One row: for each column that a swap turns, the swapped cells that say something but have no turned value.
+
+    ``raw``: the cells as they were read; without it, ``value`` itself.
+    """
     after = swap_effects(value, swap)
-    return df.agg(*[F.count_if(swap & value[k].isNotNull() & after[k].isNull()).alias(k) for k in value if k in ("OR", "ORL95", "ORU95")] or [F.lit(0).alias("none")])
+    said = lambda k: ~stats.is_missing_token(raw[k].cast("string")) & ~F.lower(F.trim(raw[k].cast("string"))).isin("na", "n/a") if raw else value[k].isNotNull()
+    lost = lambda k: after[k].isNull() | F.isnan(after[k]) | (F.abs(after[k]) == float("inf"))
+    return df.agg(*[F.count_if(swap & said(k) & lost(k)).alias(k) for k in TURNED if k in value] or [F.lit(0).alias("none")])
+
+
+def warn_of_swaps(counts: DataFrame) -> None:
+    for name, n in counts.first().asDict().items():
+        if n:
+            warnings.warn(f"{n} values of {name} could not be turned and are missing now", stacklevel=3)
+
+
+def named_columns(columns: Sequence[str], meta: dict) -> tuple[dict[str, str], dict[str, str]]:
+    """(the variant columns that are there, those that metadata names but the table lacks) for output in the input's form.
+
+    The chromosome must be there. A column that is not can stand for one field only.
+    """
+    folded = {k.lower(): v for k, v in meta.items()}
+    there, absent = {}, {}
+    for key in VARIANT_COLUMNS:
+        want = folded.get(f"col_{key}".lower())
+        if want is None:
+            continue
+        fits = [c for c in columns if c == want] or [c for c in columns if c.lower() == want.lower()][-1:]
+        if fits:
+            there[key] = fits[0]
+        elif want in absent.values():
+            raise ValueError(f"{want!r} is not there and is to hold several fields")
+        else:
+            absent[key] = want
+    if "CHR" not in there:
+        raise ValueError("metadata must name the column of the chromosome, and the table must have it")
+    return there, absent
 
 
 def apply_to_sumstats(
-    vmap: VariantObject, sumstats: DataFrame, meta: dict, clean: bool = False, fill_mode: str = "column", use_af_inference: bool = False, only_mapped: bool = False, retain_id: bool = False
+    vmap: VariantObject, sumstats: DataFrame, meta: dict, clean: bool = False, fill_mode: str = "column", use_af_inference: bool = False, only_mapped: bool = False, retain_id: bool = False, warn: bool = False
 ) -> DataFrame:
     """The summary statistics of a vmap's targets, in ``ord``.
 
     Clean: CHR, POS, SNP, alleles and harmonised payload; with ``only_mapped``
     rows without P go, and none left is an error. Otherwise the input columns,
-    with the variant overwritten in place and its effects turned; ``n/a`` is missing.
+    with the variant overwritten in place and its effects turned; ``n/a`` is
+    missing. There, variant columns that metadata names but the table lacks come last.
+    ``warn`` counts, in a job of its own, the values that a swap could not turn.
     """
     c = F.col
     ident = c("id") if retain_id else variant_id(c("chrom"), c("pos"), c("a1"), c("a2"))
@@ -294,6 +336,9 @@ def apply_to_sumstats(
         vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
     variant = {"CHR": c("chrom"), "POS": c("pos"), "SNP": ident, "EffectAllele": c("a1"), "OtherAllele": c("a2")}
     if clean:
+        names = resolve([x for x in sumstats.columns if x != "source_index"], meta, VARIANT_COLUMNS, loose=True)
+        if lacks := [k for k in ("CHR", "POS", "EffectAllele", "OtherAllele") if k not in names]:
+            raise ValueError(f"metadata must name the columns {lacks}")
         joined = materialize(attach_payload(vmap, sumstats))
         inner = joined.select("ord", *[c(f"`p__{x}`").alias(x) for x in sumstats.columns if x != "source_index"], *[c(x).alias(f"v__{x}") for x in (*variant_source(), "source_index", "allele_op")])
         made = harmonize_sumstats(inner, meta, fill_mode, use_af_inference)
@@ -301,13 +346,17 @@ def apply_to_sumstats(
         # A constant is no value of a row that has no source.
         value = {k: F.when(c("v__source_index") != -1, c(k)) for k in payload}
         turned = swap_effects(value, is_swap(c("v__allele_op")))
+        if warn:
+            warn_of_swaps(swap_warnings(made, value, is_swap(c("v__allele_op"))))
         out = made.withColumns({x: c(f"v__{x}") for x in variant_source()}).select("ord", *[v.alias(k) for k, v in variant.items()], *[turned[k].alias(k) for k in payload])
         if only_mapped:
             out = out.filter("P is not null") if "P" in payload else out.limit(0)
             if out.isEmpty():
                 raise ValueError("no mapped row has a P value")
         return out
-    names = resolve([x for x in sumstats.columns if x != "source_index"], meta, (*VARIANT_COLUMNS, *PAYLOAD, *OTHER_FREQUENCIES.values()))
+    own = [x for x in sumstats.columns if x != "source_index"]
+    names, absent = named_columns(own, meta)
+    names |= resolve(own, meta, (*PAYLOAD, *OTHER_FREQUENCIES.values()))
     joined = attach_payload(vmap, sumstats)
     swap, mapped = is_swap(c("allele_op")), c("source_index") != -1
     places = {"CHR": 0, "POS": 1, "EffectAllele": 2, "OtherAllele": 3}
@@ -318,6 +367,8 @@ def apply_to_sumstats(
     numbers = {k: stats.numeric(c(f"`p__{names[k]}`")) for k in (*PAYLOAD, *OTHER_FREQUENCIES.values()) if k in names and k != "Direction"}
     turned = swap_effects(numbers, swap)
     changed = {names[k]: v for k, v in turned.items() if v is not numbers[k]}
+    if warn:
+        warn_of_swaps(swap_warnings(joined, numbers, swap & mapped, {k: c(f"`p__{names[k]}`") for k in numbers}))
     out = []
     for x in sumstats.columns:
         if x == "source_index":
@@ -335,7 +386,7 @@ def apply_to_sumstats(
             out.append(F.when(mapped, F.coalesce(text, F.lit("n/a"))).otherwise("n/a").alias(x))
         else:
             out.append(F.when(mapped, F.coalesce(raw, F.lit("n/a"))).otherwise("n/a").alias(x))
-    more = [variant[k].cast("string").alias(k) for k in VARIANT_COLUMNS if k not in names]
+    more = [variant[k].cast("string").alias(name) for k, name in absent.items()]
     return joined.select("ord", *out, *more)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varloom.functions.alleles import KEY, MISSING, classify_op, compose_op, is_strand_ambiguous
 from varloom.functions.contigs import NAMINGS, canonical, canonical_any, contig_list, naming_of, normalize_label, rank, render
 from varloom.functions.ploidy import splitx_label
-from varloom.model import PROVENANCE, TABLE, VariantObject, check_naming, require_naming, require_same_frame, status_qc
+from varloom.model import PROVENANCE, TABLE, VariantObject, check_naming, duplicate_targets, require_naming, require_same_frame, status_qc
 from varloom.scratch import materialize
 
 # Filters
@@ -89,8 +89,9 @@ def sort_variants(vo: VariantObject, drop_duplicates: bool = False) -> VariantOb
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """``n`` rows at most, the same ones each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "ord", *KEY), "ord").limit(n)
+    """``n`` rows at most, the same ones each time: those with the smallest digests of seed, place and key."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("ord").cast("string"), *[F.col(k).cast("string") for k in KEY]))
+    return df.orderBy(digest, "ord").limit(n)
 
 
 # Sets
@@ -141,9 +142,11 @@ def match_to_target(source: VariantObject, target: VariantObject) -> VariantObje
     alleles in either order; the operation is the source's own and then a swap
     where the order differs. Source rows without a source of their own don't
     match. A target without a match is ``missing``. The unordered pair is part of
-    the join key, so sites with many alleles make no further pairs.
+    the join key, so sites with many alleles make no further pairs. A target key that occurs twice is an error.
     """
     require_same_frame(source, target)
+    if (twice := duplicate_targets(target.df).first()) is not None:
+        raise ValueError(f"target {twice.chrom}:{twice.pos}:{twice.a1}:{twice.a2} occurs {twice['count']} times")
     pair = lambda df: df.withColumn("__low", F.least("a1", "a2")).withColumn("__high", F.greatest("a1", "a2"))
     t = pair(target.df.select(*TABLE, "ord"))
     s = pair(source.df.filter("source_index <> -1")).select(

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; only a session without one gets a local folder."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
+
+    Only a session in local mode may go without one and gets a local folder:
+    on a cluster other hosts could not read it, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +22,16 @@ from varloom.operators.variants import filter_import, infer_contig_naming, split
 from varloom.scratch import materialize
 
 
-def numbered(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
-    """(line, index): the lines of a file for which ``keep`` holds, numbered from 0 in file order."""
+def numbered(spark: SparkSession, path: str, keep: Column | None = None, cut: Column | None = None) -> DataFrame:
+    """(line, index): the lines of a file for which ``keep`` holds, numbered from 0 in file order.
+
+    ``cut``: what of a line goes on, so that a wide line is not written again as a whole.
+    """
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     if keep is not None:
         lines = lines.filter(keep)
+    if cut is not None:
+        lines = lines.withColumn("line", cut)
     # Ids rise within a block whatever else its task reads.
     marked = materialize(lines.withColumn("__m", F.monotonically_increasing_id()))
     per = marked.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("__m").alias("least"))
@@ -55,10 +61,10 @@ def resolve_shards(spark: SparkSession, template: str, shards: list[str] | None
     return found
 
 
-def _sharded(spark: SparkSession, path: str, shards: list[str] | None, keep) -> DataFrame:
+def _sharded(spark: SparkSession, path: str, shards: list[str] | None, keep, cut: Column | None = None) -> DataFrame:
     every = None
     for i, (token, one) in enumerate(resolve_shards(spark, path, shards)):
-        part = numbered(spark, one, keep(one)).select("line", F.lit(token).alias("source_shard"), F.col("index").alias("source_index"), F.lit(i).alias("__shard"))
+        part = numbered(spark, one, keep(one), cut).select("line", F.lit(token).alias("source_shard"), F.col("index").alias("source_index"), F.lit(i).alias("__shard"))
         every = part if every is None else every.union(part)
     return every.withColumn("ord", F.struct("__shard", "source_index"))
 
@@ -102,11 +108,16 @@ def parse_vcf(lines: DataFrame, max_allele_length: int = 150, contigs: str | Non
     return _imported(rows, reason, contigs, genome_build)
 
 
-def parse_pvar(lines: DataFrame, header: str, max_allele_length: int = 150, contigs: str | None = None, genome_build: str = "unknown") -> tuple[VariantObject, DataFrame]:
-    """PVAR lines under a header ``#CHROM ...`` by whose names columns are found; a1 is ALT."""
+def _pvar_names(header: str) -> list[str]:
     names = header.lstrip("#").rstrip("\n").split("\t")
     if lacks := [c for c in ("CHROM", "POS", "ID", "REF", "ALT") if c not in names]:
         raise ValueError(f"the header lacks {lacks}")
+    return names
+
+
+def parse_pvar(lines: DataFrame, header: str, max_allele_length: int = 150, contigs: str | None = None, genome_build: str = "unknown") -> tuple[VariantObject, DataFrame]:
+    """PVAR lines under a header ``#CHROM ...`` by whose names columns are found; a1 is ALT."""
+    names = _pvar_names(header)
     at = {c: F.get("f", F.lit(names.index(c))) for c in ("CHROM", "POS", "ID", "REF", "ALT")}
     rows = lines.withColumn("f", F.split("line", "\t")).select(
         "source_shard", "source_index", "ord", at["CHROM"].alias("chrom"), at["POS"].alias("pos"), at["ID"].alias("id"),
@@ -122,7 +133,9 @@ def read_bim(spark: SparkSession, path: str, genome_build: str = "unknown", cont
 
 
 def read_vcf(spark: SparkSession, path: str, genome_build: str = "unknown", contigs: str | None = None, shards: list[str] | None = None, max_allele_length: int = 150) -> tuple[VariantObject, DataFrame]:
-    return parse_vcf(_sharded(spark, path, shards, lambda _: ~F.col("line").startswith("#") & (F.trim("line") != "")), max_allele_length, contigs, genome_build)
+    # The samples behind ALT are not needed.
+    lines = _sharded(spark, path, shards, lambda _: ~F.col("line").startswith("#") & (F.trim("line") != ""), F.substring_index("line", "\t", 6))
+    return parse_vcf(lines, max_allele_length, contigs, genome_build)
 
 
 def first_line(spark: SparkSession, path: str, keep: Column) -> str:
@@ -133,8 +146,17 @@ def first_line(spark: SparkSession, path: str, keep: Column) -> str:
 
 
 def read_pvar(spark: SparkSession, path: str, genome_build: str = "unknown", contigs: str | None = None, shards: list[str] | None = None, max_allele_length: int = 150) -> tuple[VariantObject, DataFrame]:
-    header = first_line(spark, resolve_shards(spark, path, shards)[0][1], F.col("line").startswith("#CHROM"))
-    return parse_pvar(_sharded(spark, path, shards, lambda _: ~F.col("line").startswith("#") & (F.trim("line") != "")), header, max_allele_length, contigs, genome_build)
+    """Each shard has its own header; the columns that are needed are put in one order."""
+    order = ("CHROM", "POS", "ID", "REF", "ALT")
+    every = None
+    for i, (token, one) in enumerate(resolve_shards(spark, path, shards)):
+        names = _pvar_names(first_line(spark, one, F.col("line").startswith("#CHROM")))
+        f = F.split("line", "\t")
+        # A line that is too short stays so.
+        cut = F.when(F.size(f) > max(names.index(c) for c in order), F.concat_ws("\t", *[F.get(f, F.lit(names.index(c))) for c in order])).otherwise("")
+        part = numbered(spark, one, ~F.col("line").startswith("#") & (F.trim("line") != ""), cut).select("line", F.lit(token).alias("source_shard"), F.col("index").alias("source_index"), F.lit(i).alias("__shard"))
+        every = part if every is None else every.union(part)
+    return parse_pvar(every.withColumn("ord", F.struct("__shard", "source_index")), "#" + "\t".join(order), max_allele_length, contigs, genome_build)
 
 
 def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
@@ -142,13 +164,13 @@ def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
 
     Lines that are blank or begin with ``##`` or ``# `` are left out. The
     header is the first other line (one ``#`` before it goes if it names several columns); it also tells the
-    delimiter: tabs, else commas if there are more of them, else white space. A later ``#`` begins a comment.
+    delimiter: tabs, else commas if there are any, else white space. A later ``#`` begins a comment.
     """
     line = F.col("line")
     blank = (F.trim(line) == "") | line.startswith("##") | line.startswith("# ")
     several = F.size(F.split(F.trim(line), r"[\s,]+")) > 1
     header = first_line(spark, path, ~blank & (~line.startswith("#") | several))
-    sep = "\t" if "\t" in header else "," if header.count(",") > header.count(" ") else None
+    sep = "\t" if "\t" in header else "," if "," in header else None
     cut = lambda s: [x.strip() for x in s.split(sep)] if sep else s.split()
     names = cut(header.removeprefix("#"))
     body = numbered(spark, path, ~blank & (line != header) & ~line.startswith("#"))
@@ -198,6 +220,23 @@ def read_samples(spark: SparkSession, path: str, shard: str = ".", mode: str = "
     return check_samples(out.select(F.lit(shard).alias("source_shard"), F.col("index").cast("int").alias("local_idx"), "fid", "iid", "sex"), mode)
 
 
+def under_headers(rows: DataFrame, head: Column, fields: dict[str, Column], block: int = 4096) -> DataFrame:
+    """``rows`` (with ``index``) and the ``fields`` of the last row up to each for which ``head`` holds.
+
+    Within blocks of rows by a window of each block; the last header before a
+    block comes from a table with a row for each block.
+    """
+    own = F.when(head, F.struct(F.col("index").alias("start"), *[v.alias(k) for k, v in fields.items()]))
+    marked = rows.withColumn("__own", own).withColumn("__block", F.floor(F.col("index") / block))
+    last = marked.groupBy("__block").agg(F.max("__own").alias("__last"))
+    upto = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("__block", F.last("__last", ignorenulls=True).over(upto).alias("__before"))
+    inside = Window.partitionBy("__block").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marked.withColumn("__in", F.last("__own", ignorenulls=True).over(inside)).join(F.broadcast(before), "__block")
+    found = found.withColumn("__head", F.coalesce("__in", "__before"))
+    return found.select(*rows.columns, *[F.col(f"__head.{k}").alias(k) for k in ("start", *fields)])
+
+
 def read_fasta(spark: SparkSession, path: str, size: int = 256) -> DataFrame:
     """(contig, block, seq): upper-case blocks of a FASTA file, contigs by their canonical name where they have one.
 
@@ -208,11 +247,8 @@ def read_fasta(spark: SparkSession, path: str, size: int = 256) -> DataFrame:
 
     rows = numbered(spark, path)
     head = F.col("line").startswith(">")
-    starts = rows.filter(head).select(F.col("index").alias("start"), F.regexp_extract("line", r"^>\s*(\S+)", 1).alias("name"))
-    # A row for each sequence of the file.
-    spans = starts.withColumn("stop", F.coalesce(F.lead("start").over(Window.orderBy("start")), F.lit((1 << 62))))
-    body = rows.filter(~head).select("index", F.upper(F.trim("line")).alias("s"))
-    placed = body.join(F.broadcast(spans), (F.col("index") > F.col("start")) & (F.col("index") < F.col("stop")))
+    placed = under_headers(rows, head, {"name": F.regexp_extract("line", r"^>\s*(\S+)", 1)})
+    placed = placed.filter(~head & F.col("name").isNotNull()).select("index", "name", F.upper(F.trim("line")).alias("s"))
     # Offsets in two steps, so that no task sees a whole sequence.
     part = F.floor(F.col("index") / 4096)
     sums = placed.groupBy("name", part.alias("part")).agg(F.sum(F.length("s")).alias("n"))
@@ -232,15 +268,14 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
     from varloom.functions.contigs import normalize_label
 
     rows = numbered(spark, path, (F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("f", F.split(F.trim("line"), r"\s+"))
-    head = rows.filter(F.get("f", F.lit(0)) == "chain")
     g = lambda i: F.get("f", F.lit(i))
-    chains = head.select(
-        F.col("index").alias("start"), g(1).cast("double").alias("score"), g(2).alias("src"), g(5).cast("long").alias("s0"), g(7).alias("tgt"),
-        g(8).cast("long").alias("t_size"), g(9).alias("strand"), g(10).cast("long").alias("t0"), g(12).cast("long").alias("chain_id"),
-    )
-    chains = chains.withColumn("stop", F.coalesce(F.lead("start").over(Window.orderBy("start")), F.lit(1 << 62)))  # a row for each chain
-    body = rows.filter(F.get("f", F.lit(0)) != "chain").select("index", g(0).cast("long").alias("size"), F.coalesce(g(1).cast("long"), F.lit(0)).alias("ds"), F.coalesce(g(2).cast("long"), F.lit(0)).alias("dt"))
-    placed = body.join(F.broadcast(chains), (F.col("index") > F.col("start")) & (F.col("index") < F.col("stop")))
+    head = g(0) == "chain"
+    fields = {
+        "score": g(1).try_cast("double"), "src": g(2), "s0": g(5).try_cast("long"), "tgt": g(7),
+        "t_size": g(8).try_cast("long"), "strand": g(9), "t0": g(10).try_cast("long"), "chain_id": g(12).try_cast("long"),
+    }
+    placed = under_headers(rows, head, fields).filter(~head & F.col("start").isNotNull())
+    placed = placed.withColumns({"size": g(0).cast("long"), "ds": F.coalesce(g(1).cast("long"), F.lit(0)), "dt": F.coalesce(g(2).cast("long"), F.lit(0))})
     past = Window.partitionBy("start").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda gap: F.coalesce(F.sum(F.col("size") + F.col(gap)).over(past), F.lit(0))
     placed = placed.withColumns({"s_start": F.col("s0") + before("ds"), "t_run": F.col("t0") + before("dt")})
@@ -249,32 +284,45 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
     return placed.select(name("src").alias("src_contig"), "s_start", (F.col("s_start") + F.col("size")).alias("s_end"), name("tgt").alias("tgt_contig"), t_start.alias("t_start"), "strand", "chain_id", "score")
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, name in it) of a path of any kind that Arrow knows."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def open_input(path: str):
+    system, name = file_system(path)
+    return system.open_input_file(name)
+
+
 MAGIC = bytes([0x6C, 0x1B, 0x01])
 
 
 def read_bed(spark: SparkSession, path: str, n_samples: int, n_variants: int, shard: str = ".", rows_per_piece: int = 4096) -> DataFrame:
     """(source_shard, source_index, geno): codes of a PLINK BED file, SNP-major.
 
-    The file is read as fixed-length records after a check of size and magic.
+    The size and the magic bytes are checked; then every task seeks its own
+    ranges of records and reads these alone, so a file may be of any size.
     """
     width = -(-n_samples // 4)
     info = spark.read.format("binaryFile").load(path).select("length").first()
     if info is None or info.length != 3 + width * n_variants:
         raise ValueError(f"{path}: the size does not fit {n_variants} variants of {n_samples} samples")
+    with open_input(path) as f:
+        if f.read(3) != MAGIC:
+            raise ValueError(f"{path}: not a SNP-major BED file")
     shifts = np.arange(4, dtype=np.uint8) * 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                if content[:3] != MAGIC:
-                    raise ValueError("not a SNP-major BED file")
-                raw = np.frombuffer(content, np.uint8)[3:].reshape(-1, width)
-                for first in range(0, len(raw), rows_per_piece):
-                    part = raw[first : first + rows_per_piece]
+        for frame in frames:
+            with open_input(path) as f:
+                for first in frame["id"]:
+                    f.seek(3 + first * width)
+                    part = np.frombuffer(f.read(min(rows_per_piece, n_variants - first) * width), np.uint8).reshape(-1, width)
                     codes = ((part[:, :, None] >> shifts) & 3).reshape(len(part), -1)[:, :n_samples].astype(np.int8)
                     yield pd.DataFrame({"source_index": np.arange(first, first + len(part)), "geno": list(codes)})
 
-    pieces = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "source_index long, geno array<tinyint>")
+    ranges = spark.range(0, n_variants, rows_per_piece)
+    pieces = ranges.repartition(max(1, min(-(-n_variants // rows_per_piece), 8 * spark.sparkContext.defaultParallelism)), "id").mapInPandas(run, "source_index long, geno array<tinyint>")
     return pieces.select(F.lit(shard).alias("source_shard"), "source_index", "geno")
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.genotypes import encode
 from varloom.model import QC_COLUMNS, VariantObject
+from varloom.sources.readers import MAGIC, file_system
 
 
 def _text(df: DataFrame, path: str, **options) -> None:
@@ -49,10 +54,10 @@ def _short(name: str):
 
 
 def write_bfile(variants: DataFrame, genotypes: DataFrame, samples: DataFrame, ploidy: DataFrame, path: str) -> None:
-    """BIM and FAM as text, BED bytes as one binary value for each variant (in ``ord``), PLOIDY where a row is not (2, 2)."""
+    """BIM and FAM as text, BED as ``write_bed`` does, PLOIDY where a row is not (2, 2)."""
     bim = variants.orderBy("ord").select("chrom", "id", F.lit("0").alias("cm"), "pos", "a1", "a2")
     _text(bim, f"{path}.bim")
-    genotypes.select("ord", encode(F.col("geno")).alias("bed")).orderBy("ord").write.mode("overwrite").parquet(f"{path}.bed.parquet")
+    write_bed(genotypes, f"{path}.bed")
     fam = samples.orderBy("out_idx").select("fid", "iid", F.lit("0").alias("father"), F.lit("0").alias("mother"), "sex", F.lit("-9").alias("pheno"))
     _text(fam, f"{path}.fam")
     if not ploidy.filter("male <> 2 or female <> 2").isEmpty():
@@ -71,7 +76,29 @@ def write_by_contig(df: DataFrame, path: str) -> None:
     df.repartitionByRange("chrom", "ord").sortWithinPartitions("ord").write.mode("overwrite").partitionBy("chrom").parquet(path)
 
 
-def bed_bytes(path: str, spark) -> bytes:
-    """The bytes of a small BED file from what ``write_bfile`` has written."""
-    rows = spark.read.parquet(f"{path}.bed.parquet").orderBy("ord").select("bed").toLocalIterator()
-    return bytes([0x6C, 0x1B, 0x01]) + b"".join(bytes(r.bed) for r in rows)
+def write_bed(genotypes: DataFrame, path: str) -> int:
+    """A SNP-major PLINK BED file in parts: a folder whose ``part-*`` files, put together in the order of their names, are the file.
+
+    The first part is the magic bytes; then each task writes the records of its
+    range of ``ord``, under a name of its attempt first, so that a task that is run
+    again leaves the same part. Returns the number of records.
+    """
+    system, folder = file_system(path)
+    system.create_dir(folder)
+    system.delete_dir_contents(folder)
+    with system.open_output_stream(f"{folder}/part-000000") as f:
+        f.write(MAGIC)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = file_system(path)
+        name = f"part-{TaskContext.get().partitionId() + 1:06d}"
+        attempt, records = f"{folder}/_{name}.{uuid.uuid4().hex}", 0
+        with system.open_output_stream(attempt) as f:
+            for frame in frames:
+                f.write(b"".join(frame["bed"]))
+                records += len(frame)
+        system.move(attempt, f"{folder}/{name}")
+        yield pd.DataFrame({"records": [records]})
+
+    packed = genotypes.select("ord", encode(F.col("geno")).alias("bed")).orderBy("ord").select("bed")
+    return packed.mapInPandas(run, "records long").agg(F.sum("records")).first()[0] or 0
