@@ -325,31 +325,50 @@ def test_image_copies(spark):
     assert descriptors.image_copies(pictures.limit(0)).collect() == []
 
 
-def turned(pixels, degrees):
+def turned(pixels, degrees=0.0, scale=1.0):
+    """The picture turned about its centre and scaled, by linear interpolation."""
     (h, w), a = pixels.shape, np.deg2rad(degrees)
-    y, x = np.mgrid[:h, :w] - (h - 1) / 2
+    rows, cols = round(h * scale), round(w * scale)
+    y, x = np.mgrid[:rows, :cols].astype(float)
+    y, x = (y - (rows - 1) / 2) / scale, (x - (cols - 1) / 2) / scale
     u, v = np.cos(a) * x + np.sin(a) * y + (w - 1) / 2, np.cos(a) * y - np.sin(a) * x + (h - 1) / 2
-    i, j = (np.clip(np.floor(z).astype(int), 0, h - 2) for z in (v, u))
+    i, j = np.clip(np.floor(v).astype(int), 0, h - 2), np.clip(np.floor(u).astype(int), 0, w - 2)
     s, t = np.clip(v - i, 0, 1), np.clip(u - j, 0, 1)
     return (1 - s) * ((1 - t) * pixels[i, j] + t * pixels[i, j + 1]) + s * ((1 - t) * pixels[i + 1, j] + t * pixels[i + 1, j + 1])
 
 
-def test_image_copies_noisy_and_turned(spark):
-    """Against all pairs that the geometric check links."""
+def edited(full, kind, rng):
+    return (
+        lambda: full + rng.normal(0, 8, full.shape),
+        lambda: turned(full, 3),
+        lambda: turned(full, 5),
+        lambda: np.rot90(full),
+        lambda: turned(full, scale=2**0.5),
+        lambda: turned(full, scale=2),
+        lambda: turned(full[8:56, 4:60], scale=2**0.5),
+    )[kind]()
+
+
+def test_image_copies_against_all_pairs(spark, monkeypatch):
+    """Noisy, turned, scaled and cropped copies, and a large group: recall of the pairs that the geometric check links."""
     rng = np.random.default_rng(4)
     rows = []
-    for i in range(45):
+    for i in range(49):
         full = np.kron(rng.normal(128, 45, (16, 16)).clip(0, 255), np.ones((4, 4)))
-        copy = full + rng.normal(0, 8, full.shape) if i % 3 == 0 else turned(full, 3 if i % 3 == 1 else 5)
-        rows += [(2 * i, descriptors.write_pgm(full)), (2 * i + 1, descriptors.write_pgm(np.rint(copy).clip(0, 255)))]
-    feats = {i: descriptors.describe(descriptors.read_pgm(x)[None].astype(float))[0] for i, x in rows}
-    true = {i for i in range(45) if descriptors.inliers(feats[2 * i], feats[2 * i + 1]) >= 6}
+        rows += [(2 * i, full), (2 * i + 1, edited(full, i % 7, rng))]
+    rows += [(1000 + i, rows[0][1] + rng.normal(0, 2, (64, 64))) for i in range(40)]
+    rows = [(i, descriptors.write_pgm(np.rint(x).clip(0, 255))) for i, x in rows]
+    feats = {i: descriptors.describe(descriptors.read_pgm(x)[None])[0] for i, x in rows}
     df = spark.createDataFrame(rows, "image_id long, image binary")
-    got = {r.image_id: r.class_id for r in descriptors.image_copies(df).collect()}
-    hit = sum(got[2 * i + 1] == 2 * i for i in true)
-    print("verified", len(true), "found", hit)
-    assert len(true) > 25 and hit >= 0.9 * len(true)
-    assert all(got[2 * i] == 2 * i for i in range(45))
+    want = classes_of(feats, lambda a, b: descriptors.inliers(feats[a], feats[b]) >= 6)
+    for small in (16, 3):
+        monkeypatch.setattr(descriptors, "SMALL_BUCKET", small)
+        got = {r.image_id: r.class_id for r in descriptors.image_copies(df).collect()}
+        linked = [i for i in want if want[i] != i]
+        hit = sum(got[i] == want[i] for i in linked)
+        print("linked", len(linked), "found", hit)
+        assert len(linked) > 70 and hit >= 0.95 * len(linked)
+        assert all(got[i] == i for i in want if want[i] == i)
 
 
 # op6
