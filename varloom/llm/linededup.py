@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from varloom.llm.common import FOLD, bound_batches, chunks, materialize, text_buffer, word_bounds, word_hashes
 
 #: Bits of a filter for each line, hash functions, and the largest filter that is broadcast.
-BITS_PER_LINE, HASHES, MAX_BITS = 8, 3, 1 << 29
+BITS_PER_LINE, HASHES, MAX_BITS = 8, 2, 1 << 29
 #: Bits of the filter of one range of hashes, where one filter is not enough.
 RANGE_BITS = 1 << 26
 #: A filter travels in pieces of this many bits.
