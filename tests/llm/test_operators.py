@@ -534,6 +534,8 @@ def test_mix(spark, docs):
     assert len(out) == docs.count()
     check_mix(out)
     assert mixing.mix(empty(docs)).collect() == []
+    clash = mixing.mix(docs, carry=("size", "lang"))
+    assert clash.columns == ["doc_id", "source", "carried_size", "lang", "size", "source_size", "target", "taken"] and {r.carried_size for r in clash.collect()} == {7, 1, 2, None}
 
 
 def check_mix(out):

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import U64, chunks, materialize, mix64, stream64, window_hashes, word_bounds, word_hashes
+from varloom.llm.common import U64, bound_batches, chunks, materialize, mix64, stream64, window_hashes, word_bounds, word_hashes
 from varloom.llm.components import components, link_buckets
 
 BANDS, ROWS = 25, 5
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     without an id (its class is null). Rows that share an id are one document;
     they are returned once. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = materialize(sketch(named.filter("id is not null and text is not null"), shingle, bands, rows))
     same = made.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
@@ -192,8 +193,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class, the one with the smallest id, with all columns; rows without an id stay."""
+    """One row of each class, the one with the smallest id, with all columns; rows without an id stay.
+
+    Of rows that share that id the one with the smallest text stays, then that with the smallest hash of all columns.
+    """
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     keep = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__keep"))
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.filter(F.col(id_col).isNull()))
+    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
+    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*hashed)))
+    first = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rank.alias("rank")).filter("rank = 1")
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(docs.filter(F.col(id_col).isNull()))

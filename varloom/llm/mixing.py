@@ -38,7 +38,7 @@ def mix(
     """How many words of each document a mix of given source weights takes.
 
     Returns (id, source, *carry, size, source_size, target, taken), one row for
-    each input row. ``taken`` is ``q * size`` for a source that gives q whole
+    each input row; a carried column with the name of another of these is ``carried_<name>``. ``taken`` is ``q * size`` for a source that gives q whole
     repeats, plus ``size`` below the source's hash threshold. The rows whose
     hash equals the threshold (one document, or copies of one row) share what is left
     of the budget, so a source's sum misses its target by less than a word and
@@ -49,12 +49,14 @@ def mix(
     treated alike. Columns other than the named ones are left out unless
     carried. An empty table gives no rows.
     """
+    taken = (id_col, "source", "size", "source_size", "target", "taken")
+    names = [f"carried_{c}" if c in taken else c for c in carry]
     key = F.concat_ws(":", F.col(id_col).cast("string"), F.col(text_col))
     slim = materialize(
         docs.select(
             F.col(id_col).alias(id_col),
             F.col(source_col).alias("source"),
-            *[F.col(c) for c in carry],
+            F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)]).alias("__carry"),
             word_count(F.col(text_col)).alias("size"),
             F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("__h"),
         )
@@ -66,7 +68,7 @@ def mix(
     share = F.expr("cast(size as decimal(19,0)) * __left div __atom")
     extra = F.when(F.col("__h") < F.col("__at"), F.col("size")).when(F.col("__h") == F.col("__at"), share).otherwise(0)
     return joined.select(
-        id_col, "source", *carry, "size", "source_size", "target",
+        id_col, "source", *[F.col("__carry")[n].alias(n) for n in names], "size", "source_size", "target",
         (F.col("__whole") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"),
     )
 
