@@ -59,6 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table: the documents that the mix takes, with the words that it takes of each.
+
+    Between stages the documents are written as Parquet and read again. Rows
+    without an id go through; rows without a text end at the first stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
