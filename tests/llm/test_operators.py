@@ -404,10 +404,50 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(components, "SMALL_BUCKET", 4)
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes_of(bags, lambda a, b: jaccard(bags[a], bags[b]) >= 0.8)
-    texts = spark.createDataFrame(rows, "rep long, text string")
-    seen = collections.Counter(x for b in bags.values() for x in b)
-    mass = {r.rep: r.m for r in bagminhash.shared_mass(texts, 5).collect()}
-    assert mass == {i: sum(c for x, c in b.items() if seen[x] > 1) for i, b in bags.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_pairs_lose_no_link(spark, seed):
+    """Members around a hub with own and shared edits, cuts and additions, against all pairs."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{int(x)}" for x in rng.integers(0, 70, 80)]
+    rows = [(0, " ".join(base))]
+    own = [list(base) for _ in range(6)]
+    for v, w in enumerate(own):
+        for k in rng.choice(80, int(rng.integers(1, 6)), replace=False):
+            w[k] = f"v{v}"
+        if v % 2:
+            del w[int(rng.integers(0, 40)) :][: int(rng.integers(1, 12))]
+            w += [f"more{v}"] * int(rng.integers(0, 9))
+    for i in range(1, 70):
+        w = list(own[int(rng.integers(0, 6))] if rng.random() < 0.7 else base)
+        for k in rng.choice(len(w), int(rng.integers(0, 5)), replace=False):
+            w[k] = f"e{int(rng.integers(0, 10**6))}"
+        rows.append((i, " ".join(w[int(rng.integers(0, 12)) :])))
+    bags = {i: bag(t) for i, t in rows}
+    texts = spark.createDataFrame(rows, "id long, text string")
+    groups = spark.createDataFrame([(0, i) for i in bags if i], "hub long, rep long")
+    got = {(r.a, r.b) for r in bagminhash.near_pairs(groups, texts, 5, 0.8).collect()}
+    near = {i for i in bags if i and jaccard(bags[i], bags[0]) >= 0.8}
+    want = {(a, b) for a, b in itertools.combinations(sorted(set(bags) - {0}), 2) if jaccard(bags[a], bags[b]) >= 0.8 and not {a, b} <= near}
+    print("pairs", len(got), "linked", len(want), "of", 69 * 68 // 2)
+    assert want <= got and len(want) > 3
+
+
+def test_edits_of_one_member_make_few_pairs(spark):
+    """Three hundred copies with edits of their own: hardly any pair is left to compare."""
+    rng = np.random.default_rng(2)
+    base = [f"t{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        for k in rng.choice(200, 8, replace=False):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    groups = spark.createDataFrame([(0, i) for i in range(1, 300)], "hub long, rep long")
+    got = bagminhash.near_pairs(groups, spark.createDataFrame(rows, "id long, text string"), 5, 0.8).count()
+    print("pairs", got)
+    assert got < 299 * 298 // 2 // 10
 
 
 # op5

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import U64, bound_batches, chunks, materialize, mix64, stream64, window_hashes, word_bounds, word_hashes
+from varloom.llm.common import U64, bound_batches, chunks, materialize, mix64, stream64, text_buffer, window_hashes, word_bounds, word_hashes
 from varloom.llm.components import components, link_buckets
 
 BANDS, ROWS = 25, 5
@@ -109,8 +109,6 @@ def similarity_udf(k: int):
     @F.arrow_udf("double")
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
         """The weighted Jaccard similarity of whole bags."""
-        from varloom.llm.common import text_buffer
-
         out = np.zeros(len(left))
         (x, x_at), (y, y_at) = text_buffer(left), text_buffer(right)
         held: tuple[bytes, tuple] = (b"", ())
@@ -129,18 +127,66 @@ def similarity_udf(k: int):
     return similarity
 
 
-def shared_mass(texts: DataFrame, k: int) -> DataFrame:
-    """(rep, m): the weight of each bag of (rep, text) in shingles that another of them has too. Bags without any have no row."""
+def differences(bag: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What stands in one of two bags (sorted shingles, counts) and not in the other, each copy by itself, as hashes."""
+    every = np.union1d(bag[0], hub[0])
+    own, other = (np.zeros(len(every), np.int64) for _ in range(2))
+    own[np.searchsorted(every, bag[0])] = bag[1]
+    other[np.searchsorted(every, hub[0])] = hub[1]
+    many = np.abs(own - other)
+    which = np.repeat(np.arange(len(every)), many)
+    copy = np.minimum(own, other)[which] + np.arange(len(which)) - np.repeat(np.concatenate(([0], np.cumsum(many)[:-1])), many)
+    side = np.where(own > other, _KIND[61], _KIND[62])[which]
+    with np.errstate(over="ignore"):
+        return mix64(every[which] ^ side ^ (copy.astype(U64) * _TURN)).view(np.int64)
+
+
+def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): pairs of members of a (hub, rep) group that can be linked and of which one or both are not linked to the hub.
+
+    For bags x and y let D be the differences of each from the hub. x and y differ
+    in |Dx| + |Dy| - 2 |Dx & Dy| shingles, and are linked if these are no more
+    than q = (1 - threshold) / (1 + threshold) of both sizes. A member that is not linked to the hub has more
+    than q (n + n_hub) differences itself, so a link between it and z takes more than (|Dz| + q (n_hub - n_z)) / 2
+    differences in common; seen from it, a link to a member z of n_z <= n / threshold takes |D| - q (n + n_z).
+    Two sets with o in common meet in their first |D| - o + 1 elements in
+    any fixed order: here the rarest of the group come first. What members have
+    to themselves alone then fills these prefixes, and no pairs are made of it.
+    """
+    q = (1 - threshold) / (1 + threshold)
+    id_type = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[bytes, tuple] = (b"", ())
         for batch in batches:
-            for first, data, at in chunks(batch.column(1)):
-                row, shingle, count, _ = bags(data, at, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(shingle.view(np.int64)), pa.array(count)], names=["rep", "shingle", "c"])
-
-    held = materialize(texts.mapInArrow(run, f"rep {dict(texts.dtypes)['rep']}, shingle long, c long"))
-    common = held.groupBy("shingle").count().filter("count > 1").select("shingle")
-    return held.join(common, "shingle").groupBy("rep").agg(F.sum("c").alias("m"))
+            (x, x_at), (y, y_at) = text_buffer(batch.column(2)), text_buffer(batch.column(3))
+            for i in range(len(x_at) - 1):
+                text = y[y_at[i] : y_at[i + 1]].tobytes()
+                if not held[1] or held[0] != text:
+                    held = text, bags(y[y_at[i] : y_at[i + 1]], np.array([0, y_at[i + 1] - y_at[i]]), k)[1:3]
+                own = bags(x[x_at[i] : x_at[i + 1]], np.array([0, x_at[i + 1] - x_at[i]]), k)[1:3]
+                d = differences(own, held[1])
+                row = pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([int(own[1].sum())]), pa.array([int(held[1][1].sum())]), pa.array([d], pa.list_(pa.int64()))], names=["hub", "rep", "n", "n_hub", "d"])
+                yield row
+
+    full = groups.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("own")), "rep").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("of_hub")), "hub")
+    made = materialize(full.select("hub", "rep", "own", "of_hub").mapInArrow(run, f"hub {id_type}, rep {id_type}, n long, n_hub long, d array<long>"))
+    each = made.select("hub", "rep", F.explode("d").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count("*").alias("times"))
+    ranked = each.join(common, ["hub", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("hub", "rep").orderBy("times", "e")))
+    size = F.size("d")
+    bound = (size + F.lit(q) * (F.col("n_hub") - F.col("n"))) / 2
+    short = size - F.floor(bound - 1e-9)
+    long = size - F.greatest(F.lit(1), F.ceil(size - F.lit(q * (1 + 1 / threshold)) * F.col("n") - 1e-9)) + 1
+    linked = size <= F.lit(q) * (F.col("n") + F.col("n_hub")) + 1e-9
+    limits = made.select("hub", "rep", "n", linked.alias("linked"), short.alias("short"), F.when(linked, short).otherwise(F.greatest(short, long)).alias("long"))
+    # Elements of one member alone fill prefixes but meet nothing.
+    kept = materialize(ranked.filter("times > 1").join(limits, ["hub", "rep"]).filter("rank <= long").select("hub", "rep", "n", "e", "linked", (F.col("rank") <= F.col("short")).alias("early")))
+    left = kept.filter("not linked")
+    right = kept.filter("early").select("hub", "e", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("linked").alias("y_linked"))
+    fits = F.least("n", "n_y") >= F.lit(threshold) * F.greatest("n", "n_y") - 1e-9
+    met = left.join(right, ["hub", "e"]).filter(fits & (F.col("rep") != F.col("y")) & (F.col("y_linked") | F.col("early")))
+    return met.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -174,10 +220,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         full = pairs.join(right, "b").join(left, "a")
         return full.select("a", "b", (similarity("text_a", "text_b") >= threshold).alias("linked"))
 
-    def shared(members: DataFrame) -> DataFrame:
-        return shared_mass(texts.withColumnRenamed("id", "rep").join(members, "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"]), shingle)
-
-    links, found = link_buckets(buckets, verify, lambda x, y, common: common / (x + y - common) >= threshold, shared)
+    one_text = texts.dropDuplicates(["id"])
+    links, found = link_buckets(buckets, verify, lambda x, y, common: common / (x + y - common) >= threshold, lambda groups: near_pairs(groups, one_text, shingle, threshold))
     by_bag = made.join(same.drop("bands"), ["fp1", "fp2", "n"]).select("id", "rep").filter("id <> rep")
     # Rows that share an id but not a bag tie their bags together.
     split = made.groupBy("id").agg(F.min("fp1").alias("p"), F.max("fp1").alias("q")).filter("p <> q").select("id")

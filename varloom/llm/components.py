@@ -33,27 +33,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-#: Larger buckets compare with two more members, and bound what their members can share, before all pairs that are left.
+#: Larger buckets are searched by their members' differences from the centre, not by pairs.
 SMALL_BUCKET = 64
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, shared: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(links (a, b), components) of what ``verify`` finds among members of the same bucket.
 
     ``buckets``: (key, rep, n), with a size of the member. ``verify`` takes
     pairs (a, b) and returns (a, b, linked). ``may_link`` on two sizes and the
-    most that the two can have in common rules pairs out beforehand. ``shared``
-    takes members (rep) and returns (rep, m): how much of each one stands in
-    any other of them.
+    most that the two can have in common rules pairs out beforehand. ``near``
+    takes groups (hub, rep) and returns the pairs (a, b) of members of a group
+    that can be linked, apart from those that both are linked to the hub.
 
     First every member is compared with its bucket's centre, the member that
     shares most buckets with others. In a group of edited copies that is the
-    text that they were made from, or the one closest to it. Then large buckets
-    that still hold several classes compare all with two members outside the
-    centre's class. In the end all pairs of different classes are compared that
-    ``may_link`` leaves, in buckets of any size, so no link between classes is
-    missed. In large buckets it gets the bounds of ``shared``: a member whose
-    own edits are too many for any link drops out before pairs are made. Pairs
+    text that they were made from, or the one closest to it. Of buckets that then still hold several
+    classes, those of up to ``SMALL_BUCKET`` members compare all pairs of
+    different classes, and the members of larger ones, grouped by their centres,
+    go to ``near`` (without it they compare all such pairs, too). No link between classes is left out. Pairs
     are compared once.
     """
     fits = may_link or (lambda x, y, common: F.lit(True))
@@ -62,51 +60,32 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     known = placed.groupBy("rep").agg(F.sum("size").alias("known"))
     first = F.min_by(F.struct("rep", "n"), F.struct(-F.col("known"), F.col("rep"))).alias("other")
     centre = materialize(placed.join(known, "rep").groupBy("key").agg(first))
-
-    def stars(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-        pairs = rows.join(leaders, "key").filter((F.col("rep") != F.col("other.rep")) & fits(F.col("n"), F.col("other.n"), F.least("n", "other.n")))
-        return pairs.select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b")).distinct()
-
-    def mixed(found: DataFrame) -> DataFrame:
-        """The members of buckets of several classes, with their classes."""
-        labelled = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
-        several = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-        return materialize(labelled.join(several, "key"))
-
-    tested = materialize(verify(stars(placed, centre)))
+    pairs = placed.join(centre, "key").filter((F.col("rep") != F.col("other.rep")) & fits(F.col("n"), F.col("other.n"), F.least("n", "other.n")))
+    tested = materialize(verify(pairs.select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b")).distinct()))
     links = tested.filter("linked").select("a", "b")
     found = materialize(components(links))
 
-    def test(pairs: DataFrame) -> None:
-        nonlocal tested, links, found
-        pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return
-        more = materialize(verify(pairs))
-        tested, new = tested.union(more), more.filter("linked").select("a", "b")
+    labelled = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
+    several = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    rest = materialize(labelled.join(several, "key"))
+    small = rest.filter(F.col("size") <= SMALL_BUCKET) if near else rest
+    # The members of a bucket are dealt over its parts, and each part meets the whole bucket.
+    parts = F.ceil(F.col("size") / max(1, SMALL_BUCKET)).cast("int")
+    one = small.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    two = small.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))
+    on = (F.col("rep") < F.col("y")) & (F.col("c") != F.col("c_y")) & fits(F.col("n"), F.col("n_y"), F.least("n", "n_y"))
+    more = one.join(two, ["key", "part"]).filter(on).select(F.col("rep").alias("a"), F.col("y").alias("b"))
+    if near:
+        large = rest.filter(F.col("size") > SMALL_BUCKET)
+        if not large.isEmpty():
+            groups = large.join(centre, "key").select(F.col("other.rep").alias("hub"), "rep").filter("hub <> rep").distinct()
+            of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
+            met = materialize(near(groups)).join(of("a"), "a", "left").join(of("b"), "b", "left")
+            more = more.union(met.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"))
+    more = materialize(more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        new = materialize(verify(more)).filter("linked").select("a", "b")
         if not new.isEmpty():
             links = links.union(new)
             found = materialize(components(links))
-
-    rest = mixed(found)
-    large = rest.filter(F.col("size") > SMALL_BUCKET)
-    if not large.isEmpty():
-        of_centre = centre.select("key", F.col("other.rep").alias("rep")).join(rest.select("key", "rep", "c"), ["key", "rep"]).select("key", F.col("c").alias("main"))
-        others = [F.min_by(F.struct("rep", "n"), F.xxhash64(F.lit(k), "key", "rep")) for k in (1, 2)]
-        leaders = large.join(of_centre, "key").filter("c <> main").groupBy("key").agg(F.array_distinct(F.array(*others)).alias("others"))
-        test(stars(large.select("key", "rep", "n"), leaders.select("key", F.explode("others").alias("other"))))
-        rest = mixed(found)
-        large = rest.filter(F.col("size") > SMALL_BUCKET)
-    small = rest.filter(F.col("size") <= SMALL_BUCKET).withColumn("m", F.col("n"))
-    if shared and not large.isEmpty():
-        large = large.join(shared(large.select("rep").distinct()), "rep", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-        large = large.filter(fits(F.col("n"), F.col("m"), F.col("m"))).select(*small.columns)
-    else:
-        large = large.withColumn("m", F.col("n"))
-    # The members of a large bucket are dealt over its parts, and each part meets the whole bucket.
-    parts = F.ceil(F.col("size") / max(1, SMALL_BUCKET)).cast("int")
-    one = materialize(small.unionByName(large)).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    two = one.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("m").alias("m_y"), F.col("c").alias("c_y"))
-    on = (F.col("rep") < F.col("y")) & (F.col("c") != F.col("c_y")) & fits(F.col("n"), F.col("n_y"), F.least("m", "m_y"))
-    test(one.join(two, ["key", "part"]).filter(on).select(F.col("rep").alias("a"), F.col("y").alias("b")).distinct())
     return links, found
