@@ -19,7 +19,8 @@ from varloom.operators import genotypes as G
 from varloom.operators import reference as R
 from varloom.operators import sumstats as S
 from varloom.operators import variants as V
-from varloom.sources import readers
+from varloom.scratch import scratch_dir
+from varloom.sources import readers, writers
 
 BUILD, NAMING = "GRCh37", "ncbi"
 META = {
@@ -627,12 +628,73 @@ def union_axis(spark, sf_dir):
     return G.union_axis(D.view(spark, sf_dir, D.SAMPLES))
 
 
+# Files
+
+
+def _file(spark: SparkSession) -> str:
+    return scratch_dir(spark)
+
+
+@query(f"SELECT chrom, pos, id, a1, a2, source_shard, source_index, allele_op, row_number() OVER (ORDER BY ord) - 1 AS ord FROM ({D.SOURCE}) s")
+def vmap_file(spark, sf_dir):
+    """A vmap written as text in many parts and read again, with its places."""
+    path = _file(spark)
+    writers.write_object(source(spark, sf_dir), path)
+    return rows(readers.read_vmap(spark, path, BUILD, NAMING, check_duplicates=False))
+
+
+@query(f"SELECT chrom, pos, id, a1, a2, row_number() OVER (ORDER BY ord) - 1 AS ord FROM ({D.TARGET}) t")
+def vtable_file(spark, sf_dir):
+    path = _file(spark)
+    writers.write_object(target(spark, sf_dir), path)
+    return rows(readers.read_vtable(spark, path, BUILD, NAMING))
+
+
+@query(f"""SELECT chr, bp, snp, ea, oa, beta_milli, se_milli, p, eaf, n, dir FROM ({D.SUMSTATS}) x""")
+def sumstats_file(spark, sf_dir):
+    """Summary statistics written in parts, each with the header, and read again."""
+    path = _file(spark)
+    df = sumstats(spark, sf_dir)
+    writers.write_sumstats(df.withColumnRenamed("source_index", "ord"), path)
+    return readers.read_sumstats(spark, path).select(*[c for c in df.columns if c != "source_index"])
+
+
+@query(f"""SELECT source_shard, source_index, reason FROM (
+{_reasons(f"WHEN {BAD_POS} THEN 'malformed_row' WHEN ord % 53 = 0 AND ord % 43 <> 0 AND ord % 47 <> 0 THEN 'multiallelic'", "WHEN ord % 43 = 0 THEN 'non_actg_allele'")
+    .replace("SELECT ord AS source_index,", "SELECT chrom AS source_shard, row_number() OVER (PARTITION BY chrom ORDER BY ord) - 1 AS source_index,")}) q""")
+def vcf_shard_files(spark, sf_dir):
+    """VCF text in a file for each contig, with genotypes behind the columns that are read."""
+    path = _file(spark)
+    lines = D.view(spark, sf_dir, VCF).withColumn("chrom", F.substring_index("line", "\t", 1))
+    wide = F.when(F.size(F.split("line", "\t")) > 5, F.concat("line", F.lit("\t.\tGT" + "\t0/1" * 20))).otherwise(F.col("line"))
+    lines.select("chrom", "ord", wide.alias("line")).repartition("chrom").sortWithinPartitions("chrom", "ord").select("chrom", "line").write.partitionBy("chrom").text(path)
+    vo, qc = readers.read_vcf(spark, f"{path}/chrom=@", max_allele_length=5)
+    return qc.select("source_shard", "source_index", "reason").union(vo.df.select("source_shard", "source_index", F.lit("kept")))
+
+
+@query(f"""SELECT source_index, string_agg(CAST((source_index * 31 + i * 17) % 4 AS STRING), '' ORDER BY i) AS codes FROM (SELECT source_index, row_number() OVER (PARTITION BY source_index ORDER BY ord) AS rn FROM ({D.SOURCE}) s) r, (SELECT unnest(range(25)) AS i) k WHERE source_index <> -1 GROUP BY source_index, rn""")
+def genotype_array_file(spark, sf_dir):
+    """Genotypes written as Parquet arrays and read again."""
+    geno, samples, _ = genotypes(spark, sf_dir)
+    path = _file(spark)
+    src = source(spark, sf_dir).df.filter("source_index <> -1")
+    arrays = geno.select("source_shard", "source_index", F.lit(2).alias("allele_ct"), F.transform("geno", lambda g: g.cast("int")).alias("alleles"), F.array().cast("array<boolean>").alias("phase"), F.array().cast("array<float>").alias("dosage"), F.col("source_index").alias("ord"))
+    writers.write_genotype_arrays(src, arrays, samples.withColumnRenamed("local_idx", "out_idx"), path)
+    got = readers.read_genotype_arrays(spark, f"{path}.arrays.parquet")
+    return got.select("source_index", F.array_join(F.transform("alleles", lambda g: g.cast("string")), "").alias("codes"))
+
+
 # Workflows
 
 
-@query()
+#: Repairing labels drops keys that occur twice, before anything is turned.
+SINGLE = f"SELECT chrom, pos, id, a1, a2, source_shard, source_index, allele_op, ord FROM (SELECT *, count(*) OVER (PARTITION BY chrom, pos, a1, a2) AS n0 FROM ({D.SOURCE}) s0) s3 WHERE n0 = 1"
+PREPARED = ORACLE_SQL["restrict_build_compatible"].replace(f"({D.fill(D.SOURCE)}) s1", f"({D.fill(SINGLE)}) s1")
+
+
+@query(f"SELECT * FROM ({PREPARED}) p WHERE {RC.format('a1')} <> a2".replace("{", "{{").replace("}", "}}"))
 def prepare(spark, sf_dir):
-    """No SQL: build and naming are found out on the way, by a sample."""
+    """Labels repaired, the build told from a sample, alleles oriented, what is ambiguous dropped."""
     vo = source(spark, sf_dir)
     vo = VariantObject(vo.df.withColumn("chrom", F.concat(F.lit("chr"), F.when(F.col("chrom") == "MT", "M").otherwise(F.col("chrom")))), "unknown", "ucsc")
     genome = D.genome(D.view(spark, sf_dir, D.TARGET))

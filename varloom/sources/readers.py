@@ -23,7 +23,7 @@ from varloom.scratch import materialize
 
 
 def numbered(spark: SparkSession, path: str, keep: Column | None = None, cut: Column | None = None) -> DataFrame:
-    """(line, index): the lines of a file for which ``keep`` holds, numbered from 0 in file order.
+    """(line, index): the lines of a file for which ``keep`` holds, numbered from 0 in file order; of a folder's files, by name.
 
     ``cut``: what of a line goes on, so that a wide line is not written again as a whole.
     """
@@ -35,7 +35,8 @@ def numbered(spark: SparkSession, path: str, keep: Column | None = None, cut: Co
     # Ids rise within a block whatever else its task reads.
     marked = materialize(lines.withColumn("__m", F.monotonically_increasing_id()))
     per = marked.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("__m").alias("least"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each block.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = per.select("file", "block", (before - F.col("least")).alias("shift"))
     return marked.join(F.broadcast(starts), ["file", "block"]).select("line", (F.col("__m") + F.col("shift")).alias("index"))
 
