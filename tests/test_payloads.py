@@ -293,3 +293,13 @@ def test_headers_over_blocks(spark):
         now = x[1:] if x[0] == ">" else now
         want[i] = now
     assert got == want
+
+
+def test_shards_with_other_parents_differ(spark, tmp_path):
+    (tmp_path / "a.fam").write_text("F a 0 0 1 -9\n")
+    (tmp_path / "b.fam").write_text("F a 0 mum 1 -9\n")
+    one, two = (RD.read_samples(spark, str(tmp_path / f"{x}.fam"), shard=x) for x in "ab")
+    assert OG.same_signature(one.union(one.withColumn("source_shard", F.lit("c")))) and not OG.same_signature(one.union(two))
+    (tmp_path / "c.psam").write_text("#FID\tIID\tSEX\tPHENO\nF\ta\t1\t2\n")
+    three = RD.read_samples(spark, str(tmp_path / "c.psam"), shard="c").first()
+    assert (three.fid, three.iid, three.sex) == ("F", "a", 1) and three.rest.endswith("2")

@@ -93,7 +93,6 @@ def project_payload(payload, fmt: str, target: VariantObject, source_vmap: Varia
     if source_vmap is None and not target.is_vmap:
         raise ValueError("a target without provenance needs source_vmap")
     vmap = match_to_target(source_vmap, target) if source_vmap is not None else target
-    vmap = vmap.with_df(materialize(vmap.df))
     if fmt == "sumstats":
         return apply_to_sumstats(vmap, payload[0], payload[1], only_mapped=not full_target, **options)
     apply = {"bfile": G.apply_to_bfile, "arrays": G.apply_to_genotype_arrays}[fmt]

@@ -163,6 +163,16 @@ def require_mapped(vmap: VariantObject, only_mapped: bool) -> None:
         raise ValueError("no row is left" if only_mapped else "no target has a source: all genotypes would be missing")
 
 
+def checked(vmap: VariantObject, only_mapped: bool) -> VariantObject:
+    """The vmap as a table that several jobs read, after the checks of its rows; without unmatched ones for ``only_mapped``."""
+    vmap = vmap.with_df(materialize(vmap.df.select(*vmap.columns)))
+    require_mapped(vmap, only_mapped)
+    if only_mapped:
+        vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
+    check_ploidy_regions(vmap.df, vmap.genome_build)
+    return vmap
+
+
 def _axis_rows(vmap: VariantObject, rows: DataFrame, samples: DataFrame, target: DataFrame | None, mode: str, axis: str, group: Column) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rows with local_of, __sexes and __n, the samples of the output, the maps of shards or None for a native axis)."""
     if axis not in AXES:
@@ -210,10 +220,7 @@ def apply_to_bfile(
     source are missing. Rows that are not diploid in both sexes are checked.
     A native axis is one for each contig with ``by_contig``, else one for all.
     """
-    require_mapped(vmap, only_mapped)
-    if only_mapped:
-        vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
-    check_ploidy_regions(vmap.df, vmap.genome_build)
+    vmap = checked(vmap, only_mapped)
     group = F.col("chrom") if by_contig else F.lit(".")
     rows, samples_out, maps = _axis_rows(vmap, attach_genotypes(vmap, geno, only_mapped), samples, target_samples, sample_id_mode, axis, group)
     codes = F.when(is_swap(F.col("allele_op")), G.swap_codes(F.col("geno"))).otherwise(F.col("geno"))
@@ -238,10 +245,7 @@ def apply_to_genotype_arrays(
     """As ``apply_to_bfile`` for (alleles: two for each sample, phase, dosage); -9 is missing."""
     if "allele_ct" in arrays.columns and (bad := arrays.join(vmap.df.select("source_shard", "source_index").distinct(), ["source_shard", "source_index"], "left_semi").filter("allele_ct <> 2").first()) is not None:
         raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} has more than two alleles")
-    require_mapped(vmap, only_mapped)
-    if only_mapped:
-        vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
-    check_ploidy_regions(vmap.df, vmap.genome_build)
+    vmap = checked(vmap, only_mapped)
     group = F.col("chrom") if by_contig else F.lit(".")
     rows, samples_out, maps = _axis_rows(vmap, attach_genotypes(vmap, arrays.drop("allele_ct"), only_mapped), samples, target_samples, sample_id_mode, axis, group)
     swap, none = is_swap(F.col("allele_op")), F.col("source_index") == -1

@@ -332,6 +332,7 @@ def apply_to_sumstats(
     """
     c = F.col
     ident = c("id") if retain_id else variant_id(c("chrom"), c("pos"), c("a1"), c("a2"))
+    vmap = vmap.with_df(materialize(vmap.df.select(*vmap.columns)))  # several jobs read it
     if only_mapped:
         vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
     variant = {"CHR": c("chrom"), "POS": c("pos"), "SNP": ident, "EffectAllele": c("a1"), "OtherAllele": c("a2")}

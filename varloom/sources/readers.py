@@ -203,7 +203,7 @@ def _read_object(spark: SparkSession, path: str, names: tuple[str, ...], genome_
 
 
 def read_samples(spark: SparkSession, path: str, shard: str = ".", mode: str = "fid_iid") -> DataFrame:
-    """(source_shard, local_idx, fid, iid, sex) of a FAM file, or of a PSAM file with a header."""
+    """(source_shard, local_idx, fid, iid, sex, rest) of a FAM file, or of a PSAM file with a header; ``rest`` is what else a line says, for comparing shards."""
     line = F.col("line")
     first = first_line(spark, path, (F.trim(line) != "") & ~line.startswith("##"))
     rows = numbered(spark, path, (F.trim(line) != "") & ~line.startswith("#"))
@@ -213,12 +213,12 @@ def read_samples(spark: SparkSession, path: str, shard: str = ".", mode: str = "
         if "IID" not in names:
             raise ValueError("the header has no IID")
         at = lambda n: F.get("f", F.lit(names.index(n))) if n in names else F.lit(None).cast("string")
-        out = f.select(F.coalesce(at("FID"), F.lit("0")).alias("fid"), at("IID").alias("iid"), F.coalesce(norm_sex(at("SEX")), F.lit(0)).alias("sex"), "index")
+        out = f.select(F.coalesce(at("FID"), F.lit("0")).alias("fid"), at("IID").alias("iid"), F.coalesce(norm_sex(at("SEX")), F.lit(0)).alias("sex"), F.concat_ws("\t", F.lit(first.lstrip("#").strip()), "line").alias("rest"), "index")
     else:
         if (bad := f.filter(F.size("f") < 6).first()) is not None:
             raise ValueError(f"{path}: row {bad['index']} has fewer than 6 fields")
-        out = f.select(F.get("f", F.lit(0)).alias("fid"), F.get("f", F.lit(1)).alias("iid"), norm_sex(F.get("f", F.lit(4))).alias("sex"), "index")
-    return check_samples(out.select(F.lit(shard).alias("source_shard"), F.col("index").cast("int").alias("local_idx"), "fid", "iid", "sex"), mode)
+        out = f.select(F.get("f", F.lit(0)).alias("fid"), F.get("f", F.lit(1)).alias("iid"), norm_sex(F.get("f", F.lit(4))).alias("sex"), F.concat_ws("\t", *[F.get("f", F.lit(i)) for i in (2, 3, 4, 5)]).alias("rest"), "index")
+    return check_samples(out.select(F.lit(shard).alias("source_shard"), F.col("index").cast("int").alias("local_idx"), "fid", "iid", "sex", "rest"), mode)
 
 
 def under_headers(rows: DataFrame, head: Column, fields: dict[str, Column], block: int = 4096) -> DataFrame:
