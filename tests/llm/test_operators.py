@@ -86,7 +86,7 @@ def test_suffix_tree_base(spark, docs):
     assert all(r.score == r.base_score == 0 for r in suffixtree.score_texts(docs, F.lit(False)).collect())
 
 
-def brute_tree(train, words, discount=0.75, min_gain=10.0):
+def brute_tree(train, words, discount=0.75, min_gain=10.0, min_symbol_gain=3.0):
     """(root, states): a suffix tree of lists of tokens in plain Python; ``words``: the alphabet, others are "rare"."""
     count = collections.Counter(t for ts in train for t in ts)
     base = sum(count.values()) + 0.5 * (len(count) + 1)
@@ -101,14 +101,17 @@ def brute_tree(train, words, discount=0.75, min_gain=10.0):
     states = {(): (0.0, root)}
     for level in (1, 2):
         for ctx, c in seen[level].items():
-            n, kept = sum(c.values()), {s: k for s, k in c.items() if k >= 2}
+            n, up = sum(c.values()), ctx[1:] if ctx[1:] in states else ()
+            shared, parent = states[up][0] if up else 1.0, states[up][1]
+            of = lambda s: parent[s] if s in parent else shared * root[s]  # noqa: B023, E731
+            left_out = {s: (k - 1 - discount) / max(n - 1, 1) / of(s) for s, k in c.items() if k >= 2}
+            kept = {s: c[s] for s, x in left_out.items() if c[s] * math.log(x) >= min_symbol_gain}
             if not kept:
                 continue
             share = 1 - sum(k - discount for k in kept.values()) / n
-            parent = states[ctx[1:] if ctx[1:] in states else ()][1]
-            gain = sum(k * math.log((k - 1 - discount) / max(n - 1, 1) / parent[s] + share) for s, k in kept.items()) + (len(c) - len(kept)) * math.log(share)
+            gain = sum(k * math.log(left_out[s] + share) for s, k in kept.items()) + (n - sum(kept.values())) * math.log(share)
             if gain >= min_gain:
-                states[ctx] = share, {s: (k - discount) / n + share * parent[s] for s, k in kept.items()}
+                states[ctx] = share, {s: (k - discount) / n + share * of(s) for s, k in kept.items()}
     return root, states, count, base
 
 
