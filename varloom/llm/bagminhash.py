@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import U64, bound_batches, chunks, materialize, mix64, stream64, text_buffer, window_hashes, word_bounds, word_hashes
 from varloom.llm.components import components, link_buckets
+from varloom.llm.linededup import filter_bits, holds, positions, twice_seen
 
 BANDS, ROWS = 25, 5
 _KIND = stream64(211, 64)
@@ -150,8 +151,9 @@ def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) ->
     than q (n + n_hub) differences itself, so a link between it and z takes more than (|Dz| + q (n_hub - n_z)) / 2
     differences in common; seen from it, a link to a member z of n_z <= n / threshold takes |D| - q (n + n_z).
     Two sets with o in common meet in their first |D| - o + 1 elements in
-    any fixed order: here the rarest of the group come first. What members have
-    to themselves alone then fills these prefixes, and no pairs are made of it.
+    any fixed order. Here those come first that a filter of elements seen twice does not
+    know, as a member has them to itself alone, then the rarest of the group. A member whose own elements
+    fill its prefixes meets nobody and sends nothing on.
     """
     q = (1 - threshold) / (1 + threshold)
     id_type = dict(texts.dtypes)["id"]
@@ -166,22 +168,39 @@ def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) ->
                     held = text, bags(y[y_at[i] : y_at[i + 1]], np.array([0, y_at[i + 1] - y_at[i]]), k)[1:3]
                 own = bags(x[x_at[i] : x_at[i + 1]], np.array([0, x_at[i + 1] - x_at[i]]), k)[1:3]
                 d = differences(own, held[1])
+                with np.errstate(over="ignore"):  # elements of other hubs are others
+                    d = mix64(d.view(U64) ^ mix64(held[1][0]).sum(dtype=U64)).view(np.int64)
                 row = pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([int(own[1].sum())]), pa.array([int(held[1][1].sum())]), pa.array([d], pa.list_(pa.int64()))], names=["hub", "rep", "n", "n_hub", "d"])
                 yield row
 
     full = groups.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("own")), "rep").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("of_hub")), "hub")
     made = materialize(full.select("hub", "rep", "own", "of_hub").mapInArrow(run, f"hub {id_type}, rep {id_type}, n long, n_hub long, d array<long>"))
-    each = made.select("hub", "rep", F.explode("d").alias("e"))
-    common = each.groupBy("hub", "e").agg(F.count("*").alias("times"))
-    ranked = each.join(common, ["hub", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("hub", "rep").orderBy("times", "e")))
-    size = F.size("d")
-    bound = (size + F.lit(q) * (F.col("n_hub") - F.col("n"))) / 2
-    short = size - F.floor(bound - 1e-9)
-    long = size - F.greatest(F.lit(1), F.ceil(size - F.lit(q * (1 + 1 / threshold)) * F.col("n") - 1e-9)) + 1
-    linked = size <= F.lit(q) * (F.col("n") + F.col("n_hub")) + 1e-9
-    limits = made.select("hub", "rep", "n", linked.alias("linked"), short.alias("short"), F.when(linked, short).otherwise(F.greatest(short, long)).alias("long"))
-    # Elements of one member alone fill prefixes but meet nothing.
-    kept = materialize(ranked.filter("times > 1").join(limits, ["hub", "rep"]).filter("rank <= long").select("hub", "rep", "n", "e", "linked", (F.col("rank") <= F.col("short")).alias("early")))
+    bits = filter_bits(made.agg(F.sum(F.size("d"))).first()[0] or 0)
+    seen = texts.sparkSession.sparkContext.broadcast(twice_seen(made.select(F.col("d").alias("hs")), bits))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, n_hub = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            at = np.concatenate(([0], np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))))
+            e = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            size, row = np.diff(at), np.repeat(np.arange(len(n)), np.diff(at))
+            maybe = holds(seen.value, positions(e, bits)) if len(e) else np.zeros(0, bool)
+            alone = size - np.bincount(row[maybe], minlength=len(n))
+            linked = size <= q * (n + n_hub) + 1e-9
+            short = size - np.floor((size + q * (n_hub - n)) / 2 - 1e-9)
+            long = size - np.maximum(1, np.ceil(size - q * (1 + 1 / threshold) * n - 1e-9)) + 1
+            long = np.where(linked, short, np.maximum(short, long))
+            go = maybe & (alone < long)[row]
+            to = pa.array(row[go])
+            cols = [batch.column(0).take(to), batch.column(1).take(to), *[pa.array(x[row[go]]) for x in (n, linked, alone.astype(np.int64), short.astype(np.int64), long.astype(np.int64))], pa.array(e[go])]
+            yield pa.RecordBatch.from_arrays(cols, names=["hub", "rep", "n", "linked", "alone", "short", "long", "e"])
+
+    each = materialize(made.mapInArrow(shared, f"hub {id_type}, rep {id_type}, n long, linked boolean, alone long, short long, long long, e long"))
+    common = each.groupBy("hub", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    # Elements that turn out to be of one member alone come first, as those that were not sent.
+    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy(F.coalesce("times", F.lit(1)), "e")) + F.col("alone")
+    ranked = each.join(common, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long")
+    kept = materialize(ranked.select("hub", "rep", "n", "e", "linked", (F.col("rank") <= F.col("short")).alias("early")))
     left = kept.filter("not linked")
     right = kept.filter("early").select("hub", "e", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("linked").alias("y_linked"))
     fits = F.least("n", "n_y") >= F.lit(threshold) * F.greatest("n", "n_y") - 1e-9
