@@ -41,6 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than one in so many of all rows is spread.
+SPREAD_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, parts: int = 64) -> DataFrame:
+    """``rows`` joined with their row of ``groups``, which has ``keys`` once each and in ``size`` how many rows have them.
+
+    The rows of a key that more than one in ``SPREAD_SHARE`` of all rows have are dealt over ``parts`` copies of its
+    group's row. Fewer than ``SPREAD_SHARE`` keys can be so common; their hashes are sent to all tasks.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    common = [r[0] for r in groups.filter(F.col(size) * SPREAD_SHARE > total).select(F.xxhash64(*keys)).collect()]
+    if not common:
+        return rows.join(groups, keys)
+    hot = F.xxhash64(*keys).isin(common)
+    spread = lambda yes, no: F.when(hot, yes).otherwise(no)
+    left = rows.withColumn("__part", spread(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"), F.lit(0)))
+    right = groups.withColumn("__part", F.explode(spread(F.sequence(F.lit(0), F.lit(parts - 1)), F.array(F.lit(0)))))
+    return left.join(right, [*keys, "__part"]).drop("__part")
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -132,6 +153,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(h + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+_EXACT64 = stream64(13, 256)
+
+
+def exact_word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_EXACT64[data] * up[: len(data)], dtype=U64, out=total[1:])
+        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 _STEP = stream64(11, 64) | U64(1)
 
 

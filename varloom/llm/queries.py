@@ -10,11 +10,14 @@ from varloom.llm.bagminhash import near_duplicates
 from varloom.llm.common import table
 from varloom.llm.decontam import contaminated_pairs
 from varloom.llm.descriptors import draw, image_copies
+from varloom.llm.dialogue import damage, repair
 from varloom.llm.langid import identify
 from varloom.llm.linededup import dedup_lines
 from varloom.llm.linedist import extract
 from varloom.llm.mixing import mix
+from varloom.llm.periodic import collapse_runs
 from varloom.llm.suffixtree import score_texts
+from varloom.llm.vectorjoin import near_vectors
 from varloom.llm.weaklabel import classify_quality
 
 
@@ -72,6 +75,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("edit"))
+    out = collapse_runs(docs, edit_col="edit", digest=True)
+    return out.withColumnRenamed("runs", "runs_sha256").withColumnRenamed("collapsed", "collapsed_sha256")
+
+
+def op12_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair(damage(table(spark, sf_dir, "conversations"))).digests()
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_weak_labels": op2_weak_labels,
@@ -83,6 +101,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_blocks": op9_line_blocks,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_join": op12_vector_join,
+    "op13_dialogue_repair": op13_dialogue_repair,
 }
 
 ORACLE_SQL = {
