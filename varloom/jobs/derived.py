@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.scratch import materialize
+
 TABLES = ("orders", "lineitem", "customer")
 
 SITES = """SELECT ord, g % 25 AS ci, CASE WHEN g % 25 = 24 THEN 1 + (g * 7919) % 16569 ELSE 1 + (g * 7919) % 200003 END AS pos
@@ -69,7 +71,7 @@ def genome(sites: DataFrame, shift: int = 0, size: int = 256, around: int = 1) -
     near = sites.select(F.col("chrom").alias("contig"), F.explode(F.sequence(F.floor((F.col("pos") - 1) / size) - around, F.floor((F.col("pos") - 1) / size) + around)).alias("block"))
     blocks = near.filter("block >= 0").distinct().withColumn("ci", number)
     base = lambda p: F.substr(F.lit("ACGT"), (1 + ((p * 7919 + F.col("ci") * 104729 + shift) % 97) % 4).cast("int"), F.lit(1))
-    return blocks.select("contig", "block", F.array_join(F.transform(F.sequence(F.col("block") * size + 1, (F.col("block") + 1) * size), base), "").alias("seq"))
+    return materialize(blocks.select("contig", "block", F.array_join(F.transform(F.sequence(F.col("block") * size + 1, (F.col("block") + 1) * size), base), "").alias("seq")))
 
 
 def chain(spark: SparkSession) -> DataFrame:

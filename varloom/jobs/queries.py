@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import stats
 from varloom.functions.alleles import classify_op, compose_op, is_swap, variant_id
+from varloom.functions.genotypes import decode
 from varloom.functions.contigs import NAMINGS, canonical, canonical_any, normalize_label, rank, render
 from varloom.functions.ploidy import PAR, join_ploidy, ploidy_pair, splitx_label
 from varloom.jobs import derived as D
@@ -19,8 +20,8 @@ from varloom.operators import genotypes as G
 from varloom.operators import reference as R
 from varloom.operators import sumstats as S
 from varloom.operators import variants as V
-from varloom.scratch import scratch_dir
-from varloom.sources import readers, writers
+from varloom.scratch import materialize, scratch_dir
+from varloom.sources import plink, readers, writers
 
 BUILD, NAMING = "GRCh37", "ncbi"
 META = {
@@ -269,9 +270,19 @@ def restrict_summary(spark, sf_dir):
     return R.restrict_build_compatible(vo, D.genome(vo.df), allow_strand_flips=True)[2]
 
 
-@query()
+def moved_left(contig: str, at: str, u: str, shift: int = 0) -> str:
+    """SQL: how far a one-base insertion or deletion ``u`` before ``at`` moves to the left."""
+    return f"coalesce(list_position([({at}) - 1 - i >= 1 AND {base(contig, f'(({at}) - 1 - i)', shift)} = {u} for i in range(200)], false) - 1, 200)"
+
+
+#: Alleles of one and two bases: with a common last base the longer one's first base is what is inserted or deleted.
+NORMALIZED = f"""SELECT *, CASE WHEN u IS NULL THEN pos ELSE pos - k - 1 END AS npos, CASE WHEN u IS NULL THEN a1 ELSE concat({base('chrom', '(pos - k - 1)')}, u) END AS n1, CASE WHEN u IS NULL THEN a2 ELSE {base('chrom', '(pos - k - 1)')} END AS n2
+FROM (SELECT *, {moved_left('chrom', 'pos', 'u')} AS k FROM (SELECT *, CASE WHEN length(a1) = 2 AND substr(a1, 2, 1) = a2 THEN substr(a1, 1, 1) END AS u FROM ({TURNED}) t1) t2) t3"""
+
+
+@query(f"""SELECT chrom, npos AS pos, id, n1 AS a1, n2 AS a2, source_shard, source_index, allele_op, row_number() OVER (ORDER BY {RANK}, npos, n1, n2) - 1 AS ord
+FROM (SELECT *, count(*) OVER (PARTITION BY chrom, npos, n1, n2) AS n FROM ({NORMALIZED}) t WHERE npos >= 1 AND {_pair('male')} = {_pair('male').replace('pos', 'npos')} AND {_pair('female')} = {_pair('female').replace('pos', 'npos')}) k WHERE n = 1""")
 def normalize_indels(spark, sf_dir):
-    """No SQL: left alignment is a loop of each row."""
     vo = source(spark, sf_dir)
     return rows(R.restrict_build_compatible(vo, D.genome(vo.df, around=3), allow_strand_flips=True, norm_indels=True, sort=True)[0])
 
@@ -323,6 +334,46 @@ def _lift(spark, sf_dir):
     return R.liftover_build(t, "GRCh38", D.genome(t.df), D.genome(sites, shift=31), chain)
 
 
+#: Insertions, substitutions of one base by two, and SNVs; in some the reference allele is the first.
+INDELS = f"""SELECT chrom, pos, id, CASE WHEN ord % 5 = 0 THEN r ELSE x END AS a1, CASE WHEN ord % 5 = 0 THEN x ELSE r END AS a2, '.' AS source_shard, ord AS source_index, 'swap' AS allele_op, ord
+FROM (SELECT *, a2 AS r, CASE WHEN ord % 4 < 2 THEN concat(a2, substr('ACGT', CAST(1 + ord % 3 AS INT), 1)) WHEN ord % 4 = 2 THEN concat(a1, a2) ELSE a1 END AS x FROM ({D.TARGET}) t6) t7"""
+#: Blocks of 100 bases with a gap of one base in the target behind each; 500 blocks are a chain, and every other chain is on the minus strand.
+STAIRS = """SELECT contig AS src_contig, 100 * k AS s_start, 100 * k + 100 AS s_end, contig AS tgt_contig, CASE WHEN g % 2 = 0 THEN 101 * k + 1000 ELSE 101 * (500 * g + 499 - (k - 500 * g)) + 1000 END AS t_start,
+CASE WHEN g % 2 = 0 THEN '+' ELSE '-' END AS strand, g AS chain_id, 1e0 AS score FROM (SELECT *, CAST(floor(k / 500) AS BIGINT) AS g FROM (SELECT DISTINCT chrom AS contig FROM {targets} c0) c, (SELECT {unnested} AS k) k0) k1"""
+_TURNED = "CASE WHEN g % 2 = 1 THEN translate(reverse({0}), 'ACGT', 'TGCA') ELSE {0} END"
+_PLACE = "CASE WHEN g % 2 = 0 THEN 101 * ({0}) + 1000 + ({1}) - 100 * ({0}) ELSE 101 * (500 * g + 499 - (({0}) - 500 * g)) + 1000 + 100 * ({0}) + 100 - ({1}) + 1 END"
+LIFT_ENDS = f"""SELECT *, CASE WHEN g % 2 = 0 THEN t1 ELSE t2 + 1 END AS low, abs(t2 - t1) AS size, {_TURNED.format('short0')} AS short, {_TURNED.format('long0')} AS long
+FROM (SELECT *, chrom AS tgt, {_PLACE.format('k', 'pos')} AS t1, CASE WHEN CAST(floor(k2 / 500) AS BIGINT) = g THEN {_PLACE.format('k2', '(pos + 1)')} END AS t2
+FROM (SELECT *, CAST(floor(k / 500) AS BIGINT) AS g, CASE WHEN a2 = r THEN a2 ELSE a1 END AS short0, CASE WHEN a2 = r THEN a1 ELSE a2 END AS long0, length(a1) = 1 AND length(a2) = 1 AS snv
+FROM (SELECT *, CAST(floor((pos - 1) / 100) AS BIGINT) AS k, CAST(floor(pos / 100) AS BIGINT) AS k2, {base('chrom', 'pos')} AS r FROM ({INDELS}) i0) i1) i2) i3"""
+LIFT_SEEN = f"""SELECT *, CASE WHEN snv THEN {base('tgt', 't1', 31)} WHEN size = 1 THEN {base('tgt', 'low', 31)} WHEN size = 2 THEN concat({base('tgt', 'low', 31)}, {base('tgt', '(low + 1)', 31)}) END AS there FROM ({LIFT_ENDS}) i4"""
+LIFT_FORM = f"""SELECT *, CASE WHEN there = short THEN long WHEN there = long THEN short END AS other, CASE WHEN snv THEN t1 ELSE low END AS spot,
+CASE WHEN NOT snv AND length(there) <> length(short) AND coalesce(length(there), 0) <> length(long) THEN NULL WHEN length(short) <> length(long) AND right(short, 1) = right(long, 1) AND there IN (short, long) THEN substr(long, 1, 1) END AS u FROM ({LIFT_SEEN}) i5"""
+LIFT_DONE = f"""SELECT *, CASE WHEN u IS NULL THEN spot ELSE spot - k3 - 1 END AS tpos, CASE WHEN u IS NULL THEN there ELSE concat({base('tgt', '(spot - k3 - 1)', 31)}, CASE WHEN length(there) = 2 THEN u ELSE '' END) END AS n2,
+CASE WHEN u IS NULL THEN other ELSE concat({base('tgt', '(spot - k3 - 1)', 31)}, CASE WHEN length(other) = 2 THEN u ELSE '' END) END AS n1 FROM (SELECT *, {moved_left('tgt', 'spot', 'u', 31)} AS k3 FROM ({LIFT_FORM}) i6) i7"""
+LIFT_STATUS = f"""SELECT *, CASE WHEN there IS NULL THEN 'unsupported_non_snv' WHEN (snv OR other IS NOT NULL) AND {CLASS37} <> {CLASS38} THEN 'ploidy_class_changed' WHEN other IS NULL THEN 'unsupported_swap' ELSE 'lifted' END AS status,
+(CASE WHEN g % 2 = 1 THEN 2 ELSE 0 END) + CASE WHEN (a1 = r) <> (there <> short) THEN 1 ELSE 0 END AS code FROM ({LIFT_DONE}) i8"""
+LIFT_LATE = f"SELECT *, CASE WHEN status = 'lifted' AND count(*) OVER (PARTITION BY status, tgt, tpos, n1, n2) > 1 THEN 'duplicate_target' ELSE status END AS late FROM ({LIFT_STATUS}) i9"
+
+
+def _lift_indels(spark, sf_dir):
+    t = VariantObject(D.view(spark, sf_dir, INDELS), BUILD, NAMING)
+    steps = spark.sql(STAIRS.format(targets="{targets}", unnested="explode(sequence(0L, 2100L))"), targets=t.df.select("chrom"))
+    places = R.block_hits(t.df.select("ord", "chrom", "pos"), F.col("chrom"), steps).select(F.col("tgt_contig").alias("chrom"), R.lifted_pos().alias("pos"))
+    return R.liftover_build(t, "GRCh38", D.genome(t.df), D.genome(places, shift=31, around=2), steps)
+
+
+@query(f"""SELECT tgt AS chrom, tpos AS pos, id, n1 AS a1, n2 AS a2, source_shard, source_index, {composed('allele_op', 'code')} AS allele_op, row_number() OVER (ORDER BY {RANK.replace('chrom', 'tgt')}, tpos, n1, n2) - 1 AS ord FROM ({LIFT_LATE}) x WHERE late = 'lifted'""")
+def liftover_indels(spark, sf_dir):
+    """Insertions, deletions and SNVs through a chain with gaps, on both strands; where the target has the longer allele they are swapped."""
+    return rows(_lift_indels(spark, sf_dir)[0])
+
+
+@query(f"SELECT source_shard, source_index, id AS source_id, late AS status FROM ({LIFT_LATE}) x")
+def liftover_indel_status(spark, sf_dir):
+    return _lift_indels(spark, sf_dir)[1]
+
+
 # Text of variant lists
 
 LINE = f"""SELECT ord, chrom, pos, id, CASE WHEN ord % 43 = 0 THEN 'N' WHEN ord % 47 = 0 THEN 'ACGTACGTACGT' WHEN ord % 53 = 0 THEN concat(a1, ',T') ELSE lower(a1) END AS a1, a2,
@@ -684,6 +735,54 @@ def genotype_array_file(spark, sf_dir):
     return got.select("source_index", F.array_join(F.transform("alleles", lambda g: g.cast("string")), "").alias("codes"))
 
 
+#: Target rows with the record of a PLINK shard each, some with none. Shards 1 and 2 have the even and the odd rows; nothing refers to shard X.
+BFILE_ROWS = f"""SELECT chrom, pos, id, a1, a2, CASE WHEN ord % 7 = 0 THEN '.' WHEN ord % 2 = 0 THEN '2' ELSE '1' END AS source_shard, CASE WHEN ord % 7 = 0 THEN -1 ELSE place END AS source_index,
+CASE WHEN ord % 7 = 0 THEN 'missing' WHEN ord % 5 < 2 THEN 'swap' WHEN ord % 5 = 2 THEN 'flip' ELSE 'identity' END AS allele_op, ord, place
+FROM (SELECT *, row_number() OVER (PARTITION BY ord % 2 ORDER BY ord) - 1 AS place FROM ({D.TARGET}) t8) t9"""
+
+
+def _bfile_set(spark: SparkSession, sf_dir: str, others: bool) -> plink.Bfiles:
+    """Three shards of PLINK files: in shard 2, with ``others``, and in shard X some samples are others."""
+    rows_, nation = materialize(D.view(spark, sf_dir, BFILE_ROWS)), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    folder = _file(spark)
+    code = lambda i: ((F.col("ord") * 31 + i * 17) % 4).cast("tinyint")
+    for token, keep, more in (("1", F.col("ord") % 2 != 0, 0), ("2", F.col("ord") % 2 == 0, 10 * others), ("X", F.col("ord") % 50 == 0, 7)):
+        part = rows_.filter(keep).withColumn("geno", F.transform(F.sequence(F.lit(0), F.lit(24)), code))
+        samples = nation.select(F.col("n_nationkey").alias("out_idx"), F.lit("F").alias("fid"), F.concat(F.lit("I"), (F.col("n_nationkey") + more).cast("string")).alias("iid"), F.lit(0).alias("sex"), F.lit("dad\tmum\t0\t7" if others else "dad\tmum\t2\t7").alias("rest"))
+        writers.write_bfile(part, part, samples, join_ploidy(part, BUILD), f"{folder}/in{token}")
+    return plink.open_bfiles(spark, f"{folder}/in@")
+
+
+def _codes(df: DataFrame) -> DataFrame:
+    return df.withColumn("codes", F.array_join(F.transform(decode(F.col("bed"), F.col("n_samples")), lambda g: g.cast("string")), ""))
+
+
+@query(f"""SELECT chrom AS source_shard, row_number() OVER (PARTITION BY chrom ORDER BY ord) - 1 AS source_index, concat_ws(':', chrom, CAST(pos AS STRING), a1, a2) AS id,
+(SELECT string_agg(CAST(CASE WHEN source_index = -1 THEN 1 WHEN allele_op = 'swap' AND (ord * 31 + i * 17) % 4 IN (0, 3) THEN 3 - (ord * 31 + i * 17) % 4 ELSE (ord * 31 + i * 17) % 4 END AS STRING), '' ORDER BY i) FROM (SELECT unnest(range(25)) AS i) k) AS codes, 'dad mum 7' AS kept
+FROM ({BFILE_ROWS}) v""")
+def bfile_files(spark, sf_dir):
+    """Shards of PLINK files projected by key to a file set for each contig, and these read again."""
+    vmap = VariantObject(D.view(spark, sf_dir, BFILE_ROWS), BUILD, NAMING)
+    out = f"{_file(spark)}.@"
+    plink.project_bfiles(vmap, _bfile_set(spark, sf_dir, False), by_contig=True).write(out)
+    again = plink.open_bfiles(spark, out)
+    got = _codes(plink.read_records(spark, again)).select("source_shard", "source_index", "codes")
+    ids = readers.read_bim(spark, f"{out}.bim", BUILD)[0].df.select("source_shard", "source_index", "id")
+    fields = F.split("rest", "\t")
+    lines = again.samples.groupBy("source_shard").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", fields[0], fields[1], fields[3]))), ",").alias("kept"))
+    return got.join(ids, ["source_shard", "source_index"]).join(F.broadcast(lines), "source_shard")
+
+
+@query(f"""SELECT ord, (SELECT string_agg(CAST(CASE WHEN source_index = -1 OR i - shift NOT BETWEEN 0 AND 24 THEN 1 WHEN allele_op = 'swap' AND c IN (0, 3) THEN 3 - c ELSE c END AS STRING), '' ORDER BY i)
+FROM (SELECT i, (ord * 31 + (i - shift) * 17) % 4 AS c FROM (SELECT unnest(range(35)) AS i) k0) k) AS codes
+FROM (SELECT *, CASE source_shard WHEN '2' THEN 10 ELSE 0 END AS shift FROM ({BFILE_ROWS}) v0) v""")
+def bfile_union_records(spark, sf_dir):
+    """Records of two shards on the axis of all samples of both; the third shard is not referred to, so its samples are not there."""
+    vmap = VariantObject(D.view(spark, sf_dir, BFILE_ROWS), BUILD, NAMING)
+    made = plink.project_bfiles(vmap, _bfile_set(spark, sf_dir, True), axis="union")
+    return _codes(made.records().withColumn("n_samples", F.lit(made.axes["."].n))).select("ord", "codes")
+
+
 # Workflows
 
 

@@ -44,6 +44,23 @@ def check_samples(samples: DataFrame, mode: str = "fid_iid") -> DataFrame:
     return samples
 
 
+def referenced(vmap: VariantObject, samples: DataFrame) -> DataFrame:
+    """The samples of the shards that mapped rows refer to; a shard without samples is an error."""
+    used = materialize(vmap.df.filter("source_index <> -1").select("source_shard").distinct())  # a row for each shard
+    lost = used.join(samples.select("source_shard").distinct(), "source_shard", "left_anti").first()
+    if lost is not None:
+        raise ValueError(f"shard {lost.source_shard} has no samples")
+    return samples.join(F.broadcast(used), "source_shard", "left_semi")
+
+
+def check_fid_presence(samples: DataFrame, mode: str) -> None:
+    """Under ``fid_iid`` the headers of sample files name a FID in all shards or in none."""
+    if mode == "fid_iid" and "header" in samples.columns:
+        has = F.array_contains(F.split(F.regexp_replace("header", "^#", ""), r"\s+"), "FID")
+        if samples.agg(F.countDistinct(has)).first()[0] > 1:
+            raise ValueError("some sample files have a FID column and others have none")
+
+
 def signatures(samples: DataFrame) -> DataFrame:
     """(source_shard, signature): a digest of a shard's samples in order, with all the columns that ``samples`` has."""
     line = F.struct("local_idx", *[c for c in samples.columns if c not in ("source_shard", "local_idx")])
@@ -56,7 +73,7 @@ def same_signature(samples: DataFrame) -> bool:
 
 
 def native_axes(vmap: VariantObject, samples: DataFrame, group: Column) -> DataFrame:
-    """(group, out_idx, fid, iid, sex): for each output group the samples of the shards that its rows come from.
+    """(group, out_idx, fid, iid, sex and what else lines say): for each output group the samples of the shards that its rows come from.
 
     These shards must list the same samples; a group none of whose rows has a source is an error.
     """
@@ -69,11 +86,14 @@ def native_axes(vmap: VariantObject, samples: DataFrame, group: Column) -> DataF
     if bad is not None:
         why = "has no row with a source" if not bad.shards else "has shards without samples" if bad.known < bad.shards else "has shards with different samples"
         raise ValueError(f"a native axis is not possible: output {bad['group']} {why}")
-    return samples.join(F.broadcast(by_group.select("group", "source_shard")), "source_shard").select("group", F.col("local_idx").alias("out_idx"), "fid", "iid", "sex")
+    return _as_axis(samples.join(F.broadcast(by_group.select("group", "source_shard")), "source_shard"), "group")
 
 
 def union_axis(samples: DataFrame, mode: str = "fid_iid") -> DataFrame:
-    """(out_idx, fid, iid, sex) of all subjects, by shard and then place; a known sex beats an unknown one, two known ones are an error."""
+    """(out_idx, fid, iid, sex) of all subjects, by shard and then place; a known sex beats an unknown one, two known ones are an error.
+
+    What a subject's line says besides is not taken over, as shards may differ in it.
+    """
     key = subject(mode).alias("s")
     at = F.struct("source_shard", "local_idx")
     per = samples.groupBy(key).agg(
@@ -89,15 +109,30 @@ def union_axis(samples: DataFrame, mode: str = "fid_iid") -> DataFrame:
 
 
 def sample_axis(samples: DataFrame, target: DataFrame | None = None, mode: str = "fid_iid", union: bool = False) -> DataFrame:
-    """(out_idx, fid, iid, sex), one axis for all output: the given target axis, the union of all shards, or the one axis that they share."""
+    """(out_idx, fid, iid, sex), one axis for all output: the given target axis, the union of all shards, or the one axis that they share.
+
+    Axes that are those of a file keep what its lines say besides (``rest`` and ``header``). The union of one shard is that shard's axis.
+    """
+    check_fid_presence(samples, mode)
     if target is not None:
-        return target.select(F.col("local_idx").alias("out_idx"), "fid", "iid", "sex")
-    if union:
+        return _as_axis(target)
+    first, last = samples.agg(F.min("source_shard"), F.max("source_shard")).first()
+    if union and first != last:
         return union_axis(samples, mode)
     if not same_signature(samples):
         raise ValueError("shards have different samples; give a target axis or ask for the union")
-    first = samples.agg(F.min("source_shard")).first()[0]
-    return samples.filter(F.col("source_shard") == first).select(F.col("local_idx").alias("out_idx"), "fid", "iid", "sex")
+    return _as_axis(samples.filter(F.col("source_shard") == first))
+
+
+def _as_axis(samples: DataFrame, *keep: str) -> DataFrame:
+    return samples.select(*keep, F.col("local_idx").alias("out_idx"), "fid", "iid", "sex", *[c for c in ("rest", "header") if c in samples.columns])
+
+
+def fam_line(samples: DataFrame) -> Column:
+    """A FAM line: the whole line of the sample's source where it has one."""
+    plain = F.concat_ws("\t", F.lit("0"), F.lit("0"), F.col("sex").cast("string"), F.lit("-9"))
+    rest = F.coalesce("rest", plain) if "rest" in samples.columns else plain
+    return F.concat_ws("\t", "fid", "iid", rest)
 
 
 def axis_maps(samples: DataFrame, axis: DataFrame, mode: str = "fid_iid") -> DataFrame:
@@ -177,6 +212,7 @@ def _axis_rows(vmap: VariantObject, rows: DataFrame, samples: DataFrame, target:
     """(rows with local_of, __sexes and __n, the samples of the output, the maps of shards or None for a native axis)."""
     if axis not in AXES:
         raise ValueError(f"the sample axis must be one of {AXES}")
+    samples = materialize(referenced(vmap, samples))
     if axis != "native":
         out = sample_axis(samples, target, mode, axis == "union")
         maps = axis_maps(samples, out, mode)

@@ -7,16 +7,13 @@ block) and never sent whole to a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.alleles import compose_op, is_acgt, op_name, revcomp
 from varloom.functions.contigs import canonical, render
 from varloom.functions.ploidy import ploidy_pair
-from varloom.model import VariantObject, check_naming, require_naming, status_qc
+from varloom.model import PROVENANCE, VariantObject, check_naming, require_naming, status_qc
 from varloom.operators.variants import drop_collisions, first_of_key, sample_rows, sort_variants
 from varloom.scratch import materialize
 
@@ -97,33 +94,37 @@ def guess_build(vo: VariantObject, blocks: dict[str, DataFrame], sample: int = 1
     return (vo.with_df(vo.df, genome_build=guess) if force or vo.genome_build == "unknown" else vo), evidence
 
 
+def same_from_start(x: Column, y: Column) -> Column:
+    """How many characters two strings have in common from their start."""
+    differs = F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: a == b), False)
+    shorter = F.least(F.length(x), F.length(y))
+    return F.when(shorter == 0, 0).when(differs > 0, F.least(differs - 1, shorter)).otherwise(shorter).cast("int")
+
+
 def left_align(rows: DataFrame) -> DataFrame:
-    """Trim and left-align REF (``ref``) and ALT (``alt``) at ``at`` in the window ``seq`` from ``seq_start`` on; ``short``: the window ended first."""
-
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for at, ref, alt, seq, start in zip(f["at"], f["ref"], f["alt"], f["seq"], f["seq_start"], strict=True):
-                short = False
-                while ref != alt and (not ref or not alt or ref[-1] == alt[-1]):
-                    if ref and alt:
-                        ref, alt = ref[:-1], alt[:-1]
-                    if not ref or not alt:
-                        if at <= start:
-                            short = start > 1
-                            break
-                        base = seq[at - 1 - start]
-                        ref, alt, at = base + ref, base + alt, at - 1
-                if ref != alt and ref and alt:
-                    n = 0
-                    while min(len(ref), len(alt)) - n > 1 and ref[n] == alt[n]:
-                        n += 1
-                    ref, alt, at = ref[n:], alt[n:], at + n
-                out.append((at, ref, alt, short or not ref or not alt))
-            f[["at", "ref", "alt", "short"]] = pd.DataFrame(out, columns=["at", "ref", "alt", "short"], index=f.index)
-            yield f
-
-    return rows.mapInPandas(align, rows.withColumn("short", F.lit(False)).schema)
+    """Trim and left-align REF (``ref``) and ALT (``alt``) at ``at`` in the window ``seq`` from ``seq_start`` on; ``short``: the window ended first.
+
+    In closed form: without their common end, one allele of a pure insertion or
+    deletion is empty and the other is U. U moves left as far as the bases before it, read backwards, agree with U
+    read backwards again and again, and is turned by the rest of that distance. The base before it is the anchor.
+    Alleles that both remain lose what they have in common at the start, but for one base.
+    """
+    c = F.col
+    rows = rows.withColumn("__cut", same_from_start(F.reverse("ref"), F.reverse("alt")))
+    rows = rows.withColumns({"__r": F.expr("left(ref, length(ref) - __cut)"), "__a": F.expr("left(alt, length(alt) - __cut)")})
+    rows = rows.withColumns({"__u": F.when(c("__r") == "", c("__a")).when(c("__a") == "", c("__r")), "__w": F.least(c("at") - c("seq_start"), F.length("seq")).cast("int")})
+    again = F.expr("substr(repeat(reverse(__u), cast(ceil(__w / length(__u)) as int)), 1, __w)")
+    rows = rows.withColumn("__k", F.when(c("__u").isNotNull() & (c("__u") != ""), same_from_start(F.expr("reverse(left(seq, __w))"), again)))
+    rows = rows.withColumns({"__m": c("__k") % F.length("__u"), "__anchor": F.expr("case when __k < __w then substr(seq, __w - __k, 1) else '' end")})
+    turned = F.expr("concat(right(__u, __m), left(__u, length(__u) - __m))")
+    most = F.greatest(F.least(F.length("__r"), F.length("__a")) - 1, F.lit(0))
+    rows = rows.withColumn("__p", F.least(same_from_start(c("__r"), c("__a")), most))
+    pure = c("__k").isNotNull()
+    allele = lambda x, was: F.when(pure, F.concat("__anchor", F.when(c(x) == "", "").otherwise(turned))).when(c("ref") == c("alt"), c(was)).otherwise(F.expr(f"substr({x}, __p + 1)"))
+    at = F.when(pure, c("at") - c("__k") - F.length("__anchor")).when(c("ref") == c("alt"), c("at")).otherwise(c("at") + c("__p"))
+    rows = rows.withColumns({"__ref": allele("__r", "ref"), "__alt": allele("__a", "alt"), "__at": at, "short": F.coalesce(pure & (c("__k") == c("__w")) & (c("seq_start") > 1), F.lit(False))})
+    rows = rows.withColumns({"ref": c("__ref"), "alt": c("__alt"), "at": c("__at")})
+    return rows.drop("__cut", "__r", "__a", "__u", "__w", "__k", "__m", "__anchor", "__p", "__ref", "__alt", "__at")
 
 
 def normalize_indels(rows: DataFrame, contig: Column, blocks: DataFrame, flank: int = 256) -> DataFrame:
@@ -214,8 +215,8 @@ def _with_indels(vo: VariantObject, kept: DataFrame, complex_rows: DataFrame, co
     return single.select(*cols).unionByName(good), status_qc(vo, rows, F.col("status"))
 
 
-def chain_hits(df: DataFrame, contig: Column, chain: DataFrame, key: str = "ord") -> DataFrame:
-    """Rows inside a chain block: its columns are added, the chain of the highest score wins.
+def block_hits(df: DataFrame, contig: Column, chain: DataFrame) -> DataFrame:
+    """Rows with each chain block that they lie in, and its columns.
 
     ``chain``: (src_contig, s_start, s_end, tgt_contig, t_start, strand,
     chain_id, score); a block covers s_start < pos <= s_end. Blocks are spread
@@ -226,16 +227,61 @@ def chain_hits(df: DataFrame, contig: Column, chain: DataFrame, key: str = "ord"
         binned = F.broadcast(binned)
     rows = df.withColumn("__contig", contig).withColumn("__bin2", F.shiftright(F.col("pos") - 1, BIN_BITS))
     on = (F.col("__contig") == F.col("src_contig")) & (F.col("__bin2") == F.col("__bin")) & (F.col("pos") > F.col("s_start")) & (F.col("pos") <= F.col("s_end"))
+    return rows.join(binned, on).drop("__bin", "__bin2", "__contig")
+
+
+def chain_hits(df: DataFrame, contig: Column, chain: DataFrame, key: str = "ord") -> DataFrame:
+    """``block_hits`` with the block of the highest-scoring chain for each row."""
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), "chain_id", "s_start")
-    return rows.join(binned, on).withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n", "__bin", "__bin2", "__contig")
+    return block_hits(df, contig, chain).withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
+
+
+def lifted_pos() -> Column:
+    """Where ``pos`` is in the target, from the columns of its block."""
+    minus = F.col("strand") == "-"
+    return F.when(minus, F.col("t_start") + F.col("s_end") - F.col("pos") + 1).otherwise(F.col("t_start") + F.col("pos") - F.col("s_start"))
+
+
+def lift_alleles(hits: DataFrame, contig: Column, chain: DataFrame, target_blocks: DataFrame) -> DataFrame:
+    """Lift insertions and deletions: (ord, at, ref, alt, swapped, status) of each row of ``hits``, in the target's plus strand and left-aligned there.
+
+    ``hits`` has a block for each row, whose one-base allele ``ref`` stands at ``pos`` in the source, with the other one in ``alt``.
+    Both ends of the site, the base at ``pos`` and the one behind it, are lifted by the same chain, so that a
+    gap of the target between them is seen. What the target has from the first up to
+    the second must be one of the two alleles, complemented on a minus strand: that one is the target's
+    REF, and if it is the longer one the alleles are swapped.
+    """
+    minus = F.col("strand") == "-"
+    first = hits.select("ord", "pos", "ref", "alt", "tgt_contig", "strand", "chain_id", contig.alias("__source"), lifted_pos().alias("__t1"))
+    behind = block_hits(first.select("ord", "__source", (F.col("pos") + 1).alias("pos"), F.col("chain_id").alias("__chain")), F.col("__source"), chain)
+    second = behind.filter("chain_id = __chain").groupBy("ord").agg(F.min_by(lifted_pos(), F.col("s_start")).alias("__t2"))
+    both = first.join(second, "ord", "left")
+    low = F.when(minus, F.col("__t2") + 1).otherwise(F.col("__t1"))
+    size = F.when(minus, F.col("__t1") - F.col("__t2")).otherwise(F.col("__t2") - F.col("__t1"))
+    turn = lambda a: F.when(minus, revcomp(F.col(a))).otherwise(F.col(a))
+    both = both.select("ord", "tgt_contig", turn("ref").alias("ref"), turn("alt").alias("alt"), low.alias("at"), size.alias("__size"))
+    # The target holds one of the alleles only if it has its length.
+    spans = F.coalesce((F.col("__size") == F.length("ref")) | (F.col("__size") == F.length("alt")), F.lit(False))
+    both = materialize(both.withColumn("__spans", spans))
+    seen = with_window(both.filter("__spans"), F.col("tgt_contig"), F.col("at"), F.col("__size").cast("int"), target_blocks, "ord")
+    seen = seen.withColumn("__there", F.expr("left(seq, cast(__size as int))")).drop("seq", "seq_start")
+    seen = seen.withColumn("swapped", F.when(F.col("__there") == F.col("ref"), False).when(F.col("__there") == F.col("alt"), True))
+    fits = seen.filter("swapped is not null")
+    placed = fits.select("ord", "tgt_contig", "at", "swapped", F.when(F.col("swapped"), F.col("alt")).otherwise(F.col("ref")).alias("ref"), F.when(F.col("swapped"), F.col("ref")).otherwise(F.col("alt")).alias("alt"), F.col("ord").alias("__row"))
+    placed = materialize(placed)
+    moved = normalize_indels(placed, F.col("tgt_contig"), target_blocks).withColumnRenamed("__row", "ord")
+    wrong = ~is_acgt(F.col("ref")) | ~is_acgt(F.col("alt")) | (F.col("at") <= 0) | (F.least(F.length("ref"), F.length("alt")) > 1)
+    good = placed.select("ord", "swapped").join(moved, "ord").withColumn("status", F.when(wrong, "unsupported_non_snv"))
+    lost = seen.filter("swapped is null").select("ord", F.lit("unsupported_swap").alias("status")).union(both.filter("not __spans").select("ord", F.lit("unsupported_non_snv")))
+    return good.select("ord", "at", "ref", "alt", "swapped", "status").unionByName(lost, allowMissingColumns=True)
 
 
 def liftover_build(vo: VariantObject, target_build: str, source_blocks: DataFrame, target_blocks: DataFrame, chain: DataFrame) -> tuple[VariantObject, DataFrame]:
     """(object in the target build, sorted, a2 the reference allele; a QC row for every input row).
 
-    SNVs are lifted exactly. Of the others those with a one-base allele are
-    lifted if the whole REF lies in one block on the plus strand; the rest is
-    ``unsupported_non_snv``. A target base that is neither allele is ``unsupported_swap``.
+    SNVs and alleles of other lengths, one of which is the base that the source has at the position, are lifted (the latter
+    as ``lift_alleles`` says, left-aligned in the target). Rows of which neither allele is that base, or whose
+    ends the chain parts otherwise than the alleles differ, are ``unsupported_non_snv``. A target that has neither allele is ``unsupported_swap``.
     """
     if "unknown" in (vo.genome_build, target_build) or vo.genome_build == target_build:
         raise ValueError(f"cannot lift from {vo.genome_build} to {target_build}")
@@ -251,35 +297,33 @@ def liftover_build(vo: VariantObject, target_build: str, source_blocks: DataFram
     if bad:
         raise ValueError("rows that do not agree with the source build: " + ", ".join(f"{r.chrom}:{r.pos}:{r.a1}:{r.a2}" for r in bad))
     ready = anchored & agrees
-    hits = chain_hits(based.filter(ready), contig, chain)
+    hits = materialize(chain_hits(based.filter(ready), contig, chain))
     minus = F.col("strand") == "-"
-    lifted = hits.withColumn("__pos", F.when(minus, F.col("t_start") + F.col("s_end") - F.col("pos") + 1).otherwise(F.col("t_start") + F.col("pos") - F.col("s_start")))
-    ref_length = F.when(F.col("a2") == F.col("src_ref"), F.length("a2")).otherwise(F.length("a1"))
-    before, after = ploidy_pair(F.col("chrom"), F.col("pos"), vo.genome_build), ploidy_pair(F.col("tgt_contig"), F.col("__pos"), target_build)
-    lifted = lifted.withColumns(
-        {
-            "__label": render(F.col("tgt_contig"), vo.contig_naming),
-            "__ok_span": snv | (~minus & (F.col("pos") + ref_length - 1 <= F.col("s_end"))),
-            "__same_ploidy": before.eqNullSafe(after),
-            "__src": F.col("pos"),
-        }
-    ).withColumn("pos", F.col("__pos"))
-    lifted = with_base(lifted, F.col("tgt_contig"), target_blocks)
+    lifted = hits.withColumn("__pos", lifted_pos()).withColumns({"__label": render(F.col("tgt_contig"), vo.contig_naming), "__src": F.col("pos")})
+    others = lift_alleles(hits.filter(~snv).withColumns({"ref": F.col("src_ref"), "alt": F.when(F.col("a2") == F.col("src_ref"), F.col("a1")).otherwise(F.col("a2"))}), contig, chain, target_blocks)
+    others = materialize(others.select("ord", F.col("at").alias("__at"), F.col("ref").alias("__ref"), F.col("alt").alias("__alt"), "swapped", F.col("status").alias("__status")))
+    rest = lifted.filter(~snv).join(others, "ord")
+    lifted = with_base(lifted.filter(snv).withColumn("pos", F.col("__pos")), F.col("tgt_contig"), target_blocks)
     for a in ("a1", "a2"):
         lifted = lifted.withColumn(a, F.when(minus, revcomp(F.col(a))).otherwise(F.col(a)))
     local = F.when(F.col("a2") == F.col("ref"), 0).when(F.col("a1") == F.col("ref"), 1)
+    # Whether the source's alleles change places: for an indel also where the one-base allele was the first.
+    local_of_rest = F.when(F.col("__status").isNull(), F.when(F.col("swapped") != (F.col("a1") == F.col("src_ref")), 1).otherwise(0))
+    names = ("ord", "chrom", "pos", "id", "a1", "a2", *(PROVENANCE if vo.is_vmap else ()))
+    lifted = lifted.select(*names, "__src", "__label", "tgt_contig", "strand", local.alias("__local"), F.when(local.isNull(), "unsupported_swap").alias("__why"), F.when(local == 1, F.col("a2")).otherwise(F.col("a1")).alias("__x"), F.when(local == 1, F.col("a1")).otherwise(F.col("a2")).alias("__y"))
+    rest = rest.withColumn("pos", F.col("__at")).select(*names, "__src", "__label", "tgt_contig", "strand", local_of_rest.alias("__local"), F.col("__status").alias("__why"), F.col("__alt").alias("__x"), F.col("__ref").alias("__y"))
+    lifted = lifted.union(rest)
+    before, after = ploidy_pair(F.col("chrom"), F.col("__src"), vo.genome_build), ploidy_pair(F.col("tgt_contig"), F.col("pos"), target_build)
     status = (
-        F.when(~F.col("__ok_span"), "unsupported_non_snv")
+        F.when(F.col("__why") == "unsupported_non_snv", F.col("__why"))
         .when(F.col("__label").isNull(), "unsupported_target_contig")
-        .when(~F.col("__same_ploidy"), "ploidy_class_changed")
-        .when(local.isNull(), "unsupported_swap")
-        .otherwise("lifted")
+        .when(F.col("pos").isNotNull() & ~before.eqNullSafe(after), "ploidy_class_changed")
+        .otherwise(F.coalesce("__why", F.lit("lifted")))
     )
-    lifted = materialize(lifted.withColumn("status", status).withColumn("__swap", F.coalesce(local, F.lit(0))))
-    swapped = F.col("__swap") == 1
-    good = lifted.filter("status = 'lifted'").withColumns({"chrom": F.col("__label"), "__x": F.when(swapped, F.col("a2")).otherwise(F.col("a1")), "a2": F.when(swapped, F.col("a1")).otherwise(F.col("a2"))}).withColumn("a1", F.col("__x"))
+    lifted = materialize(lifted.withColumn("status", status))
+    good = lifted.filter("status = 'lifted'").withColumns({"chrom": F.col("__label"), "a1": F.col("__x"), "a2": F.col("__y")})
     if vo.is_vmap:
-        good = good.withColumn("allele_op", compose_op(F.col("allele_op"), op_name(F.when(minus, 2).otherwise(0) + F.col("__swap"))))
+        good = good.withColumn("allele_op", compose_op(F.col("allele_op"), op_name(F.when(minus, 2).otherwise(0) + F.col("__local"))))
     good = materialize(good.select(*vo.columns))
     n = good.withColumn("__n", F.count("*").over(Window.partitionBy("chrom", "pos", "a1", "a2"))) if vo.is_vmap else good.withColumn("__n", F.lit(1))
     collided = n.filter("__n > 1").select("ord", F.lit("duplicate_target").alias("late"))

@@ -27,18 +27,26 @@ def numbered(spark: SparkSession, path: str, keep: Column | None = None, cut: Co
 
     ``cut``: what of a line goes on, so that a wide line is not written again as a whole.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    if keep is not None:
-        lines = lines.filter(keep)
-    if cut is not None:
-        lines = lines.withColumn("line", cut)
+    return numbered_shards(spark, [(".", path, keep, cut)]).select("line", "index")
+
+
+def numbered_shards(spark: SparkSession, shards: list[tuple[str, str, Column | None, Column | None]]) -> DataFrame:
+    """(shard, line, index): ``numbered`` for the file of each shard (token, path, keep, cut), all shards in one pass."""
+    every = None
+    for token, path, keep, cut in shards:
+        lines = spark.read.text(path).select(F.lit(token).alias("shard"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        if keep is not None:
+            lines = lines.filter(keep)
+        if cut is not None:
+            lines = lines.withColumn("line", cut)
+        every = lines if every is None else every.union(lines)
     # Ids rise within a block whatever else its task reads.
-    marked = materialize(lines.withColumn("__m", F.monotonically_increasing_id()))
-    per = marked.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("__m").alias("least"))
+    marked = materialize(every.withColumn("__m", F.monotonically_increasing_id()))
+    per = marked.groupBy("shard", "file", "block").agg(F.count("*").alias("n"), F.min("__m").alias("least"))
     # A row for each block.
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per.select("file", "block", (before - F.col("least")).alias("shift"))
-    return marked.join(F.broadcast(starts), ["file", "block"]).select("line", (F.col("__m") + F.col("shift")).alias("index"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.select("shard", "file", "block", (before - F.col("least")).alias("shift"))
+    return marked.join(F.broadcast(starts), ["shard", "file", "block"]).select("shard", "line", (F.col("__m") + F.col("shift")).alias("index"))
 
 
 def resolve_shards(spark: SparkSession, template: str, shards: list[str] | None = None) -> list[tuple[str, str]]:
@@ -63,11 +71,14 @@ def resolve_shards(spark: SparkSession, template: str, shards: list[str] | None
 
 
 def _sharded(spark: SparkSession, path: str, shards: list[str] | None, keep, cut: Column | None = None) -> DataFrame:
-    every = None
-    for i, (token, one) in enumerate(resolve_shards(spark, path, shards)):
-        part = numbered(spark, one, keep(one), cut).select("line", F.lit(token).alias("source_shard"), F.col("index").alias("source_index"), F.lit(i).alias("__shard"))
-        every = part if every is None else every.union(part)
-    return every.withColumn("ord", F.struct("__shard", "source_index"))
+    found = resolve_shards(spark, path, shards)
+    lines = numbered_shards(spark, [(token, one, keep(one), cut) for token, one in found])
+    return _in_order(lines, [token for token, _ in found])
+
+
+def _in_order(lines: DataFrame, tokens: list[str]) -> DataFrame:
+    place = F.array_position(F.array(*[F.lit(t) for t in tokens]), F.col("shard")).cast("int") - 1
+    return lines.select("line", F.col("shard").alias("source_shard"), F.col("index").alias("source_index"), F.struct(place.alias("__shard"), F.col("index").alias("source_index")).alias("ord"))
 
 
 def _imported(rows: DataFrame, reason: Column, contigs: str | None, genome_build: str) -> tuple[VariantObject, DataFrame]:
@@ -149,15 +160,14 @@ def first_line(spark: SparkSession, path: str, keep: Column) -> str:
 def read_pvar(spark: SparkSession, path: str, genome_build: str = "unknown", contigs: str | None = None, shards: list[str] | None = None, max_allele_length: int = 150) -> tuple[VariantObject, DataFrame]:
     """Each shard has its own header; the columns that are needed are put in one order."""
     order = ("CHROM", "POS", "ID", "REF", "ALT")
-    every = None
-    for i, (token, one) in enumerate(resolve_shards(spark, path, shards)):
+    found, each = resolve_shards(spark, path, shards), []
+    for token, one in found:
         names = _pvar_names(first_line(spark, one, F.col("line").startswith("#CHROM")))
         f = F.split("line", "\t")
         # A line that is too short stays so.
         cut = F.when(F.size(f) > max(names.index(c) for c in order), F.concat_ws("\t", *[F.get(f, F.lit(names.index(c))) for c in order])).otherwise("")
-        part = numbered(spark, one, ~F.col("line").startswith("#") & (F.trim("line") != ""), cut).select("line", F.lit(token).alias("source_shard"), F.col("index").alias("source_index"), F.lit(i).alias("__shard"))
-        every = part if every is None else every.union(part)
-    return parse_pvar(every.withColumn("ord", F.struct("__shard", "source_index")), "#" + "\t".join(order), max_allele_length, contigs, genome_build)
+        each.append((token, one, ~F.col("line").startswith("#") & (F.trim("line") != ""), cut))
+    return parse_pvar(_in_order(numbered_shards(spark, each), [t for t, _ in found]), "#" + "\t".join(order), max_allele_length, contigs, genome_build)
 
 
 def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
@@ -203,22 +213,42 @@ def _read_object(spark: SparkSession, path: str, names: tuple[str, ...], genome_
 
 
 def read_samples(spark: SparkSession, path: str, shard: str = ".", mode: str = "fid_iid") -> DataFrame:
-    """(source_shard, local_idx, fid, iid, sex, rest) of a FAM file, or of a PSAM file with a header; ``rest`` is what else a line says, for comparing shards."""
+    """(source_shard, local_idx, fid, iid, sex, rest, header) of a FAM file, or of a PSAM file with a header.
+
+    ``rest`` is what a FAM line says behind the IID, or the whole line of a PSAM file, whose header line is ``header``
+    (null for FAM): for comparing shards and for writing the sample again.
+    """
+    return read_sample_shards(spark, [(shard, path)], mode)
+
+
+def read_sample_shards(spark: SparkSession, shards: list[tuple[str, str]], mode: str = "fid_iid") -> DataFrame:
+    """``read_samples`` for the file of each shard (token, path), all in one pass. A shard without samples is an error."""
     line = F.col("line")
-    first = first_line(spark, path, (F.trim(line) != "") & ~line.startswith("##"))
-    rows = numbered(spark, path, (F.trim(line) != "") & ~line.startswith("#"))
-    f = rows.withColumn("f", F.split(F.trim("line"), r"\s+"))
-    if first.startswith("#"):
-        names = first.lstrip("#").split()
+    full = (F.trim(line) != "") & ~line.startswith("##")
+    lines = materialize(numbered_shards(spark, [(t, p, full, None) for t, p in shards]))
+    heads = {r["shard"]: r.header for r in lines.filter(line.startswith("#")).groupBy("shard").agg(F.min_by("line", "index").alias("header")).collect()}  # a row for each shard
+    fam = ["FID", "IID", "father", "mother", "SEX", "pheno"]
+    layout = []
+    for t, _ in shards:
+        names = heads[t].lstrip("#").split() if t in heads else fam
         if "IID" not in names:
-            raise ValueError("the header has no IID")
-        at = lambda n: F.get("f", F.lit(names.index(n))) if n in names else F.lit(None).cast("string")
-        out = f.select(F.coalesce(at("FID"), F.lit("0")).alias("fid"), at("IID").alias("iid"), F.coalesce(norm_sex(at("SEX")), F.lit(0)).alias("sex"), F.concat_ws("\t", F.lit(first.lstrip("#").strip()), "line").alias("rest"), "index")
-    else:
-        if (bad := f.filter(F.size("f") < 6).first()) is not None:
-            raise ValueError(f"{path}: row {bad['index']} has fewer than 6 fields")
-        out = f.select(F.get("f", F.lit(0)).alias("fid"), F.get("f", F.lit(1)).alias("iid"), norm_sex(F.get("f", F.lit(4))).alias("sex"), F.concat_ws("\t", *[F.get("f", F.lit(i)) for i in (2, 3, 4, 5)]).alias("rest"), "index")
-    return check_samples(out.select(F.lit(shard).alias("source_shard"), F.col("index").cast("int").alias("local_idx"), "fid", "iid", "sex", "rest"), mode)
+            raise ValueError(f"the header of shard {t} has no IID")
+        layout.append((t, heads.get(t), len(names), *[names.index(c) if c in names else None for c in ("FID", "IID", "SEX")]))
+    layout = spark.createDataFrame(layout, "shard string, header string, width int, fid_at int, iid_at int, sex_at int")
+    rows = lines.filter(~line.startswith("#")).withColumn("f", F.split(F.trim("line"), r"\s+")).join(F.broadcast(layout), "shard")
+    if (bad := rows.filter(F.size("f") < F.col("width")).first()) is not None:
+        raise ValueError(f"a sample of shard {bad['shard']} has fewer than {bad['width']} fields")
+    at = lambda c: F.get("f", F.col(c))
+    rest = F.when(F.col("header").isNotNull(), F.col("line")).otherwise(F.concat_ws("\t", *[F.get("f", F.lit(i)) for i in (2, 3, 4, 5)]))
+    out = rows.select(
+        F.col("shard").alias("source_shard"), (F.col("index") - F.when(F.col("header").isNotNull(), 1).otherwise(0)).cast("int").alias("local_idx"), F.coalesce(at("fid_at"), F.lit("0")).alias("fid"), at("iid_at").alias("iid"),
+        F.coalesce(norm_sex(at("sex_at")), F.lit(0)).alias("sex"), rest.alias("rest"), "header",
+    )
+    out = materialize(out)
+    have = {r[0] for r in out.select("source_shard").distinct().collect()}
+    if lost := [t for t, _ in shards if t not in have]:
+        raise ValueError(f"shard {lost[0]} has no samples")
+    return check_samples(out, mode)
 
 
 def under_headers(rows: DataFrame, head: Column, fields: dict[str, Column], block: int = 4096) -> DataFrame:

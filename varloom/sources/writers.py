@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.genotypes import encode
 from varloom.model import QC_COLUMNS, VariantObject
+from varloom.operators.genotypes import fam_line
 from varloom.sources.readers import MAGIC, file_system
 
 
@@ -58,8 +59,7 @@ def write_bfile(variants: DataFrame, genotypes: DataFrame, samples: DataFrame, p
     bim = variants.orderBy("ord").select("chrom", "id", F.lit("0").alias("cm"), "pos", "a1", "a2")
     _text(bim, f"{path}.bim")
     write_bed(genotypes, f"{path}.bed")
-    fam = samples.orderBy("out_idx").select("fid", "iid", F.lit("0").alias("father"), F.lit("0").alias("mother"), "sex", F.lit("-9").alias("pheno"))
-    _text(fam, f"{path}.fam")
+    samples.orderBy("out_idx").select(fam_line(samples)).write.mode("overwrite").text(f"{path}.fam")
     if not ploidy.filter("male <> 2 or female <> 2").isEmpty():
         _text(ploidy.orderBy("ord").select("male", "female"), f"{path}.ploidy")
 
@@ -68,7 +68,18 @@ def write_genotype_arrays(variants: DataFrame, genotypes: DataFrame, samples: Da
     """Arrays as Parquet; PVAR (REF is a2, ALT is a1) and PSAM as text."""
     genotypes.orderBy("ord").write.mode("overwrite").parquet(f"{path}.arrays.parquet")
     _text(variants.orderBy("ord").select(F.col("chrom").alias("#CHROM"), F.col("pos").alias("POS"), F.col("id").alias("ID"), F.col("a2").alias("REF"), F.col("a1").alias("ALT")), f"{path}.pvar", header=True)
-    _text(samples.orderBy("out_idx").select(F.col("fid").alias("#FID"), F.col("iid").alias("IID"), F.col("sex").alias("SEX")), f"{path}.psam", header=True)
+    write_psam(samples, f"{path}.psam")
+
+
+def write_psam(samples: DataFrame, path: str) -> None:
+    """A PSAM file with the whole lines of the samples' source under its header, else with FID, IID and SEX (left out where nobody's is known)."""
+    rows = samples.orderBy("out_idx")
+    if "header" in samples.columns and (head := samples.agg(F.min("header")).first()[0]) is not None:
+        rows.select(F.col("rest").alias(head)).coalesce(1).write.mode("overwrite").options(header=True, quote="", sep="\x01").csv(path)  # a cohort's lines
+        return
+    known = samples.filter("sex in (1, 2)").limit(1).count() > 0
+    named = [F.col("fid").alias("#FID"), F.col("iid").alias("IID"), *([F.col("sex").alias("SEX")] if known else [])]
+    _text(rows.select(*named), path, header=True)
 
 
 def write_by_contig(df: DataFrame, path: str) -> None:
