@@ -14,7 +14,7 @@ from varloom.functions.genotypes import decode
 from varloom.functions.contigs import NAMINGS, canonical, canonical_any, normalize_label, rank, render
 from varloom.functions.ploidy import PAR, join_ploidy, ploidy_pair, splitx_label
 from varloom.jobs import derived as D
-from varloom.jobs.workflows import prepare_variants, project_payload
+from varloom.jobs.workflows import prepare_sharded_files, prepare_variants, project_payload
 from varloom.model import VariantObject, duplicate_targets
 from varloom.operators import genotypes as G
 from varloom.operators import reference as R
@@ -674,6 +674,46 @@ def apply_to_genotype_arrays(spark, sf_dir):
     return out.select("ord", F.array_join(F.transform("dosage", lambda d: d.cast("int").cast("string")), ",").alias("dosage"), F.array_join(F.zip_with(first, second, lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))), ",").alias("alleles"))
 
 
+#: Rows of three kinds by their source: with phased heterozygotes (samples of an even place), with dosages of their own, with hard calls. Of the
+#: heterozygotes every fifth sample has only its second allele.
+CHANNELS = f"""SELECT x.*, m.allele_op, x.source_index % 3 AS kind, 24 - i AS local, CASE WHEN {SWAPPED} AND code IN (0, 3) THEN 3 - code ELSE code END AS was, code = 2 AND i <= 24 AND (24 - i) % 5 = 0 AS half FROM ({CELLS}) x JOIN ({MATCH}) m ON m.ord = x.ord"""
+DOSE = "CASE WHEN code = 1 THEN -9e0 WHEN kind = 1 THEN CASE WHEN {0} THEN 2 - CASE was WHEN 0 THEN 1.75e0 WHEN 2 THEN 0.75e0 ELSE 0.25e0 END ELSE CASE was WHEN 0 THEN 1.75e0 WHEN 2 THEN 0.75e0 ELSE 0.25e0 END END ELSE CASE code WHEN 0 THEN 2e0 WHEN 2 THEN 1e0 ELSE 0e0 END END".format(SWAPPED.replace("m.", ""))
+
+
+def _channels(spark, sf_dir):
+    geno, samples, axis = genotypes(spark, sf_dir)
+    kind, i = F.col("source_index") % 3, F.sequence(F.lit(0), F.lit(24))
+    pair = lambda g, at: F.when(g == 0, F.array(F.lit(1), F.lit(1))).when((g == 2) & (at % 5 == 0), F.array(F.lit(-9), F.lit(1))).when(g == 2, F.array(F.lit(0), F.lit(1))).when(g == 3, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(-9), F.lit(-9)))
+    own = lambda g: F.when(g == 0, 1.75).when(g == 2, 0.75).when(g == 3, 0.25).otherwise(-9.0)
+    hard = lambda g: F.when(g == 0, 2.0).when(g == 2, 1.0).when(g == 3, 0.0).otherwise(-9.0)
+    arrays = geno.select(
+        "source_shard", "source_index", F.lit(2).alias("allele_ct"), F.flatten(F.zip_with("geno", i, pair)).alias("alleles"),
+        F.zip_with("geno", i, lambda g, at: (kind == 0) & (g == 2) & (at % 2 == 0)).alias("phase"),
+        F.transform("geno", lambda g: F.when(kind == 1, own(g)).otherwise(hard(g)).cast("float")).alias("dosage"),
+    )
+    vmap = V.match_to_target(source(spark, sf_dir), target(spark, sf_dir))
+    return G.apply_to_genotype_arrays(vmap, arrays, samples, target_samples=axis)
+
+
+@query(f"""SELECT ord, CASE WHEN min(source_index) = -1 THEN NULL WHEN min(kind) = 1 THEN 'dosage' WHEN min(kind) = 0 AND bool_or(was = 2 AND i <= 24 AND local % 2 = 0) THEN 'phase' ELSE 'hardcall' END AS channel,
+string_agg(CASE WHEN i <= 24 AND source_index <> -1 AND kind = 0 AND was = 2 AND local % 2 = 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS phases, CAST(sum({DOSE}) AS DOUBLE) AS dosages, CAST(sum(i * ({DOSE})) AS DOUBLE) AS placed FROM ({CHANNELS}) c GROUP BY ord""")
+def genotype_channels(spark, sf_dir):
+    """Phases and dosages on another axis, turned where alleles are swapped; what each row holds beyond hard calls."""
+    out = _channels(spark, sf_dir).genotypes
+    dose = F.transform("dosage", lambda d: d.cast("double"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    return out.select("ord", "channel", F.array_join(F.transform("phase", lambda x: x.cast("int").cast("string")), "").alias("phases"), add(dose).alias("dosages"), add(F.transform(dose, lambda d, i: d * i)).alias("placed"))
+
+
+@query(f"""WITH p AS (SELECT *, {_pair('male')} AS male, {_pair('female')} AS female FROM ({CHANNELS}) c),
+n AS (SELECT ord, source_shard, source_index, id, count(*) FILTER (({PLOIDY_OF}) = 1 AND code = 2 AND NOT half) AS het, count(*) FILTER (half) AS malformed, count(*) FILTER (({PLOIDY_OF}) = 0 AND code <> 1) AS absent
+FROM p WHERE male <> 2 OR female <> 2 GROUP BY ord, source_shard, source_index, id)
+SELECT * FROM (SELECT source_shard, source_index, id, 'haploid_het_incompatible' AS status, het AS n_affected FROM n UNION ALL SELECT source_shard, source_index, id, 'malformed_partial', malformed FROM n
+UNION ALL SELECT source_shard, source_index, id, 'absent_hardcall', absent FROM n UNION ALL SELECT source_shard, source_index, id, 'absent_dosage', absent FROM n) u WHERE n_affected > 0""")
+def array_ploidy_issues(spark, sf_dir):
+    return _channels(spark, sf_dir).qc
+
+
 @query(f"""SELECT row_number() OVER (ORDER BY source_shard, local_idx) - 1 AS out_idx, fid, iid, CASE WHEN sex IN (1, 2) THEN sex ELSE 0 END AS sex FROM ({D.SAMPLES}) s""")
 def union_axis(spark, sf_dir):
     return G.union_axis(D.view(spark, sf_dir, D.SAMPLES))
@@ -735,6 +775,33 @@ def genotype_array_file(spark, sf_dir):
     return got.select("source_index", F.array_join(F.transform("alleles", lambda g: g.cast("string")), "").alias("codes"))
 
 
+@query(f"""SELECT chr, bp, snp, concat(ea, ',', oa) AS ea, concat('say "', oa, '" # no comment') AS oa, beta_milli, se_milli, p, eaf, n, dir FROM ({D.SUMSTATS}) x""")
+def sumstats_csv_file(spark, sf_dir):
+    """Comma-separated cells with quotes, delimiters and signs of comments inside."""
+    path = _file(spark)
+    df = sumstats(spark, sf_dir).withColumns({"ea": F.concat_ws(",", "ea", "oa"), "oa": F.concat(F.lit('say "'), "oa", F.lit('" # no comment'))})
+    cells = F.transform(F.array(*[c for c in df.columns if c != "source_index"]), lambda x: F.when(x.rlike('[,"]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x))
+    head = spark.createDataFrame([(-1, ",".join(c for c in df.columns if c != "source_index"))], "source_index long, line string")
+    lines = head.union(df.select("source_index", F.concat(F.array_join(cells, ","), F.lit("# a comment"))))
+    lines.orderBy("source_index").select("line").write.text(path)
+    return readers.read_sumstats(spark, path).select(*[c for c in df.columns if c != "source_index"])
+
+
+@query(f"SELECT ord, {base('chrom', 'pos')} AS ref FROM ({D.TARGET}) t WHERE chrom IN ('1', '2', 'X', 'Y', 'MT')")
+def fasta_file(spark, sf_dir):
+    """A FASTA file with whole contigs on one line each and others on many, read by ranges of bytes."""
+    path = f"{_file(spark)}.fa"
+    t = target(spark, sf_dir).df.filter("chrom in ('1', '2', 'X', 'Y', 'MT')")
+    number = F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(["1", "2", "X", "Y", "MT"]) for x in (c, (0, 1, 22, 23, 24)[i])]), F.col("chrom"))
+    base_at = lambda p: F.substr(F.lit("acgT"), (1 + ((p * 7919 + F.col("ci") * 104729) % 97) % 4).cast("int"), F.lit(1))
+    sizes = t.groupBy("chrom").agg(F.max("pos").alias("n")).withColumn("ci", number)
+    seq = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), base_at), "")
+    text = sizes.select(F.concat(F.lit(">chr"), "chrom", F.lit(" of some length\n"), F.when(F.col("ci") < 23, seq).otherwise(F.regexp_replace(seq, "(.{61})", "$1\r\n"))).alias("text"))
+    plink.write_text(text, path)
+    blocks = readers.read_fasta(spark, path, step=50_000)
+    return R.with_base(t, F.col("chrom"), blocks).select("ord", "ref")
+
+
 #: Target rows with the record of a PLINK shard each, some with none. Shards 1 and 2 have the even and the odd rows; nothing refers to shard X.
 BFILE_ROWS = f"""SELECT chrom, pos, id, a1, a2, CASE WHEN ord % 7 = 0 THEN '.' WHEN ord % 2 = 0 THEN '2' ELSE '1' END AS source_shard, CASE WHEN ord % 7 = 0 THEN -1 ELSE place END AS source_index,
 CASE WHEN ord % 7 = 0 THEN 'missing' WHEN ord % 5 < 2 THEN 'swap' WHEN ord % 5 = 2 THEN 'flip' ELSE 'identity' END AS allele_op, ord, place
@@ -801,6 +868,29 @@ def prepare(spark, sf_dir):
     return rows(out)
 
 
+#: Contigs of an odd number have sites of one build, the others those of the other.
+ODD = CI.format(c="chrom") + " % 2 = 1"
+TWO_BUILDS = f"""SELECT chrom, pos, id, CASE WHEN odd THEN a1 ELSE substr('ACGT', CAST(1 + (r + 1 + ord % 3) % 4 AS INT), 1) END AS a1, CASE WHEN odd THEN a2 ELSE substr('ACGT', CAST(1 + r AS INT), 1) END AS a2, ord
+FROM (SELECT *, {ODD} AS odd, ((pos * 7919 + ({CI.format(c='chrom')}) * 104729 + 31) % 97) % 4 AS r FROM ({D.TARGET}) t6) t7"""
+
+
+@query(f"""WITH l AS (SELECT tgt AS chrom, tpos AS pos, id, CASE WHEN ref = x2 THEN x1 ELSE x2 END AS a1, ref AS a2, chrom AS source_shard, ord, (CASE WHEN strand = '-' THEN 2 ELSE 0 END) + (CASE WHEN ref = x2 THEN 0 ELSE 1 END) AS code FROM ({STATUS38}) s WHERE status = 'lifted' AND tgt = chrom AND {ODD}),
+k AS (SELECT *, count(*) OVER (PARTITION BY chrom, pos, a1, a2) AS n FROM l),
+p AS (SELECT ord, chrom, row_number() OVER (PARTITION BY chrom ORDER BY ord) - 1 AS place FROM ({D.TARGET}) t0),
+u AS (SELECT chrom, pos, id, a1, a2, source_shard, ord, {composed("'identity'", 'code')} AS allele_op FROM k WHERE n = 1 UNION ALL SELECT chrom, pos, id, a1, a2, chrom, ord, 'identity' FROM ({TWO_BUILDS}) b WHERE NOT ({ODD}))
+SELECT u.chrom, pos, id, a1, a2, source_shard, p.place AS source_index, allele_op, row_number() OVER (ORDER BY {RANK.replace('chrom', 'u.chrom')}, pos, a1, a2) - 1 AS ord FROM u JOIN p ON p.ord = u.ord""")
+def prepare_sharded(spark, sf_dir):
+    """A BIM file for each contig, half of the contigs in another build: builds told for each, those of the other build lifted."""
+    t = materialize(D.view(spark, sf_dir, TWO_BUILDS))
+    folder = _file(spark)
+    line = F.concat_ws(" ", "chrom", "id", F.lit("0"), F.col("pos").cast("string"), "a1", "a2")
+    t.select("chrom", "ord", line.alias("line")).repartition("chrom").sortWithinPartitions("chrom", "ord").select("chrom", "line").write.partitionBy("chrom").text(folder)
+    chain = D.chain(spark)
+    there = R.block_hits(t.select("chrom", "pos"), F.col("chrom"), chain).select(F.col("tgt_contig").alias("chrom"), R.lifted_pos().alias("pos"))
+    blocks = {"GRCh37": D.genome(t), "GRCh38": D.genome(there.union(t.select("chrom", "pos")), shift=31)}
+    return rows(prepare_sharded_files(spark, f"{folder}/chrom=@", "bim", blocks, {("GRCh37", "GRCh38"): chain}, norm_indels=False)[0])
+
+
 @query(ORACLE_SQL["apply_clean_sumstats"].replace("{", "{{").replace("}", "}}"))
 def project(spark, sf_dir):
     """The flagship: match a study to a target and turn its effects."""

@@ -7,10 +7,12 @@ block) and never sent whole to a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions.alleles import compose_op, is_acgt, op_name, revcomp
+from varloom.functions.alleles import KEY, compose_op, is_acgt, op_name, revcomp
 from varloom.functions.contigs import canonical, render
 from varloom.functions.ploidy import ploidy_pair
 from varloom.model import PROVENANCE, VariantObject, check_naming, require_naming, status_qc
@@ -85,13 +87,55 @@ def guess_build(vo: VariantObject, blocks: dict[str, DataFrame], sample: int = 1
         )
         per = part if per is None else per.union(part)
     got = {r.build: (r.considered, r.compatible) for r in per.collect()}
+    guess, confidence, rate = decide_build(got)
+    evidence = spark.createDataFrame([(b, *got[b], rate[b], guess, confidence) for b in got], "build string, considered long, compatible long, rate double, guess string, confidence string")
+    return (vo.with_df(vo.df, genome_build=guess) if force or vo.genome_build == "unknown" else vo), evidence
+
+
+def decide_build(got: dict[str, tuple[int, int]]) -> tuple[str, str, dict[str, float]]:
+    """(build or unknown, confidence, rates) from (considered, compatible) of each build."""
     rate = {b: (k / n if n else 0.0) for b, (n, k) in got.items()}
     order = sorted(rate, key=lambda b: -rate[b])
     lead = rate[order[0]] - (rate[order[1]] if len(order) > 1 else 0.0)
-    sure = rate[order[0]] >= 0.6 and lead >= 0.1
-    guess, confidence = (order[0], "high" if rate[order[0]] >= 0.85 else "medium") if sure else ("unknown", "low")
-    evidence = spark.createDataFrame([(b, *got[b], rate[b], guess, confidence) for b in got], "build string, considered long, compatible long, rate double, guess string, confidence string")
-    return (vo.with_df(vo.df, genome_build=guess) if force or vo.genome_build == "unknown" else vo), evidence
+    if rate[order[0]] < 0.6 or lead < 0.1:
+        return "unknown", "low", rate
+    return order[0], "high" if rate[order[0]] >= 0.85 else "medium", rate
+
+
+def guess_builds(vo: VariantObject, group: Column, blocks: dict[str, DataFrame], sample: int = 10_000) -> tuple[dict[str, str], DataFrame]:
+    """({group: build}, a row of evidence for each group and build): ``guess_build`` for every group of rows in one pass.
+
+    Rows of a null group are left out. A group's sample are its rows with the smallest digests: a bound on the digest, from
+    the group's size, leaves little more than the sample to be ranked.
+    """
+    spark = vo.df.sparkSession
+    rows = vo.df.select("chrom", "pos", "id", "a1", "a2", "ord", group.alias("group")).filter("group is not null")
+    digest = F.md5(F.concat_ws(":", F.lit("1"), F.col("ord").cast("string"), *[F.col(k).cast("string") for k in KEY]))
+    size = rows.groupBy("group").agg(F.count("*").alias("size"))
+    near, slack = None, 1.0
+    while near is None or near.groupBy("group", "size").count().filter(F.col("count") < F.least(F.col("size"), F.lit(sample))).count():
+        share = F.least(F.lit(1.0), F.lit(slack * (sample + 8 * sample**0.5 + 64)) / F.col("size"))
+        place = F.conv(F.substr("digest", F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(16.0**12)
+        near = materialize(rows.withColumn("digest", digest).join(F.broadcast(size), "group").filter(place <= share))  # a row for each group
+        slack *= 4
+    first = Window.partitionBy("group").orderBy("digest", "ord")
+    picked = materialize(near.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= sample).select("group", "pos", "a1", "a2", canonical(F.col("chrom"), require_naming(vo)).alias("contig"), F.floor((F.col("pos") - 1) / BLOCK).alias("block")))
+    keys = F.broadcast(picked.select("contig", "block").distinct())  # no more than the samples have
+    every = None
+    for build, ref in blocks.items():
+        part = ref.select("contig", "block", "seq").join(keys, ["contig", "block"], "left_semi").withColumn("build", F.lit(build))
+        every = part if every is None else every.union(part)
+    seen = picked.withColumn("build", F.explode(F.array(*[F.lit(b) for b in blocks]))).join(every, ["build", "contig", "block"])
+    base = F.upper(F.substring("seq", ((F.col("pos") - 1) % BLOCK + 1).cast("int"), 1))
+    known = base.isin("A", "C", "G", "T")
+    per = seen.groupBy("group", "build").agg(F.count_if(known).alias("considered"), F.count_if(known & ((base == F.col("a1")) | (base == F.col("a2")))).alias("compatible"))
+    found: dict[str, dict[str, tuple[int, int]]] = {r[0]: dict.fromkeys(blocks, (0, 0)) for r in size.select("group").collect()}
+    for r in per.collect():  # a row for each group and build
+        found[r.group][r.build] = (r.considered, r.compatible)
+    decided = {g: decide_build(got) for g, got in found.items()}
+    listed = [(g, b, *got[b], decided[g][2][b], decided[g][0], decided[g][1]) for g, got in found.items() for b in got]
+    evidence = spark.createDataFrame(listed, "group string, build string, considered long, compatible long, rate double, guess string, confidence string")
+    return {g: d[0] for g, d in decided.items()}, evidence
 
 
 def same_from_start(x: Column, y: Column) -> Column:
@@ -276,12 +320,14 @@ def lift_alleles(hits: DataFrame, contig: Column, chain: DataFrame, target_block
     return good.select("ord", "at", "ref", "alt", "swapped", "status").unionByName(lost, allowMissingColumns=True)
 
 
-def liftover_build(vo: VariantObject, target_build: str, source_blocks: DataFrame, target_blocks: DataFrame, chain: DataFrame) -> tuple[VariantObject, DataFrame]:
+def liftover_build(vo: VariantObject, target_build: str, source_blocks: DataFrame, target_blocks: DataFrame, chain: DataFrame, keep: Callable[[Column, Column], Column] | None = None, sort: bool = True) -> tuple[VariantObject, DataFrame]:
     """(object in the target build, sorted, a2 the reference allele; a QC row for every input row).
 
     SNVs and alleles of other lengths, one of which is the base that the source has at the position, are lifted (the latter
     as ``lift_alleles`` says, left-aligned in the target). Rows of which neither allele is that base, or whose
     ends the chain parts otherwise than the alleles differ, are ``unsupported_non_snv``. A target that has neither allele is ``unsupported_swap``.
+    ``keep`` tells from the source's and the target's contig whether a row stays (else ``outside_groups``). Without ``sort``
+    the rows keep their ``ord``.
     """
     if "unknown" in (vo.genome_build, target_build) or vo.genome_build == target_build:
         raise ValueError(f"cannot lift from {vo.genome_build} to {target_build}")
@@ -317,6 +363,7 @@ def liftover_build(vo: VariantObject, target_build: str, source_blocks: DataFram
     status = (
         F.when(F.col("__why") == "unsupported_non_snv", F.col("__why"))
         .when(F.col("__label").isNull(), "unsupported_target_contig")
+        .when(~keep(contig, F.col("tgt_contig")) if keep else F.lit(False), "outside_groups")
         .when(F.col("pos").isNotNull() & ~before.eqNullSafe(after), "ploidy_class_changed")
         .otherwise(F.coalesce("__why", F.lit("lifted")))
     )
@@ -331,7 +378,7 @@ def liftover_build(vo: VariantObject, target_build: str, source_blocks: DataFram
     qc = vo.df.join(said, "ord", "left").join(collided, "ord", "left")
     qc = status_qc(vo, qc, F.coalesce("late", "status", F.lit("unmapped")))
     out = vo.with_df(n.filter("__n = 1").drop("__n"), genome_build=target_build)
-    return sort_variants(out), qc
+    return (sort_variants(out) if sort else out), qc
 
 
 def first_rows(vo: VariantObject) -> VariantObject:

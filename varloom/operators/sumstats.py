@@ -6,7 +6,7 @@ import re
 import warnings
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from varloom.functions import stats
@@ -235,21 +235,28 @@ def harmonize_sumstats(df: DataFrame, meta: dict, fill_mode: str = "column", use
 
 
 def attach_payload(vmap: VariantObject, payload: DataFrame) -> DataFrame:
-    """Every row of a vmap with the payload row it names (null without a source).
+    """Every row of a vmap with the payload row it names (null without a source), as a table.
 
-    Rows without a source all have one key and stay out of the join. A source
-    that the payload lacks is an error.
+    Rows without a source have keys of their own that no payload row has, so they are spread
+    over the join. A source that the payload lacks is an error: the join's one
+    pass observes it.
     """
     c = F.col
-    mapped = vmap.df.filter("source_index <> -1")
-    if (shard := mapped.filter("source_shard <> '.'").select("source_shard").first()) is not None:
-        raise ValueError(f"summary statistics have no shard {shard[0]!r}")
-    gone = mapped.select("source_index").distinct().join(payload.select("source_index"), "source_index", "left_anti").orderBy("source_index").first()
-    if gone is not None:
-        raise ValueError(f"source row {gone[0]} is out of range")
-    right = payload.select(*[c(f"`{x}`").alias(f"p__{x}") if x != "source_index" else c("source_index").alias("__i") for x in payload.columns])
-    joined = mapped.join(right, mapped.source_index == right["__i"]).drop("__i")
-    return joined.unionByName(vmap.df.filter("source_index = -1"), allowMissingColumns=True)
+    mapped = c("source_index") != -1
+    left = vmap.df.withColumn("__key", F.when(mapped, c("source_index")).otherwise(-1 - F.abs(F.xxhash64("ord") % F.lit(1 << 62))))
+    right = payload.select(*[c(f"`{x}`").alias(f"p__{x}") if x != "source_index" else c("source_index").alias("__key") for x in payload.columns], F.lit(True).alias("__there"))
+    seen = Observation()
+    joined = left.join(right, "__key", "left").observe(
+        seen,
+        F.min(F.when(mapped & (c("source_shard") != "."), c("source_shard"))).alias("shard"),
+        F.min(F.when(mapped & c("__there").isNull(), c("source_index"))).alias("gone"),
+    )
+    out = materialize(joined.drop("__key", "__there"))
+    if (shard := seen.get.get("shard")) is not None:
+        raise ValueError(f"summary statistics have no shard {shard!r}")
+    if (gone := seen.get.get("gone")) is not None:
+        raise ValueError(f"source row {gone} is out of range")
+    return out
 
 
 def _inverse(x: Column) -> Column:
@@ -332,7 +339,7 @@ def apply_to_sumstats(
     """
     c = F.col
     ident = c("id") if retain_id else variant_id(c("chrom"), c("pos"), c("a1"), c("a2"))
-    vmap = vmap.with_df(materialize(vmap.df.select(*vmap.columns)))  # several jobs read it
+    vmap = vmap.with_df(vmap.df.select(*vmap.columns))
     if only_mapped:
         vmap = vmap.with_df(vmap.df.filter("source_index <> -1"))
     variant = {"CHR": c("chrom"), "POS": c("pos"), "SNP": ident, "EffectAllele": c("a1"), "OtherAllele": c("a2")}
@@ -340,7 +347,7 @@ def apply_to_sumstats(
         names = resolve([x for x in sumstats.columns if x != "source_index"], meta, VARIANT_COLUMNS, loose=True)
         if lacks := [k for k in ("CHR", "POS", "EffectAllele", "OtherAllele") if k not in names]:
             raise ValueError(f"metadata must name the columns {lacks}")
-        joined = materialize(attach_payload(vmap, sumstats))
+        joined = attach_payload(vmap, sumstats)
         inner = joined.select("ord", *[c(f"`p__{x}`").alias(x) for x in sumstats.columns if x != "source_index"], *[c(x).alias(f"v__{x}") for x in (*variant_source(), "source_index", "allele_op")])
         made = harmonize_sumstats(inner, meta, fill_mode, use_af_inference)
         payload = [k for k in PAYLOAD if k in made.columns]

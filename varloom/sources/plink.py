@@ -428,3 +428,21 @@ def project_bfiles(
 def _by_group(axis: DataFrame, name: str) -> list[tuple[str, list[int]]]:
     listed_ = F.transform(F.array_sort(F.collect_list(F.struct("out_idx", "sex"))), lambda x: x["sex"])
     return [(r[0], r[1]) for r in axis.groupBy(name).agg(listed_.alias("sexes")).collect()]  # the cohort of each contig
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """The few lines of a table with a single string column as one file, by one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, name = file_system(path)
+        attempt = f"{name}._{uuid.uuid4().hex}"
+        n = 0
+        with system.open_output_stream(attempt) as f:
+            for frame in frames:
+                for line in frame.iloc[:, 0]:
+                    f.write(f"{line}\n".encode())
+                    n += 1
+        system.move(attempt, name)
+        yield pd.DataFrame({"n": [n]})
+
+    lines.coalesce(1).mapInPandas(run, "n long").agg(F.sum("n")).first()

@@ -6,10 +6,12 @@ lines are counted block by block, and the counts of earlier blocks added.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -151,10 +153,12 @@ def read_vcf(spark: SparkSession, path: str, genome_build: str = "unknown", cont
 
 
 def first_line(spark: SparkSession, path: str, keep: Column) -> str:
-    row = spark.read.text(path).select(F.col("value").alias("line")).filter(keep).first()
-    if row is None:
-        raise ValueError(f"{path} has no header")
-    return row.line
+    """The first line for which ``keep`` holds; of a folder's files the first by name that has one."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        row = spark.read.text(file).select(F.col("value").alias("line")).filter(keep).first()
+        if row is not None:
+            return row.line
+    raise ValueError(f"{path} has no header")
 
 
 def read_pvar(spark: SparkSession, path: str, genome_build: str = "unknown", contigs: str | None = None, shards: list[str] | None = None, max_allele_length: int = 150) -> tuple[VariantObject, DataFrame]:
@@ -170,25 +174,38 @@ def read_pvar(spark: SparkSession, path: str, genome_build: str = "unknown", con
     return parse_pvar(_in_order(numbered_shards(spark, each), [t for t, _ in found]), "#" + "\t".join(order), max_allele_length, contigs, genome_build)
 
 
+#: A line up to a comment; quoted cells may hold the sign.
+_COMMENT = r'^((?:[^"#]|"[^"]*")*+)#.*$'
+
+
 def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, and ``source_index``.
 
     Lines that are blank or begin with ``##`` or ``# `` are left out. The
     header is the first other line (one ``#`` before it goes if it names several columns); it also tells the
-    delimiter: tabs, else commas if there are any, else white space. A later ``#`` begins a comment.
+    delimiter: tabs, else commas if there are any, else white space. A later ``#`` begins a comment. Cells may
+    be quoted, with delimiters and doubled quotes inside, but not over several lines.
     """
     line = F.col("line")
     blank = (F.trim(line) == "") | line.startswith("##") | line.startswith("# ")
     several = F.size(F.split(F.trim(line), r"[\s,]+")) > 1
     header = first_line(spark, path, ~blank & (~line.startswith("#") | several))
     sep = "\t" if "\t" in header else "," if "," in header else None
-    cut = lambda s: [x.strip() for x in s.split(sep)] if sep else s.split()
-    names = cut(header.removeprefix("#"))
+    first = header.removeprefix("#")
+    names = [x.strip() for x in next(csv.reader([first], delimiter=sep))] if sep else [x.strip('"') for x in first.split()]
     body = numbered(spark, path, ~blank & (line != header) & ~line.startswith("#"))
-    body = body.withColumn("line", F.regexp_replace("line", "#.*$", ""))
-    f = F.split("line", sep) if sep else F.split(F.trim("line"), r"\s+")
-    cells = body.withColumn("f", f).select(*[F.trim(F.get("f", F.lit(i))).alias(n) for i, n in enumerate(names)], F.col("index").alias("source_index"))
-    return cells
+    body = body.withColumn("line", F.regexp_replace("line", _COMMENT, "$1")).withColumn("quoted", F.col("line").contains('"'))
+    if sep:
+        cells = F.split("line", sep)
+        # Only lines with a quote go through the CSV parser.
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        parsed = F.when(F.col("quoted"), F.from_csv(F.col("line"), F.lit(schema), {"sep": sep, "quote": '"', "escape": '"'}))
+        cell = lambda i: F.when(F.col("quoted"), F.coalesce(F.col(f"parsed.c{i}"), F.lit(""))).otherwise(F.get("f", F.lit(i)))
+        body = body.withColumn("parsed", parsed)
+    else:
+        cells = F.when(F.col("quoted"), F.transform(F.expr("regexp_extract_all(line, r'(?:\"[^\"]*\"|[^\\s\"])+', 0)"), lambda x: F.regexp_replace(x, '"', ""))).otherwise(F.split(F.trim("line"), r"\s+"))
+        cell = lambda i: F.get("f", F.lit(i))
+    return body.withColumn("f", cells).select(*[F.trim(cell(i)).alias(n) for i, n in enumerate(names)], F.col("index").alias("source_index"))
 
 
 def read_vtable(spark: SparkSession, path: str, genome_build: str = "unknown", contig_naming: str | None = None, check: bool = True) -> VariantObject:
@@ -268,9 +285,94 @@ def under_headers(rows: DataFrame, head: Column, fields: dict[str, Column], bloc
     return found.select(*rows.columns, *[F.col(f"__head.{k}").alias(k) for k in ("start", *fields)])
 
 
-def read_fasta(spark: SparkSession, path: str, size: int = 256) -> DataFrame:
+#: Bytes of a FASTA file that a task reads at once, and the longest header.
+FASTA_RANGE, FASTA_HEADER = 1 << 24, 1 << 16
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+_BASE = np.ones(256, dtype=bool)
+_BASE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def _fasta_stretches(path: str, first: int, size: int, end: int) -> list[tuple[int, str | None, np.ndarray]]:
+    """(place of the header, its name, bases) of each stretch of a sequence in ``size`` bytes from ``first`` on; place -1 and no name for the one that goes on from before."""
+    with open_input(path) as f:
+        low = max(0, first - FASTA_HEADER)
+        f.seek(low)
+        data = np.frombuffer(f.read(min(end, first + size + FASTA_HEADER) - low), np.uint8)
+    lines = np.flatnonzero(data == 10) + 1
+    begins = np.concatenate(([0], lines)) if low == 0 else lines
+    begins = begins[begins < len(data)]
+    heads = begins[data[begins] == 62]
+    ends = np.append(lines, len(data))[np.searchsorted(lines, heads + 1)] if len(heads) else heads
+    at, stop = first - low, min(first - low + size, len(data))
+    base = _BASE[data]
+    for a, b in zip(heads, ends, strict=True):
+        if b == len(data) and low + b < end:
+            raise ValueError(f"{path}: a header of over {FASTA_HEADER} bytes")
+        base[a:b] = False
+    here = [(int(a), int(b)) for a, b in zip(heads, ends, strict=True) if at <= a < stop]
+    bounds = [at, *[a for a, _ in here], stop]
+    out = []
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        text = data[here[i - 1][0] + 1 : here[i - 1][1]].tobytes().decode(errors="replace").split() if i else []
+        out.append((low + a if i else -1, (text or [""])[0] if i else None, _UPPER[data[a:b][base[a:b]]]))
+    return out
+
+
+def read_fasta(spark: SparkSession, path: str, size: int = 256, step: int = FASTA_RANGE) -> DataFrame:
     """(contig, block, seq): upper-case blocks of a FASTA file, contigs by their canonical name where they have one.
 
+    The file is read by ranges of ``step`` bytes, so it does not matter how long its lines are: the first pass counts the
+    bases of each sequence in each range, the second one knows where these stand and cuts
+    blocks. Only blocks that reach over two ranges are put together by a shuffle.
+    """
+    from varloom.functions.contigs import normalize_label
+
+    if path.endswith((".gz", ".bz2")):
+        return read_fasta_lines(spark, path, size)
+    system, name = file_system(path)
+    end = system.get_file_info(name).size or 0
+    ranges = spark.range(0, max(end, 1), step).repartition(max(1, min(-(-end // step), 8 * spark.sparkContext.defaultParallelism)), "id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                found = _fasta_stretches(path, first, step, end)
+                cols = [[first] * len(found), range(len(found)), [x[0] for x in found], [x[1] for x in found], [len(x[2]) for x in found]]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["range", "nth", "head", "name", "bases"])
+
+    counted = materialize(ranges.mapInArrow(count, "range long, nth int, head long, name string, bases long"))
+    # The sequence that goes on into a range is that of the last header before it: a row for each range.
+    last = counted.groupBy("range").agg(F.max(F.when(F.col("head") >= 0, F.struct("head", "name"))).alias("last"))
+    before = last.select("range", F.last("last", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    named = counted.join(F.broadcast(before), "range").select("range", "nth", "bases", F.when(F.col("nth") > 0, F.struct("head", "name")).otherwise(F.col("before")).alias("seq")).filter("seq is not null")
+    upto = Window.partitionBy("seq.head").orderBy("range", "nth").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a sequence
+    placed = named.withColumn("at", F.coalesce(F.sum("bases").over(upto), F.lit(0)))
+    work = placed.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("seq.name").alias("name"), "at"))).alias("stretches"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stretches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _fasta_stretches(path, first, step, end)
+                for x in stretches:
+                    bases, at = found[x["nth"]][2], int(x["at"])
+                    edges = np.unique(np.concatenate(([at], np.arange(-(-at // size) * size, at + len(bases), size), [at + len(bases)])))
+                    text = bases.tobytes().decode()
+                    low, high = edges[:-1], edges[1:]
+                    piece = [text[a - at : b - at] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                    cols = [pa.array([x["name"]] * len(low), pa.string()), pa.array(low // size), pa.array(low), pa.array(piece, pa.string()), pa.array(high - low == size)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["name", "block", "low", "piece", "whole"])
+
+    pieces = materialize(work.select("range", "stretches").repartition("range").mapInArrow(cut, "name string, block long, low long, piece string, whole boolean"))
+    joined = pieces.filter("not whole").groupBy("name", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    every = pieces.filter("whole").select("name", "block", F.col("piece").alias("seq")).union(joined.select("name", "block", "seq"))
+    return every.filter("seq <> ''").select(F.coalesce(normalize_label(F.col("name")), F.col("name")).alias("contig"), "block", "seq")
+
+
+def read_fasta_lines(spark: SparkSession, path: str, size: int = 256) -> DataFrame:
+    """``read_fasta`` by lines, for what only Spark can open, such as compressed files; a line is read whole.
+
     Each line is placed by the lengths of the lines before it in its
     sequence, cut at block boundaries, and pieces of a block are put together.
     """

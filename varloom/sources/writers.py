@@ -73,13 +73,13 @@ def write_genotype_arrays(variants: DataFrame, genotypes: DataFrame, samples: Da
 
 def write_psam(samples: DataFrame, path: str) -> None:
     """A PSAM file with the whole lines of the samples' source under its header, else with FID, IID and SEX (left out where nobody's is known)."""
-    rows = samples.orderBy("out_idx")
     if "header" in samples.columns and (head := samples.agg(F.min("header")).first()[0]) is not None:
-        rows.select(F.col("rest").alias(head)).coalesce(1).write.mode("overwrite").options(header=True, quote="", sep="\x01").csv(path)  # a cohort's lines
+        lines = samples.sparkSession.createDataFrame([(-1, head)], "out_idx int, rest string").union(samples.select("out_idx", "rest"))
+        lines.coalesce(1).sortWithinPartitions("out_idx").select("rest").write.mode("overwrite").text(path)  # a cohort's lines
         return
     known = samples.filter("sex in (1, 2)").limit(1).count() > 0
     named = [F.col("fid").alias("#FID"), F.col("iid").alias("IID"), *([F.col("sex").alias("SEX")] if known else [])]
-    _text(rows.select(*named), path, header=True)
+    _text(samples.orderBy("out_idx").select(*named), path, header=True)
 
 
 def write_by_contig(df: DataFrame, path: str) -> None:
