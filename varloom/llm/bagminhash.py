@@ -142,69 +142,116 @@ def differences(bag: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.nd
         return mix64(every[which] ^ side ^ (copy.astype(U64) * _TURN)).view(np.int64)
 
 
+#: Members whose common shingles make a group's middle, and the most rounds in which a group loses the members around a middle.
+MIDDLE_OF, ROUNDS = 255, 6
+
+
 def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b): pairs of members of a (hub, rep) group that can be linked and of which one or both are not linked to the hub.
-
-    For bags x and y let D be the differences of each from the hub. x and y differ
-    in |Dx| + |Dy| - 2 |Dx & Dy| shingles, and are linked if these are no more
-    than q = (1 - threshold) / (1 + threshold) of both sizes. A member that is not linked to the hub has more
-    than q (n + n_hub) differences itself, so a link between it and z takes more than (|Dz| + q (n_hub - n_z)) / 2
-    differences in common; seen from it, a link to a member z of n_z <= n / threshold takes |D| - q (n + n_z).
-    Two sets with o in common meet in their first |D| - o + 1 elements in
-    any fixed order. Here those come first that a filter of elements seen twice does not
-    know, as a member has them to itself alone, then the rarest of the group. A member whose own elements
-    fill its prefixes meets nobody and sends nothing on.
+    """(a, b): pairs of members of a (hub, rep) group, among them a path between any two that are linked.
+
+    A group gets a middle: the shingles that most of some 255 of its members have. It is no document, and any bag would do.
+    Let D be a member's differences from it. Two bags x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles,
+    and are linked if these are no more than q = (1 - threshold) / (1 + threshold) of both sizes. With the slack
+    s = q n - |D| they are linked for sure if s_x + s_y >= 0, and else need -(s_x + s_y) / 2 differences in common. So every pair that is linked for sure
+    is linked with the member c of the largest slack, too: the members with s + s_c >= 0 are paired with c alone. A member x
+    that is left over is paired with those y that share one of its rarest differences: two sets with o in common meet in their
+    first |D| - o + 1 elements in any fixed order, and o is at least -(s_x + s_c) / 2 for x and (s_c - s_y) / 2 for y. First
+    come the differences that a filter of elements seen twice does not know, as a member has them to itself alone. The members left over
+    are a group again, with a middle of their own, so that families within a group don't meet in all pairs; the last round pairs all that is left
+    by shared differences.
     """
     q = (1 - threshold) / (1 + threshold)
+    pairs, left = None, materialize(groups.distinct())
+    for turn in range(ROUNDS):
+        last = turn == ROUNDS - 1
+        made = materialize(from_middle(left, texts, k))
+        best = materialize(made.groupBy("hub").agg(F.min_by(F.struct("rep", (q * F.col("n") - F.size("d")).alias("s")), F.struct(F.size("d") - q * F.col("n"), "rep")).alias("c")))
+        own = made.join(best, "hub").select("hub", "rep", "d", (q * F.col("n") - F.size("d")).alias("s"), F.col("c.s").alias("s_c"), F.col("c.rep").alias("c"))
+        own = materialize(own.withColumn("sure", F.col("s") + F.col("s_c") >= 1e-9))
+        found = own.filter("sure and rep <> c").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
+        found = found.union(meet(own, last))
+        pairs = found if pairs is None else pairs.union(found)
+        left = materialize(own.filter("not sure").select("hub", "rep"))
+        if last or left.isEmpty():
+            break
+    return pairs.distinct()
+
+
+def from_middle(groups: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(hub, rep, n, d): the bag size of every member of a (hub, rep) group and its differences from the group's middle."""
     id_type = dict(texts.dtypes)["id"]
+    sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("size")), "hub")
+    some = sized.filter(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / MIDDLE_OF)) == 0)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, at in chunks(batch.column(1)):
+                row, shingle, count, _ = bags(data, at, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1).take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(count)], names=["hub", "shingle", "count"])
+
+    told = some.join(texts.withColumnRenamed("id", "rep"), "rep").select("hub", "text").mapInArrow(shingles, f"hub {id_type}, shingle long, count long")
+    counted = told.groupBy("hub", "shingle", "count").agg(F.count("*").alias("times"))
+    # A shingle has the largest count that more than half of them reach.
+    above = F.sum("times").over(Window.partitionBy("hub", "shingle").orderBy(F.col("count").desc()))
+    reached = counted.withColumn("above", above).join(some.groupBy("hub").agg(F.count("*").alias("of")), "hub").filter(F.col("above") * 2 > F.col("of"))
+    most = reached.groupBy("hub", "shingle").agg(F.max("count").alias("count"))
+    middle = materialize(most.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("shingle", "count"))).alias("middle")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, tuple] = (b"", ())
         for batch in batches:
-            (x, x_at), (y, y_at) = text_buffer(batch.column(2)), text_buffer(batch.column(3))
-            for i in range(len(x_at) - 1):
-                text = y[y_at[i] : y_at[i + 1]].tobytes()
-                if not held[1] or held[0] != text:
-                    held = text, bags(y[y_at[i] : y_at[i + 1]], np.array([0, y_at[i + 1] - y_at[i]]), k)[1:3]
-                own = bags(x[x_at[i] : x_at[i + 1]], np.array([0, x_at[i + 1] - x_at[i]]), k)[1:3]
-                d = differences(own, held[1])
-                with np.errstate(over="ignore"):  # elements of other hubs are others
-                    d = mix64(d.view(U64) ^ mix64(held[1][0]).sum(dtype=U64)).view(np.int64)
-                row = pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([int(own[1].sum())]), pa.array([int(held[1][1].sum())]), pa.array([d], pa.list_(pa.int64()))], names=["hub", "rep", "n", "n_hub", "d"])
-                yield row
-
-    full = groups.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("own")), "rep").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("of_hub")), "hub")
-    made = materialize(full.select("hub", "rep", "own", "of_hub").mapInArrow(run, f"hub {id_type}, rep {id_type}, n long, n_hub long, d array<long>"))
-    bits = filter_bits(made.agg(F.sum(F.size("d"))).first()[0] or 0)
-    seen = texts.sparkSession.sparkContext.broadcast(twice_seen(made.select(F.col("d").alias("hs")), bits))
+            sizes, out = [], []
+            texts_, at = text_buffer(batch.column(2))
+            for i in range(len(batch)):
+                own = bags(texts_[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), k)[1:3]
+                held = batch.column(3)[i].values
+                if held is None:
+                    other = np.zeros(0, U64), np.zeros(0, np.int64)
+                else:
+                    x, c = (held.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+                    order = np.argsort(x.view(U64))
+                    other = x.view(U64)[order], c[order]
+                d = differences(own, other)
+                with np.errstate(over="ignore"):  # elements of other middles are others
+                    out.append(mix64(d.view(U64) ^ mix64(other[0]).sum(dtype=U64)).view(np.int64))
+                sizes.append(int(own[1].sum()))
+            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["hub", "rep", "n", "d"])
+
+    full = groups.join(texts.withColumnRenamed("id", "rep"), "rep").join(middle, "hub", "left").select("hub", "rep", "text", "middle")
+    return full.mapInArrow(run, f"hub {id_type}, rep {id_type}, n long, d array<long>")
+
+
+def meet(own: DataFrame, last: bool) -> DataFrame:
+    """(a, b): members that are not sure with the sure ones, and in the last round with each other, by a rare difference in common."""
+    kinds = dict(own.dtypes)
+    bits = filter_bits(own.agg(F.sum(F.size("d"))).first()[0] or 0)
+    seen = own.sparkSession.sparkContext.broadcast(twice_seen(own.select(F.col("d").alias("hs")), bits))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, n_hub = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            at = np.concatenate(([0], np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))))
-            e = batch.column(4).flatten().to_numpy(zero_copy_only=False)
-            size, row = np.diff(at), np.repeat(np.arange(len(n)), np.diff(at))
+            s, s_c = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+            sure = batch.column(5).to_numpy(zero_copy_only=False)
+            at = np.concatenate(([0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))))
+            e = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            size, row = np.diff(at), np.repeat(np.arange(len(s)), np.diff(at))
             maybe = holds(seen.value, positions(e, bits)) if len(e) else np.zeros(0, bool)
-            alone = size - np.bincount(row[maybe], minlength=len(n))
-            linked = size <= q * (n + n_hub) + 1e-9
-            short = size - np.floor((size + q * (n_hub - n)) / 2 - 1e-9)
-            long = size - np.maximum(1, np.ceil(size - q * (1 + 1 / threshold) * n - 1e-9)) + 1
-            long = np.where(linked, short, np.maximum(short, long))
+            alone = size - np.bincount(row[maybe], minlength=len(s))
+            common = np.where(sure, (s_c - s) / 2, -(s + s_c) / 2)
+            long = (size - np.maximum(1, np.ceil(common - 1e-6)) + 1).astype(np.int64)
             go = maybe & (alone < long)[row]
             to = pa.array(row[go])
-            cols = [batch.column(0).take(to), batch.column(1).take(to), *[pa.array(x[row[go]]) for x in (n, linked, alone.astype(np.int64), short.astype(np.int64), long.astype(np.int64))], pa.array(e[go])]
-            yield pa.RecordBatch.from_arrays(cols, names=["hub", "rep", "n", "linked", "alone", "short", "long", "e"])
+            cols = [batch.column(0).take(to), batch.column(1).take(to), *[pa.array(x[row[go]]) for x in (sure, alone.astype(np.int64), long)], pa.array(e[go])]
+            yield pa.RecordBatch.from_arrays(cols, names=["hub", "rep", "sure", "alone", "long", "e"])
 
-    each = materialize(made.mapInArrow(shared, f"hub {id_type}, rep {id_type}, n long, linked boolean, alone long, short long, long long, e long"))
-    common = each.groupBy("hub", "e").agg(F.count("*").alias("times")).filter("times > 1")
-    # Elements that turn out to be of one member alone come first, as those that were not sent.
+    flat = own.select("hub", "rep", "d", "s", "s_c", "sure").mapInArrow(shared, f"hub {kinds['hub']}, rep {kinds['rep']}, sure boolean, alone long, long long, e long")
+    each = materialize(flat)
+    # Only differences that a member left over has can bring a pair.
+    both = each.groupBy("hub", "e").agg(F.count("*").alias("times"), F.count_if(~F.col("sure")).alias("over")).filter("times > 1 and over > 0" if last else "times > over and over > 0")
     place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy(F.coalesce("times", F.lit(1)), "e")) + F.col("alone")
-    ranked = each.join(common, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long")
-    kept = materialize(ranked.select("hub", "rep", "n", "e", "linked", (F.col("rank") <= F.col("short")).alias("early")))
-    left = kept.filter("not linked")
-    right = kept.filter("early").select("hub", "e", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("linked").alias("y_linked"))
-    fits = F.least("n", "n_y") >= F.lit(threshold) * F.greatest("n", "n_y") - 1e-9
-    met = left.join(right, ["hub", "e"]).filter(fits & (F.col("rep") != F.col("y")) & (F.col("y_linked") | F.col("early")))
+    kept = materialize(each.join(both, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long").select("hub", "rep", "e", "sure"))
+    other = kept.select("hub", "e", F.col("rep").alias("y"), F.col("sure").alias("y_sure"))
+    met = kept.filter("not sure").join(other if last else other.filter("y_sure"), ["hub", "e"]).filter("rep <> y")
     return met.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
 
 
@@ -261,9 +308,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Of rows that share that id the one with the smallest text stays, then that with the smallest hash of all columns.
     """
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    keep = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__keep"))
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*hashed)))
-    first = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rank.alias("rank")).filter("rank = 1")
-    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(docs.filter(F.col(id_col).isNull()))
+    keep = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("keep"))
+    # A row travels as one column, so no name of its columns can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]).alias("hash"))
+    kept = packed.join(keep, F.col("id") == F.col("keep"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("text", "hash"))
+    first = kept.withColumn("rank", rank).filter("rank = 1")
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(docs.filter(F.col(f"`{id_col}`").isNull()))
