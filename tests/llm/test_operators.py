@@ -869,12 +869,36 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
         monkeypatch.setattr(decontam, "LEAST_BITS", bits)
         monkeypatch.setattr(decontam, "MAX_BITS", bits)
         assert {(r.doc_id, r.item_id, r.covered, r.tiles) for r in decontam.contaminated_pairs(df, bench).collect()} == want
+    # With seeds of two documents or more counted as common the result is the same.
+    monkeypatch.setattr(decontam, "COMMON", 1)
+    monkeypatch.setattr(decontam, "COMMON_SHARE", 1_000_000)
+    assert {(r.doc_id, r.item_id, r.covered, r.tiles) for r in decontam.contaminated_pairs(df, bench).collect()} == want
     clash = df.selectExpr("doc_id", "text", "1 as seeds", "2 as rid", "3 as `a.b`", "4 as `row`")
     kept = decontam.decontaminate(clash, bench)
     assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {x[0] for x in want}
     assert all(r.seeds == 1 and r["a.b"] == 3 for r in kept.collect())
 
 
+def test_a_common_seed_makes_no_pairs(spark, monkeypatch):
+    """Four words that all documents and all items have bring no document to an item."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(decontam, "COMMON", 50)
+    rows = [(i, "this is very common " + " ".join(f"d{i}x{k}" for k in range(20))) for i in range(300)]
+    items = [(j, "this is very common " + " ".join(f"i{j}x{k}" for k in range(int(rng.integers(8, 20))))) for j in range(90)]
+    rows.append((300, items[7][1]))
+    items.append((90, "this is very common"))  # an item of a common seed alone
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    made = decontam.Benchmark(bench, "item_id", "text", 4)
+    met: list[int] = []
+    real = decontam.tiles_udf
+    monkeypatch.setattr(decontam, "tiles_udf", lambda *a: met.append(1) or real(*a))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated_pairs(df, bench).collect()}
+    assert got == {(i, 90) for i in range(301)} | {(300, 7)} and met
+    rows_ = df.withColumn("seeds", decontam.seeds_udf(made.sent, 4)("text")).withColumn("rid", F.col("doc_id"))
+    plan = made.hits(rows_, 0.5)
+    assert plan.count() == 302
+
+
 def test_ascii_lower(spark):
     assert spark.range(1).select(lower_ascii(F.lit("ÀBÇx"))).first()[0] == "ÀbÇx"
 
