@@ -34,6 +34,10 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BITS_PER_SEED, LEAST_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 
 
+#: A seed is common if more documents than this have it, and more than one in COMMON_SHARE of all rows of seeds; parts that its rows are dealt over.
+COMMON, COMMON_SHARE, PARTS = 1000, 20_000, 32
+
+
 def windows(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, window hashes, row offsets into them, words of each row) of successive pieces of a column."""
     for first, data, at in chunks(texts):
@@ -57,6 +61,20 @@ def seed_table(items: DataFrame, k: int) -> DataFrame:
     return items.select("no", "text").mapInArrow(run, "h long, no long, n long, size long")
 
 
+def common_cover(items: DataFrame, common: np.ndarray, k: int) -> DataFrame:
+    """(no, cover): how many words of each (no, text) item lie in windows of ``common`` (sorted) hashes; items without one are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, h, h_at, size in windows(batch.column(1), k):
+                hit = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                cover = [int(covered_by(np.flatnonzero(hit[h_at[r] : h_at[r + 1]]), k, int(size[r])).sum()) for r in range(len(size))]
+                some = np.flatnonzero(cover)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + some)), pa.array(np.array(cover, np.int64)[some])], names=["no", "cover"])
+
+    return items.select("no", "text").mapInArrow(run, "no long, cover long")
+
+
 def seed_filter(seeds: DataFrame, count: int) -> np.ndarray:
     """A Bloom filter of the seeds, of ``MAX_BITS`` bits at most."""
     bits = LEAST_BITS
@@ -215,11 +233,36 @@ class Benchmark:
         self.sent = benchmark.sparkSession.sparkContext.broadcast(seed_filter(self.seeds, self.seeds.count()))
 
     def hits(self, rows: DataFrame, threshold: float) -> DataFrame:
-        """(rid, item_id, coverage, covered, tiles) of (rid, text, seeds) rows, for items covered to ``threshold`` or more."""
-        met = rows.select("rid", F.explode("seeds").alias("h")).join(self.seeds, "h")
-        # No more words than the windows in common have can be covered.
-        sums = met.groupBy("rid", "no").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
-        likely = sums.filter(F.col("n") * self.k >= F.lit(threshold) * F.col("size")).select("rid", "no", "size")
+        """(rid, item_id, coverage, covered, tiles) of (rid, text, seeds) rows, for items covered to ``threshold`` or more.
+
+        A seed that many documents and many items have would make a pair of each with each. Such seeds are common:
+        more than ``COMMON`` documents have them, and more than one in ``COMMON_SHARE`` of all rows of seeds. An item whose words in common seeds
+        are less than ``threshold`` of it can only be covered with the help of another seed, so it is joined
+        on its other seeds alone. The few items that consist of common seeds are joined on all of theirs, which are dealt over parts.
+        """
+        each = rows.select("rid", F.explode("seeds").alias("h"))
+        held = each.join(self.seeds.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("docs"))
+        held = materialize(held)
+        total = held.agg(F.sum("docs")).first()[0] or 0
+        # No more than COMMON_SHARE seeds can be above this bound.
+        found = held.filter(F.col("docs") > max(COMMON, total / COMMON_SHARE)).select("h").toArrow().column("h").to_numpy()
+        seeds = self.seeds.withColumn("cover", F.lit(0).cast("long"))
+        met = each.join(seeds, "h").select("rid", "no", "n", "size", "cover")
+        if len(found):
+            common = np.sort(found)
+            cover = materialize(common_cover(self.items, common, self.k))
+            seeds = self.seeds.join(cover, "no", "left").withColumn("cover", F.coalesce("cover", F.lit(0)).cast("long"))
+            whole = F.col("cover") >= F.lit(threshold) * F.col("size")
+            is_common = F.col("h").isin([int(x) for x in common])
+            # Of items that have a seed that is not common the rest need not be counted: it may be there.
+            met = each.filter(~is_common).join(seeds.filter(~is_common & ~whole), "h").select("rid", "no", "n", "size", "cover")
+            part = F.when(is_common, F.pmod(F.xxhash64("rid"), F.lit(PARTS))).otherwise(0).cast("int")
+            dealt = seeds.filter(whole).withColumn("part", F.explode(F.when(is_common, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+            more = each.withColumn("part", part).join(dealt, ["h", "part"])
+            met = met.union(more.select("rid", "no", "n", "size", F.lit(0).cast("long")))
+        # No more words than the windows in common have, and the words in common seeds, can be covered.
+        sums = met.groupBy("rid", "no").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("cover").alias("cover"))
+        likely = sums.filter(F.col("n") * self.k + F.col("cover") >= F.lit(threshold) * F.col("size")).select("rid", "no", "size")
         pairs = likely.join(self.items.withColumnRenamed("text", "item_text"), "no").join(rows.select("rid", "text"), "rid")
         made = pairs.select("rid", "item_id", "size", tiles_udf(self.k, threshold)("text", "item_text").alias("t"))
         found = made.filter((F.col("t.covered") > 0) & (F.col("t.covered") >= F.lit(threshold) * F.col("size")))
