@@ -14,6 +14,7 @@ from varloom.jobs.workflows import prepare_sharded_files
 from varloom.model import VariantObject
 from varloom.operators import genotypes as OG
 from varloom.operators import reference as R
+from varloom.operators import sumstats as S
 from varloom.sources import plink, readers, writers
 
 VMAP = "chrom string, pos long, id string, a1 string, a2 string, source_shard string, source_index long, allele_op string, ord long"
@@ -312,3 +313,24 @@ def test_qc_tables_and_contig_folders(spark, tmp_path):
     writers.write_by_contig(df, str(tmp_path / "by"))
     assert sorted(p.name for p in (tmp_path / "by").glob("chrom=*")) == ["chrom=1", "chrom=2"]
     assert [r.pos for r in spark.read.parquet(str(tmp_path / "by" / "chrom=2")).orderBy("ord").collect()] == [1, 3]
+
+
+def test_a_bucketed_payload_is_not_shuffled(spark):
+    payload = spark.createDataFrame([(i, str(i)) for i in range(200)], "source_index long, beta string")
+    table = writers.save_payload(payload, "bucketed_payload", 4)
+    vmap = rows_of(spark, *[("1", i + 1, f"v{i}", "A", "C", ".", i if i % 3 else -1, "identity" if i % 3 else "missing") for i in range(100)])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.payload_join(vmap, table)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and S.payload_join(vmap, payload)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        out = S.attach_payload(vmap, table)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP TABLE bucketed_payload")
+    assert {(r.source_index, r.p__beta) for r in out.filter("source_index <> -1").collect()} == {(i, str(i)) for i in range(100) if i % 3}
+    assert out.filter("source_index = -1 and p__beta is null").count() == 34
+    with pytest.raises(ValueError, match="out of range"):
+        S.attach_payload(vmap, payload.filter("source_index <> 50"))
+    with pytest.raises(ValueError, match="no shard"):
+        S.attach_payload(rows_of(spark, ("1", 1, "a", "A", "C", "x", 1, "identity")), payload)

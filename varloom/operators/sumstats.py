@@ -243,10 +243,8 @@ def attach_payload(vmap: VariantObject, payload: DataFrame) -> DataFrame:
     """
     c = F.col
     mapped = c("source_index") != -1
-    left = vmap.df.withColumn("__key", F.when(mapped, c("source_index")).otherwise(-1 - F.abs(F.xxhash64("ord") % F.lit(1 << 62))))
-    right = payload.select(*[c(f"`{x}`").alias(f"p__{x}") if x != "source_index" else c("source_index").alias("__key") for x in payload.columns], F.lit(True).alias("__there"))
     seen = Observation()
-    joined = left.join(right, "__key", "left").observe(
+    joined = payload_join(vmap, payload).observe(
         seen,
         F.min(F.when(mapped & (c("source_shard") != "."), c("source_shard"))).alias("shard"),
         F.min(F.when(mapped & c("__there").isNull(), c("source_index"))).alias("gone"),
@@ -259,6 +257,15 @@ def attach_payload(vmap: VariantObject, payload: DataFrame) -> DataFrame:
     return out
 
 
+def payload_join(vmap: VariantObject, payload: DataFrame) -> DataFrame:
+    """The join of ``attach_payload``. A payload that ``save_payload`` has bucketed stays where it is; only the vmap is shuffled."""
+    c = F.col
+    mapped = c("source_index") != -1
+    left = vmap.df.withColumn("__key", F.when(mapped, c("source_index")).otherwise(-1 - F.abs(F.xxhash64("ord") % F.lit(1 << 62))))
+    right = payload.select(*[c(f"`{x}`").alias(f"p__{x}") if x != "source_index" else c("source_index").alias("__key") for x in payload.columns], F.lit(True).alias("__there"))
+    return left.join(right, "__key", "left")
+
+
 def _inverse(x: Column) -> Column:
     return F.when(x != 0, 1.0 / x)
 

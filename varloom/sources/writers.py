@@ -46,6 +46,12 @@ def write_sumstats(df: DataFrame, path: str, delimiter: str = "\t", clean: bool
     out.write.mode("overwrite").options(**options).csv(path)
 
 
+def save_payload(payload: DataFrame, table: str, buckets: int = 200) -> DataFrame:
+    """A payload as a table bucketed and sorted by ``source_index``, so that projections onto many targets don't shuffle it again."""
+    payload.repartition(buckets, "source_index").write.mode("overwrite").bucketBy(buckets, "source_index").sortBy("source_index").saveAsTable(table)
+    return payload.sparkSession.table(table)
+
+
 def _short(name: str):
     @F.pandas_udf("string")
     def digits(x):
