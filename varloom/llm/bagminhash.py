@@ -144,6 +144,10 @@ def differences(bag: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.nd
 
 #: Members whose common shingles make a group's middle, and the most rounds in which a group loses the members around a middle.
 MIDDLE_OF, ROUNDS = 255, 6
+#: So many members that are left over, or nine in ten of those before, are paired in one round, the last.
+FEW = 32
+#: So many differences go without a filter of those that are seen twice.
+UNFILTERED = 1 << 22
 
 
 def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -157,14 +161,16 @@ def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) ->
     that is left over is paired with those y that share one of its rarest differences: two sets with o in common meet in their
     first |D| - o + 1 elements in any fixed order, and o is at least -(s_x + s_c) / 2 for x and (s_c - s_y) / 2 for y. First
     come the differences that a filter of elements seen twice does not know, as a member has them to itself alone. The members left over
-    are a group again, with a middle of their own, so that families within a group don't meet in all pairs; the last round pairs all that is left
-    by shared differences.
+    are a group again, with one of them as its middle, so that families within a group don't meet in all pairs; when that takes hardly anyone away, the last round pairs all that is left
+    by shared differences, from a middle of most again.
     """
     q = (1 - threshold) / (1 + threshold)
     pairs, left = None, materialize(groups.distinct())
-    for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1
-        made = materialize(from_middle(left, texts, k))
+    before = left.count()
+    last = before <= FEW
+    for turn in range(ROUNDS + 1):
+        last = last or turn == ROUNDS
+        made = materialize(from_middle(left, texts, k, turn > 0 and not last))
         best = materialize(made.groupBy("hub").agg(F.min_by(F.struct("rep", (q * F.col("n") - F.size("d")).alias("s")), F.struct(F.size("d") - q * F.col("n"), "rep")).alias("c")))
         own = made.join(best, "hub").select("hub", "rep", "d", (q * F.col("n") - F.size("d")).alias("s"), F.col("c.s").alias("s_c"), F.col("c.rep").alias("c"))
         own = materialize(own.withColumn("sure", F.col("s") + F.col("s_c") >= 1e-9))
@@ -172,16 +178,22 @@ def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) ->
         found = found.union(meet(own, last))
         pairs = found if pairs is None else pairs.union(found)
         left = materialize(own.filter("not sure").select("hub", "rep"))
-        if last or left.isEmpty():
+        many = left.count()
+        if last or not many:
             break
+        # Another middle pays while it takes members away.
+        last, before = many <= FEW or (turn > 0 and many > 0.9 * before), many
     return pairs.distinct()
 
 
-def from_middle(groups: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(hub, rep, n, d): the bag size of every member of a (hub, rep) group and its differences from the group's middle."""
+def from_middle(groups: DataFrame, texts: DataFrame, k: int, member: bool) -> DataFrame:
+    """(hub, rep, n, d): the bag size of every member of a (hub, rep) group and its differences from the group's middle, or from a ``member``."""
     id_type = dict(texts.dtypes)["id"]
-    sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("size")), "hub")
-    some = sized.filter(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / MIDDLE_OF)) == 0)
+    if member:
+        some = groups.groupBy("hub").agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+    else:
+        sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("size")), "hub")
+        some = sized.filter(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / MIDDLE_OF)) == 0)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,8 +237,10 @@ def from_middle(groups: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 def meet(own: DataFrame, last: bool) -> DataFrame:
     """(a, b): members that are not sure with the sure ones, and in the last round with each other, by a rare difference in common."""
     kinds = dict(own.dtypes)
-    bits = filter_bits(own.agg(F.sum(F.size("d"))).first()[0] or 0)
-    seen = own.sparkSession.sparkContext.broadcast(twice_seen(own.select(F.col("d").alias("hs")), bits))
+    total = own.agg(F.sum(F.size("d"))).first()[0] or 0
+    bits = filter_bits(total)
+    # Few differences may all meet: without the filter none is taken to be of one member alone, and the pairs are the same.
+    seen = own.sparkSession.sparkContext.broadcast(twice_seen(own.select(F.col("d").alias("hs")), bits) if total > UNFILTERED else None)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +249,7 @@ def meet(own: DataFrame, last: bool) -> DataFrame:
             at = np.concatenate(([0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))))
             e = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             size, row = np.diff(at), np.repeat(np.arange(len(s)), np.diff(at))
-            maybe = holds(seen.value, positions(e, bits)) if len(e) else np.zeros(0, bool)
+            maybe = holds(seen.value, positions(e, bits)) if len(e) and seen.value is not None else np.ones(len(e), bool)
             alone = size - np.bincount(row[maybe], minlength=len(s))
             common = np.where(sure, (s_c - s) / 2, -(s + s_c) / 2)
             long = (size - np.maximum(1, np.ceil(common - 1e-6)) + 1).astype(np.int64)
