@@ -45,6 +45,23 @@ def test_a_target_that_is_there_twice_is_an_error(spark):
         V.match_to_target(source, vtable(spark, [("1", 100, "t0", "A", "G"), ("1", 100, "t1", "A", "G")]))
 
 
+def test_rows_of_a_repeated_target_each_have_the_match(spark):
+    source = vmap(spark, [("1", 100, "s0", "G", "A", ".", 7, "identity"), ("1", 100, "s1", "A", "G", ".", 8, "identity")])
+    out = V.match_to_target(source, vtable(spark, [("1", 100, "t0", "A", "G"), ("1", 100, "t1", "A", "G"), ("1", 200, "t2", "A", "G")]), repeated=True)
+    assert got(out, "id", "source_index", "allele_op") == [("t0", 7, "swap"), ("t1", 7, "swap"), ("t2", -1, "missing")]
+
+
+def test_an_import_parses_and_shuffles_once(spark):
+    from varloom.sources import readers
+
+    lines = ["1 a 0 5 A G", "1 b 0 5 A G", "1 c 0 x A G", "1 d 0 x A G", "1 e 0 7 A", "2 f 0 5 N G", "1 g 0 6 A G"]
+    vo, qc = readers.parse_bim(spark.createDataFrame([(x, ".", i, i) for i, x in enumerate(lines)], "line string, source_shard string, source_index long, ord long"), contigs="1")
+    assert sorted(tuple(r) for r in qc.collect()) == [(".", 1, "duplicate_target"), (".", 2, "malformed_row"), (".", 3, "malformed_row"), (".", 4, "malformed_row"), (".", 5, "non_actg_allele")]
+    assert got(vo, "id") == [("a",), ("g",)]
+    plan = qc.unionByName(vo.df.select("source_shard", "source_index", F.lit("kept").alias("reason")))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "split" not in plan
+
+
 def test_operations_form_a_group(spark):
     ops = [*A.OPS, A.MISSING]
     df = spark.createDataFrame([(x, y, z) for x in ops for y in ops for z in ops], "x string, y string, z string")

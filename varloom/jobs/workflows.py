@@ -141,15 +141,15 @@ def prepare_sharded_files(spark: SparkSession, template: str, fmt: str, blocks:
     return out, {"import": qc, "shard": status_qc(vo, df.filter(~own), "outside_groups"), **stages, **outside}
 
 
-def project_payload(payload, fmt: str, target: VariantObject, source_vmap: VariantObject | None = None, full_target: bool = False, **options):
-    """The payload of a source on a target's rows: mapped rows alone unless ``full_target``.
+def project_payload(payload, fmt: str, target: VariantObject, source_vmap: VariantObject | None = None, full_target: bool = False, repeated: bool = False, **options):
+    """The payload of a source on a target's rows: mapped rows alone unless ``full_target``; target keys may occur twice with ``repeated``.
 
     ``fmt``: sumstats (payload: table, metadata), bfile or arrays (payload:
     genotypes, samples). A target without provenance needs the source's vmap.
     """
     if source_vmap is None and not target.is_vmap:
         raise ValueError("a target without provenance needs source_vmap")
-    vmap = match_to_target(source_vmap, target) if source_vmap is not None else target
+    vmap = match_to_target(source_vmap, target, repeated) if source_vmap is not None else target
     if fmt == "sumstats":
         return apply_to_sumstats(vmap, payload[0], payload[1], only_mapped=not full_target, **options)
     apply = {"bfile": G.apply_to_bfile, "arrays": G.apply_to_genotype_arrays}[fmt]

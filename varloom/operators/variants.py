@@ -135,17 +135,18 @@ def concat_groups(*vos: VariantObject) -> VariantObject:
     return vos[0].with_df(reorder(every.join(F.broadcast(at), "__i"), "__first", "__i", "__old").drop("__first", "__i", "__old", "__rank"))
 
 
-def match_to_target(source: VariantObject, target: VariantObject) -> VariantObject:
+def match_to_target(source: VariantObject, target: VariantObject, repeated: bool = False) -> VariantObject:
     """A vmap with a row for each target row, in target order.
 
     Its source is the first source row at the same position with the same two
     alleles in either order; the operation is the source's own and then a swap
     where the order differs. Source rows without a source of their own don't
     match. A target without a match is ``missing``. The unordered pair is part of
-    the join key, so sites with many alleles make no further pairs. A target key that occurs twice is an error.
+    the join key, so sites with many alleles make no further pairs. A target key that occurs twice is an error,
+    unless with ``repeated`` each of its rows is to have the match.
     """
     require_same_frame(source, target)
-    if (twice := duplicate_targets(target.df).first()) is not None:
+    if not repeated and (twice := duplicate_targets(target.df).first()) is not None:
         raise ValueError(f"target {twice.chrom}:{twice.pos}:{twice.a1}:{twice.a2} occurs {twice['count']} times")
     pair = lambda df: df.withColumn("__low", F.least("a1", "a2")).withColumn("__high", F.greatest("a1", "a2"))
     t = pair(target.df.select(*TABLE, "ord"))
