@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from varloom.functions import stats
 from varloom.functions.alleles import allele_reason, is_swap, norm_allele, parse_pos, variant_id
 from varloom.model import VariantObject
-from varloom.operators.variants import filter_import, split_first
+from varloom.operators.variants import classified
 from varloom.scratch import materialize
 
 VARIANT_COLUMNS = ("CHR", "POS", "SNP", "EffectAllele", "OtherAllele")
@@ -78,14 +78,8 @@ def _pick(old: Column, i: Column, new: dict[int, Column]) -> Column:
 # Import
 
 
-def _import_rows(df: DataFrame, reason: Column, contigs: str | None) -> tuple[DataFrame, DataFrame]:
-    """(vmap rows, import QC): rows without a reason, inside the contigs, the first of each key."""
-    rows = df.withColumn("reason", reason)
-    bad = rows.filter("reason is not null").select("source_shard", "source_index", "reason")
-    good = rows.filter("reason is null").select("chrom", F.col("pos").cast("long").alias("pos"), "id", "a1", "a2", "source_shard", "source_index", F.lit("identity").alias("allele_op"), "ord")
-    good, outside = filter_import(good, contigs)
-    good, later = split_first(good, "ord")
-    return good, bad.union(outside).union(later)
+def _with_reason(rows: DataFrame, reason: Column) -> DataFrame:
+    return rows.select("chrom", F.col("pos").cast("long").alias("pos"), "id", "a1", "a2", reason.alias("reason"), "source_shard", "source_index", "ord")
 
 
 def _fields(df: DataFrame, names: dict[str, str]) -> dict[str, Column]:
@@ -123,7 +117,7 @@ def import_sumstats(
         ident = F.when(F.coalesce(F.col("__snp"), F.lit("")) == "", ".").otherwise(F.col("__snp"))
         rows = base.withColumns({"chrom": F.trim("__CHR"), "pos": parse_pos(F.col("__POS")), "id": ident})
         reason = F.coalesce(reason, F.when(F.col("pos").isNull(), "malformed_row"))
-        vo_df, qc = _import_rows(rows, reason, contigs)
+        vo_df, qc = classified(_with_reason(rows, reason), contigs)
         return VariantObject(vo_df, genome_build, contig_naming), qc
     # Ids that many rows share, empty ones above all, stay out of the join.
     usable = ~F.coalesce(F.col("__snp"), F.lit("")).isin(*SKIPPED_IDS)
@@ -133,7 +127,7 @@ def import_sumstats(
     rest = base.filter(~usable).withColumns({"__hits": F.lit(None).cast("long"), "chrom": F.lit(None).cast("string"), "pos": F.lit(None).cast("long")})
     rows = found.unionByName(rest).withColumn("id", F.col("__snp"))
     late = F.when(~usable, "invalid_id").when(F.col("__hits") > 1, "ambiguous_id_match").when(F.col("__hits").isNull(), "id_not_found")
-    vo_df, qc = _import_rows(rows, F.coalesce(reason, late), contigs)
+    vo_df, qc = classified(_with_reason(rows, F.coalesce(reason, late)), contigs)
     return VariantObject(vo_df, id_lookup.genome_build, id_lookup.contig_naming), qc
 
 

@@ -32,13 +32,23 @@ def only_mapped(vo: VariantObject) -> VariantObject:
     return vo.with_df(df)
 
 
-def filter_import(rows: DataFrame, spec: str | None) -> tuple[DataFrame, DataFrame]:
-    """(rows on the contigs, QC of the others), by labels of any naming."""
-    shape = lambda df: df.select("source_shard", "source_index", F.lit("filtered_by_chr2use").alias("reason"))
-    if spec is None:
-        return rows, shape(rows.limit(0))
-    inside = F.coalesce(canonical_any(F.col("chrom")).isin(contig_list(spec)), F.lit(False))
-    return rows.filter(inside), shape(rows.filter(~inside))
+def classified(rows: DataFrame, spec: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vmap rows, import QC) of parsed rows with a ``reason``, which is null where a row is good.
+
+    Rows outside the contigs ``spec``, by labels of any naming, and all but the first of each key get a reason too. What is parsed is
+    written once as a table, which both results read: the parsing and the shuffle by key run once.
+    """
+    if spec is not None:
+        inside = F.coalesce(canonical_any(F.col("chrom")).isin(contig_list(spec)), F.lit(False))
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(~inside, "filtered_by_chr2use")))
+    # Rows that have a reason share keys such as a missing position: each is by itself, and they are spread.
+    apart = F.when(F.col("reason").isNotNull(), F.xxhash64("source_shard", "source_index"))
+    n = F.row_number().over(Window.partitionBy(*KEY, "__apart").orderBy("ord"))
+    late = F.when(F.col("reason").isNull() & (F.col("__n") > 1), "duplicate_target")
+    said = rows.withColumn("__apart", apart).withColumn("__n", n).withColumn("reason", F.coalesce("reason", late)).drop("__apart", "__n")
+    said = materialize(said.withColumn("allele_op", F.lit("identity")))
+    good = said.filter("reason is null").select(*TABLE, *PROVENANCE, "ord")
+    return good, said.filter("reason is not null").select("source_shard", "source_index", "reason")
 
 
 # Duplicates

@@ -20,7 +20,7 @@ from varloom.functions.alleles import allele_reason, norm_allele, parse_pos
 from varloom.functions.contigs import shard_tokens
 from varloom.model import PROVENANCE, TABLE, VariantObject, validate
 from varloom.operators.genotypes import check_samples, norm_sex
-from varloom.operators.variants import filter_import, infer_contig_naming, split_first
+from varloom.operators.variants import classified, infer_contig_naming
 from varloom.scratch import materialize
 
 
@@ -85,16 +85,13 @@ def _in_order(lines: DataFrame, tokens: list[str]) -> DataFrame:
 
 def _imported(rows: DataFrame, reason: Column, contigs: str | None, genome_build: str) -> tuple[VariantObject, DataFrame]:
     """Turn parsed rows (chrom, pos, id, a1, a2) into a vmap and its import QC."""
-    rows = rows.withColumn("reason", reason)
-    qc = rows.filter("reason is not null").select("source_shard", "source_index", "reason")
     ident = F.when(F.coalesce(F.trim("id"), F.lit("")) == "", ".").otherwise(F.trim("id"))
-    good = rows.filter("reason is null").select(F.trim("chrom").alias("chrom"), parse_pos(F.col("pos")).alias("pos"), ident.alias("id"), "a1", "a2", "source_shard", "source_index", F.lit("identity").alias("allele_op"), "ord")
-    good, outside = filter_import(good, contigs)
-    good, later = split_first(good, "ord")
+    fields = {"chrom": F.trim("chrom"), "pos": parse_pos(F.col("pos")), "id": ident, "a1": F.col("a1"), "a2": F.col("a2"), "reason": reason}
+    good, qc = classified(rows.select(*[v.alias(k) for k, v in fields.items()], "source_shard", "source_index", "ord"), contigs)
     # Shards one after the other: a shard has fewer than 2^40 rows.
     if dict(good.dtypes)["ord"] != "bigint":
         good = good.withColumn("ord", F.shiftleft(F.col("ord.__shard").cast("long"), 40) + F.col("ord.source_index"))
-    return VariantObject(good, genome_build, infer_contig_naming(good)), qc.union(outside).union(later)
+    return VariantObject(good, genome_build, infer_contig_naming(good)), qc
 
 
 def _bad_place() -> Column:
