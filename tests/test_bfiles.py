@@ -334,3 +334,26 @@ def test_a_bucketed_payload_is_not_shuffled(spark):
         S.attach_payload(vmap, payload.filter("source_index <> 50"))
     with pytest.raises(ValueError, match="no shard"):
         S.attach_payload(rows_of(spark, ("1", 1, "a", "A", "C", "x", 1, "identity")), payload)
+
+
+def test_records_are_not_broadcast_and_ids_keep_repeated_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from varloom.functions.genotypes import decode, encode
+    from varloom.sources import plink, readers
+
+    folder = str(tmp_path / "a")
+    with open(f"{folder}.bim", "w") as f:
+        f.write("1\tx\t0\t5\tA\tG\n1\ty\t0\t5\tA\tG\n")
+    with open(f"{folder}.fam", "w") as f:
+        f.write("".join(f"F I{i} 0 0 0 -9\n" for i in range(5)))
+    geno = spark.createDataFrame([(0, [0, 1, 2, 3, 2]), (1, [3, 3, 0, 1, 1]), (2, None), (3, [2])], "source_index long, geno array<tinyint>")
+    packed = {r.source_index: r.bed for r in geno.select("source_index", encode(F.col("geno")).alias("bed")).collect()}
+    assert packed[2] is None and packed[3] == b"\x02"
+    with open(f"{folder}.bed", "wb") as f:
+        f.write(bytes([0x6C, 0x1B, 0x01]) + packed[0] + packed[1])
+    got = plink.read_records(spark, plink.open_bfiles(spark, folder))
+    ids = readers.read_bim_ids(spark, f"{folder}.bim")
+    both = got.select("source_shard", "source_index", decode(F.col("bed"), F.col("n_samples")).alias("geno")).join(ids, ["source_shard", "source_index"])
+    assert "SortMergeJoin [source_shard" in both._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, list(r.geno)) for r in both.orderBy("source_index").collect()] == [("x", [0, 1, 2, 3, 2]), ("y", [3, 3, 0, 1, 1])]

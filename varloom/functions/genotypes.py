@@ -18,23 +18,35 @@ HOM_A1, MISSING, HET, HOM_A2 = 0, 1, 2, 3
 def decode(packed: Column, n_samples: Column) -> Column:
     @F.pandas_udf("array<tinyint>")
     def unpack(raw: pd.Series, n: pd.Series) -> pd.Series:
-        shifts = np.arange(4, dtype=np.uint8) * 2
-        return pd.Series([None if b is None else ((np.frombuffer(b, np.uint8)[:, None] >> shifts) & 3).ravel()[: int(k)].astype(np.int8) for b, k in zip(raw, n, strict=True)])
+        shifts, out = np.arange(4, dtype=np.uint8) * 2, np.empty(len(raw), object)
+        # Rows of one cohort at once.
+        for (size, k), at in pd.Series(range(len(raw))).groupby([raw.reset_index(drop=True).str.len(), n.reset_index(drop=True)]):
+            at = at.to_numpy()
+            block = np.frombuffer(b"".join(raw.iloc[at]), np.uint8).reshape(len(at), int(size))
+            out[at] = _rows(((block[:, :, None] >> shifts) & 3).reshape(len(at), -1)[:, : int(k)].astype(np.int8))
+        return pd.Series(out)
 
     return unpack(packed, n_samples)
 
 
+def _rows(block: np.ndarray) -> np.ndarray:
+    """The rows of a block as an array of objects."""
+    out = np.empty(len(block), object)
+    for i, row in enumerate(block):
+        out[i] = row
+    return out
+
+
 def encode(codes: Column) -> Column:
     @F.pandas_udf("binary")
     def pack(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            if r is None:
-                out.append(None)
-                continue
-            full = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-            full[: len(r)] = r
-            out.append((full.reshape(-1, 4) << (np.arange(4, dtype=np.uint8) * 2)).sum(axis=1).astype(np.uint8).tobytes())
+        shifts, out = np.arange(4, dtype=np.uint8) * 2, np.empty(len(rows), object)
+        for size, at in pd.Series(range(len(rows))).groupby(rows.reset_index(drop=True).str.len()):
+            at = at.to_numpy()
+            full = np.zeros((len(at), -(-int(size) // 4) * 4), np.uint8)
+            full[:, : int(size)] = np.stack(rows.iloc[at].to_list())
+            block = np.bitwise_or.reduce(full.reshape(len(at), -1, 4) << shifts, axis=2)
+            out[at] = [row.tobytes() for row in block]
         return pd.Series(out)
 
     return pack(codes)

@@ -174,7 +174,8 @@ def read_records(spark: SparkSession, bfiles: Bfiles) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(index)), pa.array(index), pa.array(np.full(len(index), bed.n_samples)), _binary(block)], names=["source_shard", "source_index", "n_samples", "bed"])
 
-    return ranges.repartition("shard", "first").mapInArrow(run, "source_shard string, source_index long, n_samples long, bed binary")
+    # The plan takes the size of the ranges for that of the records, so a join would broadcast them.
+    return ranges.repartition("shard", "first").mapInArrow(run, "source_shard string, source_index long, n_samples long, bed binary").hint("merge")
 
 
 def _binary(block: np.ndarray) -> pa.Array:
@@ -267,7 +268,7 @@ class BfileProjection:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), _binary(block), *[pa.array(issues[:, i]) for i in range(3)]], names=["ord", "group", "bed", *ISSUES])
             work.close()
 
-        return self._placed().mapInArrow(run, "ord long, group string, bed binary, " + ", ".join(f"{c} long" for c in ISSUES))
+        return self._placed().mapInArrow(run, "ord long, group string, bed binary, " + ", ".join(f"{c} long" for c in ISSUES)).hint("merge")
 
     def write(self, prefix: str) -> BfileFiles:
         """BIM, BED, FAM and, where a row is not (2, 2), PLOIDY: a set for each group if ``prefix`` has "@", all in one pass.

@@ -143,6 +143,12 @@ def read_bim(spark: SparkSession, path: str, genome_build: str = "unknown", cont
     return parse_bim(_sharded(spark, path, shards, lambda _: F.trim("line") != ""), max_allele_length, contigs, genome_build)
 
 
+def read_bim_ids(spark: SparkSession, path: str, shards: list[str] | None = None) -> DataFrame:
+    """(source_shard, source_index, id) of every line: an import leaves out the later rows of a key, the BED file has their records."""
+    lines = _sharded(spark, path, shards, lambda _: F.trim("line") != "")
+    return lines.select("source_shard", "source_index", F.get(F.split(F.trim("line"), r"\s+"), F.lit(1)).alias("id"))
+
+
 def read_vcf(spark: SparkSession, path: str, genome_build: str = "unknown", contigs: str | None = None, shards: list[str] | None = None, max_allele_length: int = 150) -> tuple[VariantObject, DataFrame]:
     # The samples behind ALT are not needed.
     lines = _sharded(spark, path, shards, lambda _: ~F.col("line").startswith("#") & (F.trim("line") != ""), F.substring_index("line", "\t", 6))
@@ -452,7 +458,7 @@ def read_bed(spark: SparkSession, path: str, n_samples: int, n_variants: int, sh
                     yield pd.DataFrame({"source_index": np.arange(first, first + len(part)), "geno": list(codes)})
 
     ranges = spark.range(0, n_variants, rows_per_piece)
-    pieces = ranges.repartition(max(1, min(-(-n_variants // rows_per_piece), 8 * spark.sparkContext.defaultParallelism)), "id").mapInPandas(run, "source_index long, geno array<tinyint>")
+    pieces = ranges.repartition(max(1, min(-(-n_variants // rows_per_piece), 8 * spark.sparkContext.defaultParallelism)), "id").mapInPandas(run, "source_index long, geno array<tinyint>").hint("merge")  # by its plan the table has the size of the ranges
     return pieces.select(F.lit(shard).alias("source_shard"), "source_index", "geno")
 
 
