@@ -7,9 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from varloom.functions import alleles as A
 from varloom.functions import contigs as C
 from varloom.functions.ploidy import join_ploidy, ploidy_pair, ploidy_regions
+from varloom.jobs import derived as D
+from varloom.jobs import queries as Q
 from varloom.jobs.workflows import prepare_variants, prepare_variants_sharded, project_payload
 from varloom.model import VariantObject, require_same_frame, validate
 from varloom.operators import reference as R
@@ -225,3 +228,24 @@ def test_guess_and_prepare(spark, blocks):
         prepare_variants_sharded(spelled, [["1"], ["1"]], both, {})
     with pytest.raises(ValueError):
         project_payload(None, "sumstats", vtable(spark, [("1", 1, "a", "A", "C")]))
+
+
+def test_blocks_are_distinct_before_they_get_neighbours(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(D, "materialize", lambda df: made.append(df) or df)
+    got = D.genome(Q.target(spark, SF).df, around=1)
+    lines = made[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    assert any("Aggregate" in x for x in lines[explode:])
+    assert got.count() == got.select("contig", "block").distinct().count()
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    Q.target(spark, SF)
+    assert spark.conf.get(key) == "8000"
+    spark.conf.set(key, "4000")  # a bound of the session's own stays
+    Q.target(spark, SF)
+    assert spark.conf.get(key) == "4000"
+    spark.conf.unset(key)

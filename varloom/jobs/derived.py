@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.scratch import materialize
+from varloom.scratch import materialize, small_methods
 
 TABLES = ("orders", "lineitem", "customer")
 
@@ -60,6 +60,7 @@ def fill(sql: str, names: dict[str, str] | None = None) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    small_methods(spark)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **tables)
 
@@ -68,7 +69,9 @@ def genome(sites: DataFrame, shift: int = 0, size: int = 256, around: int = 1) -
     """(contig, block, seq) of the closed-form genome: the blocks of some (chrom, pos) and their neighbours."""
     names = [*[str(n) for n in range(1, 23)], "X", "Y", "MT"]
     number = F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)]), F.col("contig"))
-    near = sites.select(F.col("chrom").alias("contig"), F.explode(F.sequence(F.floor((F.col("pos") - 1) / size) - around, F.floor((F.col("pos") - 1) / size) + around)).alias("block"))
+    # Sites become blocks before these get their neighbours: there are far fewer.
+    own = sites.select(F.col("chrom").alias("contig"), F.floor((F.col("pos") - 1) / size).alias("own")).distinct()
+    near = own.select("contig", F.explode(F.sequence(F.col("own") - around, F.col("own") + around)).alias("block"))
     blocks = near.filter("block >= 0").distinct().withColumn("ci", number)
     base = lambda p: F.substr(F.lit("ACGT"), (1 + ((p * 7919 + F.col("ci") * 104729 + shift) % 97) % 4).cast("int"), F.lit(1))
     return materialize(blocks.select("contig", "block", F.array_join(F.transform(F.sequence(F.col("block") * size + 1, (F.col("block") + 1) * size), base), "").alias("seq")))
