@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -230,6 +231,26 @@ def test_guess_and_prepare(spark, blocks):
         project_payload(None, "sumstats", vtable(spark, [("1", 1, "a", "A", "C")]))
 
 
+def test_common_start_is_as_long_as_it_is(spark):
+    """Beyond the first 16 characters too; the comparison of all characters stands in the plan twice (near, whole), not four times."""
+    texts = ["", "A", "C", "ACGT" * 4, "ACGT" * 4 + "A", "ACGT" * 5, "ACGT" * 4 + "CA", "T" + "ACGT" * 5]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    got = df.withColumn("n", R.same_from_start(F.col("x"), F.col("y")))
+    for r in got.collect():
+        assert r.n == len(os.path.commonprefix([r.x, r.y])), r
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 2
+
+
+def test_genome_is_joined_once_for_snvs_and_indels(spark, monkeypatch):
+    """What the split of SNVs and longer alleles reads is a table, in which no join is left to run twice."""
+    seen = []
+    was = R._with_indels
+    monkeypatch.setattr(R, "_with_indels", lambda vo, kept, *more: seen.append(kept) or was(vo, kept, *more))
+    vo = Q.source(spark, SF)
+    R.restrict_build_compatible(vo, D.genome(vo.df, around=3), allow_strand_flips=True, norm_indels=True)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blocks_are_distinct_before_they_get_neighbours(spark, monkeypatch):
     made = []
     monkeypatch.setattr(D, "materialize", lambda df: made.append(df) or df)

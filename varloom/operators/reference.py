@@ -139,10 +139,16 @@ def guess_builds(vo: VariantObject, group: Column, blocks: dict[str, DataFrame],
 
 
 def same_from_start(x: Column, y: Column) -> Column:
-    """How many characters two strings have in common from their start."""
-    differs = F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: a == b), False)
-    shorter = F.least(F.length(x), F.length(y))
-    return F.when(shorter == 0, 0).when(differs > 0, F.least(differs - 1, shorter)).otherwise(shorter).cast("int")
+    """How many characters two strings have in common from their start. Only strings whose first 16 agree are cut whole."""
+
+    def same(x: Column, y: Column) -> Column:
+        # With an end that differs in any case the place is found, and the costly comparison stands in the plan once.
+        alike = F.concat(F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: a == b), F.array(F.lit(False)))
+        shorter = F.least(F.length(x), F.length(y))
+        return F.when(shorter == 0, 0).otherwise(F.least(F.array_position(alike, False) - 1, shorter)).cast("int")
+
+    near_x, near_y = F.substr(x, F.lit(1), F.lit(16)), F.substr(y, F.lit(1), F.lit(16))
+    return F.when(near_x == near_y, same(x, y)).otherwise(same(near_x, near_y))
 
 
 def left_align(rows: DataFrame) -> DataFrame:
@@ -210,7 +216,8 @@ def restrict_build_compatible(
     kept = apply_op(plain.withColumn("__local", code).filter("__local is not null"), F.col("__local")).withColumnRenamed("__local", "local").drop("ref")
     qc = status_qc(vo, vo.df.limit(0), "")
     if norm_indels:
-        kept, more = _with_indels(vo, kept, df.filter(both_long), contig, blocks)
+        # SNVs and longer alleles part here: the join with the genome is made once for both.
+        kept, more = _with_indels(vo, materialize(kept), df.filter(both_long), contig, blocks)
         qc = qc.union(more)
     kept = materialize(kept)
     out, collided = drop_collisions(vo, kept)
