@@ -474,6 +474,25 @@ def test_edits_of_one_member_make_few_pairs(spark):
     assert got < 299 * 298 // 2 // 10
 
 
+def test_members_with_many_edits_meet_in_few_pairs(spark):
+    """Copies with edits of their own, some too many for the middle: what they lack alike brings hardly any two together."""
+    rng = np.random.default_rng(6)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    groups = spark.createDataFrame([(0, i) for i, _ in rows], "hub long, rep long")
+    got = {(r.a, r.b) for r in bagminhash.near_pairs(groups, spark.createDataFrame(rows, "id long, text string"), 5, 0.8).collect()}
+    bags = {i: bag(t) for i, t in rows}
+    want = classes_of(bags, lambda a, b: jaccard(bags[a], bags[b]) >= 0.8)
+    assert classes_of(bags, lambda a, b: (min(a, b), max(a, b)) in got and jaccard(bags[a], bags[b]) >= 0.8) == want
+    print("pairs", len(got))
+    assert len(got) < 2_000
+
+
 # op5
 
 

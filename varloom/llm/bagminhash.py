@@ -148,6 +148,8 @@ MIDDLE_OF, ROUNDS = 255, 6
 FEW = 32
 #: So many differences go without a filter of those that are seen twice.
 UNFILTERED = 1 << 22
+#: Members meet by classes of their slack, so many for a doubling of what it lacks from the largest, and so many in all.
+CLASS_STEP, CLASSES = 6, 18
 
 
 def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -159,7 +161,7 @@ def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) ->
     s = q n - |D| they are linked for sure if s_x + s_y >= 0, and else need -(s_x + s_y) / 2 differences in common. So every pair that is linked for sure
     is linked with the member c of the largest slack, too: the members with s + s_c >= 0 are paired with c alone. A member x
     that is left over is paired with those y that share one of its rarest differences: two sets with o in common meet in their
-    first |D| - o + 1 elements in any fixed order, and o is at least -(s_x + s_c) / 2 for x and (s_c - s_y) / 2 for y. First
+    first |D| - o + 1 elements in any fixed order, and o is -(s_x + s_y) / 2, of which each knows the other's class (see ``meet``). First
     come the differences that a filter of elements seen twice does not know, as a member has them to itself alone. The members left over
     are a group again, with one of them as its middle, so that families within a group don't meet in all pairs; when that takes hardly anyone away, the last round pairs all that is left
     by shared differences, from a middle of most again.
@@ -235,7 +237,12 @@ def from_middle(groups: DataFrame, texts: DataFrame, k: int, member: bool) -> Da
 
 
 def meet(own: DataFrame, last: bool) -> DataFrame:
-    """(a, b): members that are not sure with the sure ones, and in the last round with each other, by a rare difference in common."""
+    """(a, b): members that are not sure with the sure ones, and in the last round with each other, by a rare difference in common.
+
+    Two with the slacks s_x and s_y need o = -(s_x + s_y) / 2 in common, and meet in the first |D| - o + 1 of both. Members are
+    dealt to classes of their slack, and each goes to those of the other side with the differences that count as the first for the
+    largest slack there. So two members with many differences meet in few of these, however many others lack the same shingles.
+    """
     kinds = dict(own.dtypes)
     total = own.agg(F.sum(F.size("d"))).first()[0] or 0
     bits = filter_bits(total)
@@ -255,17 +262,34 @@ def meet(own: DataFrame, last: bool) -> DataFrame:
             long = (size - np.maximum(1, np.ceil(common - 1e-6)) + 1).astype(np.int64)
             go = maybe & (alone < long)[row]
             to = pa.array(row[go])
-            cols = [batch.column(0).take(to), batch.column(1).take(to), *[pa.array(x[row[go]]) for x in (sure, alone.astype(np.int64), long)], pa.array(e[go])]
-            yield pa.RecordBatch.from_arrays(cols, names=["hub", "rep", "sure", "alone", "long", "e"])
+            cols = [batch.column(0).take(to), batch.column(1).take(to), *[pa.array(x[row[go]]) for x in (sure, s, s_c, size, alone.astype(np.int64), long)], pa.array(e[go])]
+            yield pa.RecordBatch.from_arrays(cols, names=["hub", "rep", "sure", "s", "s_c", "size", "alone", "long", "e"])
 
-    flat = own.select("hub", "rep", "d", "s", "s_c", "sure").mapInArrow(shared, f"hub {kinds['hub']}, rep {kinds['rep']}, sure boolean, alone long, long long, e long")
+    schema = f"hub {kinds['hub']}, rep {kinds['rep']}, sure boolean, s double, s_c double, size long, alone long, long long, e long"
+    flat = own.select("hub", "rep", "d", "s", "s_c", "sure").mapInArrow(shared, schema)
     each = materialize(flat)
     # Only differences that a member left over has can bring a pair.
     both = each.groupBy("hub", "e").agg(F.count("*").alias("times"), F.count_if(~F.col("sure")).alias("over")).filter("times > 1 and over > 0" if last else "times > over and over > 0")
     place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy(F.coalesce("times", F.lit(1)), "e")) + F.col("alone")
-    kept = materialize(each.join(both, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long").select("hub", "rep", "e", "sure"))
-    other = kept.select("hub", "e", F.col("rep").alias("y"), F.col("sure").alias("y_sure"))
-    met = kept.filter("not sure").join(other if last else other.filter("y_sure"), ["hub", "e"]).filter("rep <> y")
+    names = ("sure", "s", "s_c", "size", "rank")
+    kept = materialize(each.join(both, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long").select("hub", "rep", "e", *names))
+    # A class goes by what the slack lacks from the largest, in parts of that; its first member lacks the least.
+    c = F.col
+    unit = F.greatest(F.abs("s_c"), F.lit(1.0))
+    own_class = F.least(F.floor(F.log2(1 + F.greatest(c("s_c") - c("s"), F.lit(0.0)) / unit) * CLASS_STEP + 1e-9), F.lit(CLASSES - 1)).cast("int")
+    most = lambda k: c("s_c") - unit * (F.pow(F.lit(2.0), (k - 1e-9) / CLASS_STEP) - 1)
+    upto = lambda size, common: size - F.greatest(F.lit(1), F.ceil(common - 1e-6)) + 1
+    # The other classes with which this difference can be among the first; members left over have slacks below -s_c.
+    bound = lambda k, over: F.least(most(k), -c("s_c")) if over else most(k)
+    fits = lambda over: F.filter(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: c("rank") <= upto(c("size"), -(c("s") + bound(k, over)) / 2))
+    over = kept.filter("not sure").select("hub", "e", "rep", "s", "size", "rank", own_class.alias("i"), F.explode(fits(False)).alias("k"))
+    other = kept if last else kept.filter("sure")
+    other = other.select("hub", "e", "sure", own_class.alias("k"), F.explode(fits(True)).alias("i"), *[c(x).alias(f"y_{x}") for x in ("s", "size", "rank")], c("rep").alias("y"))
+    # Two that are left over meet once, the one of the lesser slack as the first.
+    other = other.filter("sure or k <= i")
+    common = -(c("s") + c("y_s")) / 2
+    first = (c("rank") <= upto(c("size"), common)) & (c("y_rank") <= upto(c("y_size"), common))
+    met = over.join(other, ["hub", "i", "k", "e"]).filter((c("sure") | (c("k") < c("i")) | (c("rep") < c("y"))) & first)
     return met.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
 
 
