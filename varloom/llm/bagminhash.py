@@ -149,7 +149,7 @@ FEW = 32
 #: So many differences go without a filter of those that are seen twice.
 UNFILTERED = 1 << 22
 #: Members meet by classes of their slack, so many for a doubling of what it lacks from the largest, and so many in all.
-CLASS_STEP, CLASSES = 6, 18
+CLASS_STEP, CLASSES = 4, 12
 
 
 def near_pairs(groups: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -268,23 +268,28 @@ def meet(own: DataFrame, last: bool) -> DataFrame:
     schema = f"hub {kinds['hub']}, rep {kinds['rep']}, sure boolean, s double, s_c double, size long, alone long, long long, e long"
     flat = own.select("hub", "rep", "d", "s", "s_c", "sure").mapInArrow(shared, schema)
     each = materialize(flat)
-    # Only differences that a member left over has can bring a pair.
-    both = each.groupBy("hub", "e").agg(F.count("*").alias("times"), F.count_if(~F.col("sure")).alias("over")).filter("times > 1 and over > 0" if last else "times > over and over > 0")
-    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy(F.coalesce("times", F.lit(1)), "e")) + F.col("alone")
-    names = ("sure", "s", "s_c", "size", "rank")
-    kept = materialize(each.join(both, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long").select("hub", "rep", "e", *names))
     # A class goes by what the slack lacks from the largest, in parts of that; its first member lacks the least.
     c = F.col
     unit = F.greatest(F.abs("s_c"), F.lit(1.0))
     own_class = F.least(F.floor(F.log2(1 + F.greatest(c("s_c") - c("s"), F.lit(0.0)) / unit) * CLASS_STEP + 1e-9), F.lit(CLASSES - 1)).cast("int")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    # Only differences that a member left over has can bring a pair; which classes have them, as bits.
+    both = each.groupBy("hub", "e").agg(F.count("*").alias("times"), F.count_if(~F.col("sure")).alias("over"), F.bit_or(bit(own_class)).alias("in_class")).filter("times > 1 and over > 0" if last else "times > over and over > 0")
+    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy(F.coalesce("times", F.lit(1)), "e")) + F.col("alone")
+    names = ("sure", "s", "s_c", "size", "rank", "in_class")
+    kept = materialize(each.join(both, ["hub", "e"], "left").withColumn("rank", place).filter("times > 1 and rank <= long").select("hub", "rep", "e", *names))
     most = lambda k: c("s_c") - unit * (F.pow(F.lit(2.0), (k - 1e-9) / CLASS_STEP) - 1)
     upto = lambda size, common: size - F.greatest(F.lit(1), F.ceil(common - 1e-6)) + 1
-    # The other classes with which this difference can be among the first; members left over have slacks below -s_c.
+    # The other side's classes that have this difference and with which it can be among the first; members left over have slacks below -s_c.
     bound = lambda k, over: F.least(most(k), -c("s_c")) if over else most(k)
-    fits = lambda over: F.filter(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: c("rank") <= upto(c("size"), -(c("s") + bound(k, over)) / 2))
-    over = kept.filter("not sure").select("hub", "e", "rep", "s", "size", "rank", own_class.alias("i"), F.explode(fits(False)).alias("k"))
+    fits = lambda over, there: F.filter(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: (c(there).bitwiseAND(bit(k)) != 0) & (c("rank") <= upto(c("size"), -(c("s") + bound(k, over)) / 2)))
+    over = kept.filter("not sure").select("hub", "e", "rep", "s", "size", "rank", own_class.alias("i"), F.explode(fits(False, "in_class")).alias("k"))
+    over = materialize(over)
+    # Members of the other side go to classes that wait for theirs.
+    waiting = over.groupBy("hub", "e", "k").agg(F.bit_or(bit(c("i"))).alias("waits"))
     other = kept if last else kept.filter("sure")
-    other = other.select("hub", "e", "sure", own_class.alias("k"), F.explode(fits(True)).alias("i"), *[c(x).alias(f"y_{x}") for x in ("s", "size", "rank")], c("rep").alias("y"))
+    other = other.withColumn("k", own_class).join(waiting, ["hub", "e", "k"])
+    other = other.select("hub", "e", "sure", "k", F.explode(fits(True, "waits")).alias("i"), *[c(x).alias(f"y_{x}") for x in ("s", "size", "rank")], c("rep").alias("y"))
     # Two that are left over meet once, the one of the lesser slack as the first.
     other = other.filter("sure or k <= i")
     common = -(c("s") + c("y_s")) / 2
