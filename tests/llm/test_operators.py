@@ -493,6 +493,22 @@ def test_members_with_many_edits_meet_in_few_pairs(spark):
     assert len(got) < 2_000
 
 
+def test_middle_of_a_group_is_counted_without_a_row_for_each_shingle(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"t{int(x)}" for x in rng.integers(0, 3, 30))) for i in range(15)]
+    groups = spark.createDataFrame([(i % 2, i) for i, _ in rows], "hub long, rep long")
+    plans, real = [], bagminhash.materialize
+    monkeypatch.setattr(bagminhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().toString()) or real(df))
+    got = {(r.hub, r.rep): (r.n, len(r.d)) for r in bagminhash.from_middle(groups, spark.createDataFrame(rows, "id long, text string"), 3, False).collect()}
+    for hub in (0, 1):
+        own = {i: collections.Counter(zip(*[t.split()[j:] for j in range(3)], strict=False)) for i, t in rows if i % 2 == hub}
+        half = len(own) // 2
+        middle = {g: sorted((c[g] for c in own.values()), reverse=True)[half] for c in own.values() for g in c}
+        for i, c in own.items():
+            assert got[hub, i] == (28, sum(abs(c[g] - middle[g]) for g in middle))
+    assert len(plans) == 1 and "Window" not in plans[0]
+
+
 # op5
 
 

@@ -147,7 +147,7 @@ MIDDLE_OF, ROUNDS = 255, 6
 #: So many members that are left over, or nine in ten of those before, are paired in one round, the last.
 FEW = 32
 #: So many differences go without a filter of those that are seen twice.
-UNFILTERED = 1 << 22
+UNFILTERED = 1 << 16
 #: Members meet by classes of their slack, so many for a doubling of what it lacks from the largest, and so many in all.
 CLASS_STEP, CLASSES = 4, 12
 
@@ -197,19 +197,37 @@ def from_middle(groups: DataFrame, texts: DataFrame, k: int, member: bool) -> Da
         sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("size")), "hub")
         some = sized.filter(F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / MIDDLE_OF)) == 0)
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, []  # the bags of one group's members, some MIDDLE_OF at most
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            shingle, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((-count, shingle))
+            shingle, count = shingle[by], count[by]
+            first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1]))) if len(shingle) else np.zeros(0, np.int64)
+            # A shingle has the largest count that more than half of them reach.
+            half = len(held) // 2
+            at = first[np.diff(np.append(first, len(shingle))) > half] + half
+            if len(at):
+                pairs = pa.StructArray.from_arrays([pa.array(shingle[at].view(np.int64)), pa.array(count[at])], names=["shingle", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array([hub], kind), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pairs)], names=["hub", "middle"])
+
         for batch in batches:
-            for first, data, at in chunks(batch.column(1)):
-                row, shingle, count, _ = bags(data, at, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1).take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(count)], names=["hub", "shingle", "count"])
-
-    told = some.join(texts.withColumnRenamed("id", "rep"), "rep").select("hub", "text").mapInArrow(shingles, f"hub {id_type}, shingle long, count long")
-    counted = told.groupBy("hub", "shingle", "count").agg(F.count("*").alias("times"))
-    # A shingle has the largest count that more than half of them reach.
-    above = F.sum("times").over(Window.partitionBy("hub", "shingle").orderBy(F.col("count").desc()))
-    reached = counted.withColumn("above", above).join(some.groupBy("hub").agg(F.count("*").alias("of")), "hub").filter(F.col("above") * 2 > F.col("of"))
-    most = reached.groupBy("hub", "shingle").agg(F.max("count").alias("count"))
-    middle = materialize(most.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("shingle", "count"))).alias("middle")))
+            hubs, kind = batch.column(0).to_pylist(), batch.schema.field(0).type
+            for begin, data, at in chunks(batch.column(1)):
+                row, shingle, count, size = bags(data, at, k)
+                upto = np.searchsorted(row, np.arange(len(size) + 1))
+                for i in range(len(size)):
+                    if held and hubs[begin + i] != hub:
+                        yield from finish()
+                        held = []
+                    hub = hubs[begin + i]
+                    held.append((shingle[upto[i] : upto[i + 1]], count[upto[i] : upto[i + 1]]))
+        if held:
+            yield from finish()
+
+    told = some.join(texts.withColumnRenamed("id", "rep"), "rep").select("hub", "text")
+    middle = materialize(told.repartition("hub").sortWithinPartitions("hub").mapInArrow(middles, f"hub {id_type}, middle array<struct<shingle:long,count:long>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
