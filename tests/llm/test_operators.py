@@ -570,6 +570,35 @@ def test_image_copies_against_all_pairs(spark, monkeypatch):
         assert all(got[i] == i for i in want if want[i] == i)
 
 
+def test_members_of_a_group_of_copies_are_compared_few_times(spark):
+    """Every pair of 60 images has two small buckets of its own."""
+    rows = [(k * 10_000 + i * 100 + j, rep, k) for i in range(60) for j in range(i + 1, 60) for k in (1, 2) for rep in (i, j)]
+    compared = []
+
+    def verify(pairs):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.withColumn("linked", F.lit(True))
+
+    got = descriptors.link_images(spark.createDataFrame(rows, "key long, rep long, corner int"), verify)
+    assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in range(60)}
+    assert len(compared) == len(set(compared)) < 4 * 60
+
+
+def test_strays_in_large_buckets_meet_every_class(spark):
+    """Two large buckets of one class and some images of others: each pair of different classes is compared."""
+    one = [(100 + i, rep, c) for i in range(49) for rep in (0, i + 1) for c in (1, 2)]  # buckets of their own link 0 to 49
+    rows = [(k + c * 1000, rep, c) for k, rep, c in one] + [(c, rep, c) for c in (1, 2) for rep in range(54)]
+    compared = []
+
+    def verify(pairs):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.withColumn("linked", (F.col("b") < 50) | ((F.col("a") == 17) & (F.col("b") == 52)))
+
+    got = {r.node: r.component for r in descriptors.link_images(spark.createDataFrame(rows, "key long, rep long, corner int"), verify).collect()}
+    assert got == {**dict.fromkeys(range(50), 0), 52: 0}
+    assert {(i, j) for i in range(54) for j in range(max(50, i + 1), 54)} <= set(compared)
+
+
 # op6
 
 
