@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tests.test_variants import vmap, vtable
 from varloom.functions import genotypes as G
 from varloom.functions import stats
+from varloom.jobs import queries as Q
 from varloom.operators import genotypes as OG
 from varloom.operators import sumstats as S
 from varloom.sources import readers as RD
@@ -303,3 +305,40 @@ def test_shards_with_other_parents_differ(spark, tmp_path):
     (tmp_path / "c.psam").write_text("#FID\tIID\tSEX\tPHENO\nF\ta\t1\t2\n")
     three = RD.read_samples(spark, str(tmp_path / "c.psam"), shard="c").first()
     assert (three.fid, three.iid, three.sex) == ("F", "a", 1) and three.rest.endswith("2")
+
+
+def test_genotypes_of_high_places(spark, tmp_path):
+    """From 37 million orders on, 31 times a place is beyond 64 bits."""
+    for t in ("orders", "lineitem"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        df.withColumn(f"{t[0]}_orderkey", F.col(f"{t[0]}_orderkey") + 53_900_000).write.parquet(str(tmp_path / f"{t}.parquet"))
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    wanted = Q.matched_table(spark, str(tmp_path))
+    used = {r[0] for r in wanted.df.filter("source_index <> -1").select("source_index").collect()}
+    rows = Q.genotypes(spark, str(tmp_path), wanted)[0].collect()
+    assert {r.source_index for r in rows} == used and min(used) * 31 > 2**63
+    assert all(list(r.geno) == [(r.source_index * 31 + i * 17) % 4 for i in range(25)] for r in rows)
+    codes = {r.ord: r.codes for r in Q.apply_to_bfile(spark, str(tmp_path)).collect()}
+    swapped = {"swap", "flip_swap"}
+    for r in wanted.df.collect():
+        own = [(r.source_index * 31 + i * 17) % 4 for i in range(24, -1, -1)] if r.source_index != -1 else [1] * 25
+        assert codes[r.ord] == "".join(str(3 - c if r.allele_op in swapped and c in (0, 3) else c) for c in own) + "11111"
+
+
+def test_payload_is_read_once(spark):
+    """One pass over the payload makes the table, whatever the checks; the errors are those of before."""
+    vo = vmap(spark, [("1", 5, "a", "A", "C", ".", 0, "swap")])
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    arrays = spark.createDataFrame([(".", 0, 2, [0, 1, -9, 1], [True, False], [1.0, 1.0])], "source_shard string, source_index long, allele_ct int, alleles array<int>, phase array<boolean>, dosage array<float>")
+    samples = spark.createDataFrame([(".", i, "F", f"i{i}", 1) for i in range(2)], "source_shard string, local_idx int, fid string, iid string, sex int")
+    got = OG.apply_to_genotype_arrays(vo, arrays.mapInArrow(count, arrays.schema), samples).genotypes.first()
+    assert read.value == 1 and list(got.alleles) == [1, 0, -9, 0] and got.channel == "phase"
+    with pytest.raises(ValueError, match="mixes"):
+        OG.apply_to_genotype_arrays(vo, arrays.withColumn("dosage", F.array(F.lit(0.5), F.lit(1.0)).cast("array<float>")), samples)

@@ -62,7 +62,7 @@ def missing_codes(n: Column) -> Column:
 
 
 def remap(values: Column, local_of: Column, missing: Column) -> Column:
-    """``values`` on another axis: ``local_of`` has the place of each output sample (null: not there)."""
+    """``values`` on another axis: ``local_of`` has the place of each output sample (null: not there). ``values`` is a column, as it is read again for each."""
     return F.transform(local_of, lambda i: F.coalesce(F.get(values, i), missing))
 
 
@@ -78,7 +78,11 @@ def hardcall_dosage(pairs: Column) -> Column:
     """Sum of each sample's two alleles; one missing allele counts as the other."""
     first = F.filter(pairs, lambda a, i: i % 2 == 0)
     second = F.filter(pairs, lambda a, i: i % 2 == 1)
-    return F.zip_with(first, second, lambda a, b: F.when((a == NONE) & (b == NONE), NONE).when(a == NONE, b).when(b == NONE, a).otherwise(a + b).cast("float"))
+    return F.zip_with(first, second, _hard)
+
+
+def _hard(a: Column, b: Column) -> Column:
+    return F.when((a == NONE) & (b == NONE), NONE).when(a == NONE, b).when(b == NONE, a).otherwise(a + b).cast("float")
 
 
 def pair_classes(pairs: Column) -> Column:
@@ -102,7 +106,9 @@ def pair_classes(pairs: Column) -> Column:
 def channel(pairs: Column, phase: Column, dosage: Column) -> Column:
     """hardcall, phase or dosage: what the row holds beyond hard calls; a mix is ``unsupported``."""
     has_phase = F.coalesce(F.exists(phase, lambda x: x), F.lit(False))
-    has_dosage = F.coalesce(F.exists(F.zip_with(dosage, hardcall_dosage(pairs), lambda d, h: (d != NONE) & (F.abs(d - h) > 1e-4)), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    # Alleles are read by their places: no list of hard calls is made.
+    differs = F.transform(dosage, lambda d, i: (d != NONE) & (F.abs(d - _hard(F.get(pairs, i * 2), F.get(pairs, i * 2 + 1))) > 1e-4))
+    has_dosage = F.coalesce(F.exists(differs, lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
     return F.when(has_phase & has_dosage, "unsupported").when(has_dosage, "dosage").when(has_phase, "phase").otherwise("hardcall")
 
 

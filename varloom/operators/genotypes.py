@@ -166,14 +166,18 @@ def reconciliation_totals(vmap: VariantObject, maps: DataFrame) -> DataFrame:
     return sums.crossJoin(many)  # one row each
 
 
-def attach_genotypes(vmap: VariantObject, payload: DataFrame, only_mapped: bool = False) -> DataFrame:
-    """Rows of a vmap with their payload columns; rows without a source stay out of the join. A missing source is an error."""
+def attach_genotypes(vmap: VariantObject, payload: DataFrame, only_mapped: bool = False, **more: Column) -> DataFrame:
+    """Rows of a vmap with their payload columns, as a table; rows without a source stay out of the join. A missing source is an error.
+
+    The payload is read and joined once, and the table's key columns tell what it lacks. ``more``: columns of the payload's, computed where it is written.
+    """
     keys = ["source_shard", "source_index"]
     mapped = vmap.df.filter("source_index <> -1")
-    gone = mapped.select(*keys).join(payload.select(*keys), keys, "left_anti").orderBy(*keys).first()
+    joined = materialize(mapped.join(payload.withColumn("__there", F.lit(True)), keys, "left").withColumns(more))
+    gone = joined.filter("__there is null").orderBy(*keys).first()
     if gone is not None:
         raise ValueError(f"shard {gone.source_shard} has no variant {gone.source_index}")
-    joined = mapped.join(payload, keys)
+    joined = joined.drop("__there")
     return joined if only_mapped else joined.unionByName(vmap.df.filter("source_index = -1"), allowMissingColumns=True)
 
 
@@ -259,9 +263,9 @@ def apply_to_bfile(
     vmap = checked(vmap, only_mapped)
     group = F.col("chrom") if by_contig else F.lit(".")
     rows, samples_out, maps = _axis_rows(vmap, attach_genotypes(vmap, geno, only_mapped), samples, target_samples, sample_id_mode, axis, group)
-    codes = F.when(is_swap(F.col("allele_op")), G.swap_codes(F.col("geno"))).otherwise(F.col("geno"))
-    out = F.when(F.col("source_index") == -1, G.missing_codes(F.col("__n"))).otherwise(G.remap(codes, F.col("local_of"), F.lit(G.MISSING).cast("tinyint")))
-    rows = join_ploidy(rows.withColumn("geno", out), vmap.genome_build)
+    out = F.when(F.col("source_index") == -1, G.missing_codes(F.col("__n"))).otherwise(G.remap(F.col("geno"), F.col("local_of"), F.lit(G.MISSING).cast("tinyint")))
+    # Ploidies come first, so that their check takes only its own rows to the other axis.
+    rows = join_ploidy(rows, vmap.genome_build).withColumn("geno", F.when(is_swap(F.col("allele_op")), G.swap_codes(out)).otherwise(out))
     issues = G.code_ploidy_issues(F.col("geno"), F.col("__sexes"), F.col("male"), F.col("female"))
     return _result(vmap, rows, samples_out, maps, issues, check_ploidy, retain_id, ["geno"])
 
@@ -279,29 +283,30 @@ def apply_to_genotype_arrays(
     check_ploidy: bool = True,
 ) -> GenotypeResult:
     """As ``apply_to_bfile`` for (alleles: two for each sample, phase, dosage); -9 is missing."""
-    if "allele_ct" in arrays.columns and (bad := arrays.join(vmap.df.select("source_shard", "source_index").distinct(), ["source_shard", "source_index"], "left_semi").filter("allele_ct <> 2").first()) is not None:
-        raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} has more than two alleles")
     vmap = checked(vmap, only_mapped)
     group = F.col("chrom") if by_contig else F.lit(".")
-    rows, samples_out, maps = _axis_rows(vmap, attach_genotypes(vmap, arrays.drop("allele_ct"), only_mapped), samples, target_samples, sample_id_mode, axis, group)
+    attached = attach_genotypes(vmap, arrays, only_mapped, channel=G.channel(F.col("alleles"), F.col("phase"), F.col("dosage")))
+    if "allele_ct" in arrays.columns:
+        if (bad := attached.filter("allele_ct <> 2").first()) is not None:
+            raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} has more than two alleles")
+        attached = attached.drop("allele_ct")
+    if (bad := attached.filter("channel = 'unsupported'").first()) is not None:
+        raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} mixes phases and dosages")
+    rows, samples_out, maps = _axis_rows(vmap, attached, samples, target_samples, sample_id_mode, axis, group)
     swap, none = is_swap(F.col("allele_op")), F.col("source_index") == -1
-    pairs = F.when(swap, G.swap_pair(F.col("alleles"))).otherwise(F.col("alleles"))
-    dose = F.when(swap, G.swap_dosage(F.col("dosage"))).otherwise(F.col("dosage"))
     nth = F.sequence(F.lit(0), F.col("__n") - 1)
     blank = F.transform(nth, lambda _: F.lit(None).cast("int"))
     local = F.when(none, blank).otherwise(F.col("local_of"))
     twice = F.flatten(F.transform(local, lambda i: F.array(i * 2, i * 2 + 1)))
-    rows = rows.withColumns(
+    # Values are turned on the new axis: within ``remap`` the whole row would be turned again for each sample.
+    pairs, dose = G.remap(F.col("alleles"), twice, F.lit(G.NONE)), G.remap(F.col("dosage"), local, F.lit(float(G.NONE)).cast("float"))
+    rows = join_ploidy(rows, vmap.genome_build).withColumns(
         {
-            "channel": F.when(~none, G.channel(F.col("alleles"), F.col("phase"), F.col("dosage"))),
-            "alleles": G.remap(pairs, twice, F.lit(G.NONE)),
+            "alleles": F.when(swap, G.swap_pair(pairs)).otherwise(pairs),
             "phase": G.remap(F.col("phase"), local, F.lit(False)),
-            "dosage": G.remap(dose, local, F.lit(float(G.NONE)).cast("float")),
+            "dosage": F.when(swap, G.swap_dosage(dose)).otherwise(dose),
         }
     )
-    if (bad := rows.filter("channel = 'unsupported'").first()) is not None:
-        raise ValueError(f"variant {bad.source_index} of shard {bad.source_shard} mixes phases and dosages")
-    rows = join_ploidy(rows, vmap.genome_build)
     issues = G.pair_ploidy_issues(F.col("alleles"), F.col("dosage"), F.col("__sexes"), F.col("male"), F.col("female"))
     return _result(vmap, rows, samples_out, maps, issues, check_ploidy, retain_id, ["alleles", "phase", "dosage", "channel"])
 
