@@ -397,6 +397,8 @@ def looked_up(tail: DataFrame, states: DataFrame) -> DataFrame:
     own = F.when(at > 0, F.log10(F.get("p", (at - 1).cast("int"))))
     first = tail.filter("two >= 0").join(table, c("two") == c("ctx"), "left").withColumn("own", own)
     first = first.withColumn("passed", c("passed") + F.coalesce("share", F.lit(0.0)))
+    # A table, as both results read it: the positions and the states are shuffled once for them.
+    first = materialize(first.select("rid", "one", "sym", "passed", "tail", "root", "own"))
     ended = first.filter("own is not null or one < 0").select("rid", F.coalesce(c("own") - c("root"), c("passed") + c("tail")).alias("s"))
     names = ["rid", "one", "sym", "passed", "root"]
     second = first.filter("own is null and one >= 0").select(*names).union(tail.filter("two < 0").select(*names))
