@@ -11,7 +11,9 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
+from varloom import scratch
 from varloom.llm import common, dialogue, periodic, suffixtree, vectorjoin
 from varloom.llm import queries as Q
 
@@ -259,15 +261,16 @@ def test_common_keys_are_spread(spark):
     assert got.count() == 3000 and got.filter("key = 'hot'").select("most").distinct().count() == 1
 
 
-def test_tables_leave_no_shuffle_files(spark):
+def test_tables_leave_no_shuffle_files(spark, monkeypatch):
+    kept, seen, write = spark.conf.get(scratch.CLEANUP), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(spark.conf.get(scratch.CLEANUP)), write(self, path))[1])
     env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     names = lambda: {f for f in env.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f.rsplit("/", 1)[-1]}
     was = names()
     df = spark.range(20_000).groupBy((F.col("id") % 500).alias("k")).count()
     assert sorted(r["count"] for r in common.materialize(df).collect()) == [40] * 500
     assert not names() - was
-    df.orderBy("k").collect()
-    assert names() - was  # the session's own choice holds outside
+    assert seen == ["true"] and spark.conf.get(scratch.CLEANUP) == kept
 
 
 def test_positions_meet_the_states_once(spark):
